@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepool.llm import ngram_join
+import public_tokenizers
+
+from tidepool.llm import decontam, matroska, ngram_join, packing, ring, urlrules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -22,7 +24,54 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@_query
+def op1_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text stored as 8-bit samples of a Matroska file, and read back from it."""
+    return matroska.media_summary(matroska.stored(_table(spark, sf_dir, "documents"))).drop("error")
+
+
 @_query
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents linked by a Jaccard similarity of 90 % or more of their 3-word shingles."""
     return ngram_join.jaccard_groups(_table(spark, sf_dir, "documents"), k=3, num=90, den=100)
+
+
+#: The rules that op4 judges by.
+URL_RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
+
+
+@_query
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's URL under the rules: the longest rule that fits, else allow."""
+    return urlrules.judged(_table(spark, sf_dir, "pages"), urlrules.rules_table(spark, URL_RULES))
+
+
+ORACLES["op4_url_filter"] = """
+    WITH rules(host, path, action, rule) AS (VALUES
+        ('com', '/en/', 'block', 'com/en/'), ('example.com', '/en/7', 'allow', 'example.com/en/7'), ('net', '/de/', 'allow', 'net/de/'),
+        ('example.net', '/de/8', 'block', 'example.net/de/8'), ('org', '/es/', 'block', 'org/es/')),
+    rest AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS r FROM pages),
+    cut AS (SELECT page_id, translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
+    hit AS (SELECT page_id, arg_max(struct_pack(rule := rules.rule, action := rules.action), length(rules.rule)) AS h
+            FROM cut JOIN rules ON (cut.host = rules.host OR ends_with(cut.host, '.' || rules.host)) AND starts_with(cut.path, rules.path) GROUP BY page_id)
+    SELECT page_id, host, path, h.rule AS rule, coalesce(h.action, 'allow') AS verdict FROM cut LEFT JOIN hit USING (page_id)
+"""
+
+
+@_query
+def op5_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in one of 24 shards of a bounded-load ring without slack: counts are at most one apart."""
+    placed = ring.sharded(_table(spark, sf_dir, "documents"), shards=24, slack=0.0)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@_query
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as pieces in sequences of 1024 tokens at most."""
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@_query
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that contain a test item within the edit budget, with the item, the distance and where it ends."""
+    return decontam.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
