@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from tidepool.llm import decontam, matroska, ngram_join, packing, ring, urlrules
+from tidepool.llm import backoff, decontam, matroska, nbsvm, ngram_join, packing, ring, urlrules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,6 +36,13 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_groups(_table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
 
+@_query
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality score, of a model that has not seen the held-out fifth."""
+    docs = _table(spark, sf_dir, "documents")
+    return nbsvm.scored(docs, nbsvm.learned(docs, _table(spark, sf_dir, "labels")))
+
+
 #: The rules that op4 judges by.
 URL_RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
 
@@ -71,6 +78,12 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@_query
+def op7_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's bigram stupid-backoff score under the other documents."""
+    return backoff.backoff_scores(_table(spark, sf_dir, "documents"))
+
+
 @_query
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that contain a test item within the edit budget, with the item, the distance and where it ends."""
