@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from tidepool.llm import backoff, decontam, matroska, nbsvm, ngram_join, packing, ring, urlrules
+from tidepool.llm import backoff, decontam, licences, matroska, nbsvm, ngram_join, packing, perspectives, ring, urlrules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -88,3 +88,33 @@ def op7_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that contain a test item within the edit budget, with the item, the distance and where it ends."""
     return decontam.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+@_query
+def op9_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation from the perspective of each of its participants."""
+    return perspectives.rotated(_table(spark, sf_dir, "conversations"))
+
+
+ORACLES["op9_perspective_rotation"] = """
+    WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker,
+                      replace(replace(coalesce(text, ''), '<|im_start|>', '<| im_start|>'), '<|im_end|>', '<| im_end|>') AS said,
+                      coalesce(CAST(floor(turn / 512.0) AS BIGINT), -1) AS block FROM conversations),
+    r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, block ORDER BY turn NULLS FIRST, speaker, said) - 1 AS rank FROM t),
+    s AS (SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker <> 'system'),
+    x AS (SELECT r.conv_id, perspective, block, CAST(rank // 512 AS INTEGER) AS part, rank, speaker = perspective AS own,
+                 '<|im_start|>' || CASE WHEN speaker = 'system' THEN 'system' WHEN speaker = perspective THEN 'assistant' ELSE 'user name=' || speaker END || chr(10) AS opened,
+                 said || '<|im_end|>' AS body
+          FROM r JOIN s ON r.conv_id IS NOT DISTINCT FROM s.conv_id),
+    y AS (SELECT *, sum(length(opened) + length(body) + 1) OVER (PARTITION BY conv_id, perspective, block, part ORDER BY rank) AS stop FROM x)
+    SELECT conv_id, perspective, block, part, count(*) AS n_turns, string_agg(opened || body || chr(10), '' ORDER BY rank) AS rendered,
+           coalesce(string_agg(CASE WHEN own THEN CAST(stop - 1 - length(body) AS BIGINT) || '-' || CAST(stop - 1 AS BIGINT) END, ',' ORDER BY rank), '') AS mask,
+           CAST(coalesce(sum(CASE WHEN own THEN length(body) END), 0) AS BIGINT) AS masked_chars
+    FROM y GROUP BY conv_id, perspective, block, part
+"""
+
+
+@_query
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every paragraph that states a licence: its family, or unknown."""
+    return licences.scanned(_table(spark, sf_dir, "documents"))
