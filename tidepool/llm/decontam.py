@@ -125,9 +125,6 @@ def leaks(docs: DataFrame, items: DataFrame, rate: float = RATE, block_chars: in
     names = "doc_id long, item_id long, distance int, match_end int, item_chars int"
     docs = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
     items = items.select(F.col(item_col).cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
-    chars = items.agg(F.sum(F.length("text") + 1)).first()[0] or 0
-    blocks = max(1, -(-2 * chars // block_chars)) if chars > block_chars else 1
-
     def over(block: list[tuple[int, str]]) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(block, rate)
@@ -138,14 +135,32 @@ def leaks(docs: DataFrame, items: DataFrame, rate: float = RATE, block_chars: in
 
         return docs.mapInArrow(run, names)
 
-    parts = []
+    return reduce(DataFrame.unionByName, [over(block) for block in _blocks(items, block_chars)])
+
+
+def _blocks(items: DataFrame, block_chars: int) -> Iterator[list[tuple[int, str]]]:
+    """The items (item_id, text), in blocks that hold about block_chars characters at most."""
+    chars = items.agg(F.sum(F.length("text") + 1)).first()[0] or 0
+    blocks = -(-2 * chars // block_chars) if chars > block_chars else 1
     for n in range(blocks):
         mine = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == n) if blocks > 1 else items
-        parts.append(over([tuple(r) for r in mine.collect()]))
-    return reduce(DataFrame.unionByName, parts)
+        yield [tuple(r) for r in mine.collect()]
+
+
+def without_leaks(docs: DataFrame, items: DataFrame, rate: float = RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows of docs whose text contains no test item, with their columns as they are."""
+    small_batches(docs.sparkSession)
+    at = docs.columns.index("text")
+    items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
+
+    def clean(block: list[tuple[int, str]]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            matcher = Matcher(block, rate)
+            for b in batches:
+                yield b.filter(pa.array([not matcher.matches(t) for t in b.column(at).to_pylist()], pa.bool_()))
 
+        return run
 
-def without_leaks(docs: DataFrame, items: DataFrame, rate: float = RATE) -> DataFrame:
-    """docs without those that contain a test item."""
-    bad = leaks(docs, items, rate).select(F.col("doc_id").alias("leaked")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("leaked")), "left_anti")
+    for block in _blocks(items, block_chars):
+        docs = docs.mapInArrow(clean(block), docs.schema)
+    return docs

@@ -361,10 +361,14 @@ def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, u
 
 
 def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """docs without all documents of a group but the one with the smallest doc_id; documents without words stay. Of rows that repeat this doc_id in a group, one stays."""
-    groups = jaccard_groups(docs, k, num, den)
-    kept = groups.filter("component_id = doc_id or n_shingles = 0 or component_id is null").select("doc_id", (F.col("n_shingles") > 0).alias("worded"))
-    columns = docs.columns
-    out = docs.join(kept.distinct(), docs["doc_id"].eqNullSafe(kept["doc_id"])).select(*[docs[c] for c in columns], "worded")
-    alone = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
-    return out.withColumn("rank", F.row_number().over(alone)).filter("rank = 1 or not worded").select(*columns)
+    """The document with the smallest doc_id of each group, and all documents without words.
+
+    Documents without an id cannot be named by a group and stay. Rows that repeat an id stay once, with the first text.
+    """
+    groups = written(jaccard_groups(docs, k, num, den), "groups")
+    kept = groups.filter("component_id = doc_id or n_shingles = 0").select("doc_id")
+    out = docs.join(kept.distinct(), "doc_id", "left_semi").select(*docs.columns)
+    if not kept.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        first = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last(), *[F.col(c).cast("string").asc_nulls_last() for c in docs.columns])
+        out = out.withColumn("_rank", F.row_number().over(first)).filter("_rank = 1").select(*docs.columns)
+    return out.unionByName(docs.filter("doc_id is null"))
