@@ -5,6 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidepool.functions import text as T
+from tidepool.operators import aggregates as A
+from tidepool.operators import filters as FL
+from tidepool.operators import timeline as W
+from tidepool.operators import views as V
+from tidepool.operators.coding import Codebook, bounded_gap, coded
 from tidepool.plans.registry import query, table
 
 
@@ -27,3 +33,315 @@ def group_lift(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = by.groupBy("code").agg(F.sum("hits").alias("of_code")).crossJoin(F.broadcast(by.agg(F.sum("hits").alias("all"))))
     rate = F.col("hits") / F.col("n")
     return by.join(n, "grp").join(base, "code").select("grp", "code", "hits", F.round(rate, 6).alias("rate"), F.round(rate / (F.col("of_code") / F.col("all")), 6).alias("lift"))
+
+
+# --- Bindings: conversations are videos, turns their comments, roles the groups; a Latin-script codebook codes them. ---
+
+BOOK = Codebook(
+    dimensions={"craft": ["praise", "blame"], "lore": ["source", "doubt", "compare"], "mood": ["warmth", "pride"], "mention": ["symbol"]},
+    symbols=[("thing", "noun"), ("tion", "suffix"), ("heit", "suffix"), ("mente", "suffix"), ("que", "word"), ("lich", "suffix")],
+    phrases={"praise": ["able", "keit"], "blame": ["ver", "contra"], "source": ["the ", "der "], "doubt": ["que ", "wh"], "warmth": ["eau", "ou"], "pride": ["gro", "ung"]},
+    symbol_code="symbol",
+    composed={"praise": (["die", "la "], ["gut", "les"], ["nicht"])},
+    suppressed={"warmth": (["oui"], ["ou"])},
+    patterns={"compare": [bounded_gap(["in", "en"], ["tha", "der"])]},
+)
+LAUGH = "ha!"
+
+# The same codebook in SQL: `turns` with one boolean a code, `codes` long.
+_TURNS = """
+    turns AS (SELECT conv_id, turn, role, coalesce(text, '') AS text,
+        contains(text, 'able') OR contains(text, 'keit') OR (NOT contains(text, 'nicht') AND (contains(text, 'die') OR contains(text, 'la ')) AND (contains(text, 'gut') OR contains(text, 'les'))) AS praise,
+        contains(text, 'ver') OR contains(text, 'contra') AS blame,
+        contains(text, 'the ') OR contains(text, 'der ') AS source,
+        contains(text, 'que ') OR contains(text, 'wh') AS doubt,
+        regexp_matches(text, '(?:in|en).{0,8}(?:tha|der)') AS compare,
+        (contains(text, 'eau') OR contains(text, 'ou')) AND NOT (contains(text, 'oui') AND NOT contains(text, 'eau')) AS warmth,
+        contains(text, 'gro') OR contains(text, 'ung') AS pride,
+        contains(text, 'thing') OR contains(text, 'tion') OR contains(text, 'heit') OR contains(text, 'mente') OR contains(text, 'que') OR contains(text, 'lich') AS symbol
+        FROM conversations WHERE text IS NOT NULL),
+    book(code, dim, ord) AS (VALUES ('praise', 'craft', 0), ('blame', 'craft', 0), ('source', 'lore', 1), ('doubt', 'lore', 1), ('compare', 'lore', 1), ('warmth', 'mood', 2), ('pride', 'mood', 2), ('symbol', 'mention', 3)),
+    codes AS (SELECT conv_id, turn, role, text, u.code, dim, ord FROM turns, (VALUES ('praise'), ('blame'), ('source'), ('doubt'), ('compare'), ('warmth'), ('pride'), ('symbol')) u(code) JOIN book ON book.code = u.code
+        WHERE CASE u.code WHEN 'praise' THEN praise WHEN 'blame' THEN blame WHEN 'source' THEN source WHEN 'doubt' THEN doubt WHEN 'compare' THEN compare WHEN 'warmth' THEN warmth WHEN 'pride' THEN pride ELSE symbol END),
+    dims AS (SELECT DISTINCT conv_id, turn, role, text, dim, ord FROM codes),
+    n_codes AS (SELECT t.conv_id, t.turn, t.role, t.text, count(c.code) AS n FROM turns t LEFT JOIN codes c ON c.conv_id = t.conv_id AND c.turn = t.turn GROUP BY ALL)
+"""
+
+
+def coded_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as coded comments: video, grp, ord, content, symbols, codes, dims."""
+    c = table(spark, sf_dir, "conversations").filter("text is not null").select(F.col("conv_id").alias("video"), F.col("role").alias("grp"), F.col("turn").alias("ord"), F.col("text").alias("content"))
+    return coded(c, BOOK)
+
+
+def dims_table(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(d, i) for i, d in enumerate(BOOK.dimensions)], "dim string, ord int")
+
+
+def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
+    return df.withColumns({c: F.round(c, digits) for c in columns})
+
+
+@query(
+    "corpus_totals",
+    f"""WITH {_TURNS} SELECT count(*) AS comments, count(*) FILTER (n > 0) AS coded, count(*) FILTER (n > 1) AS multi, count(*) FILTER (n = 0) AS unlabeled,
+        count(*) FILTER (regexp_matches(regexp_replace(text, '\\s', '', 'g'), '^[ha!]{{2,}}$')) AS laugh, round(count(*) FILTER (n > 0) / count(*), 6) AS coded_rate FROM n_codes""",
+)
+def corpus_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(A.totals(coded_turns(spark, sf_dir), T.is_laugh(F.col("content"), LAUGH)), "coded_rate")
+
+
+@query("code_counts", f"WITH {_TURNS} SELECT book.code, count(codes.code) AS n FROM book LEFT JOIN codes ON codes.code = book.code GROUP BY book.code")
+def code_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.counts_by(coded_turns(spark, sf_dir), "codes", "code", spark.createDataFrame([(c,) for c in BOOK.codes], "code string"))
+
+
+@query("dim_counts", f"WITH {_TURNS} SELECT dim, count(*) AS n FROM dims GROUP BY dim")
+def dim_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dimensions by comments: several codes of one count once."""
+    return A.counts_by(coded_turns(spark, sf_dir), "dims", "dim")
+
+
+@query(
+    "group_buckets",
+    f"""WITH {_TURNS}, v AS (SELECT c_custkey AS video, c_mktsegment AS grp FROM customer), own AS (SELECT conv_id, count(*) AS comments, count(*) FILTER (n > 0) AS coded FROM n_codes GROUP BY conv_id)
+        SELECT grp, count(*) AS videos, count(*) FILTER (coalesce(comments, 0) = 0) AS empty, CAST(sum(coalesce(comments, 0)) AS BIGINT) AS comments, CAST(sum(coalesce(coded, 0)) AS BIGINT) AS coded
+        FROM v LEFT JOIN own ON conv_id = video GROUP BY grp""",
+)
+def group_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers stand for listed videos; most have no conversation, and count as empty."""
+    videos = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("video"), F.col("c_mktsegment").alias("grp"))
+    return A.group_buckets(videos, coded_turns(spark, sf_dir))
+
+
+_LIFT = """SELECT grp, {name}, n, round(n / of_group, 6) AS rate, round((n / of_group) / (of_name / of_all), 6) AS lift FROM
+    (SELECT grp, {name}, count(*) AS n FROM e GROUP BY ALL) JOIN (SELECT {name}, count(*) AS of_name FROM e GROUP BY ALL) USING ({name}) JOIN g USING (grp), (SELECT sum(of_group) AS of_all FROM g)"""
+
+
+@query("code_lift", f"WITH {_TURNS}, e AS (SELECT role AS grp, code FROM codes), g AS (SELECT role AS grp, count(*) AS of_group FROM turns GROUP BY role) " + _LIFT.format(name="code"))
+def code_lift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(A.lifts(coded_turns(spark, sf_dir), "codes", "code"), "rate", "lift")
+
+
+@query("dim_lift", f"WITH {_TURNS}, e AS (SELECT role AS grp, dim FROM dims), g AS (SELECT role AS grp, count(*) AS of_group FROM turns GROUP BY role) " + _LIFT.format(name="dim"))
+def dim_lift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(A.lifts(coded_turns(spark, sf_dir), "dims", "dim"), "rate", "lift")
+
+
+@query("volume_lift", "WITH e AS (SELECT l_returnflag AS grp, quarter(l_shipdate) AS code FROM lineitem), g AS (SELECT grp, count(*) AS of_group FROM e GROUP BY grp) " + _LIFT.format(name="code"))
+def volume_lift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as comments, for volume: return flags as groups, quarters as codes."""
+    e = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("grp"), F.array(F.quarter("l_shipdate").cast("long")).alias("codes"))
+    return rounded(A.lifts(e, "codes", "code"), "rate", "lift")
+
+
+_PAIRS = "pairs AS (SELECT x.code AS a, y.code AS b, count(*) AS n FROM codes x JOIN codes y ON x.conv_id = y.conv_id AND x.turn = y.turn AND x.code <> y.code GROUP BY ALL)"
+
+
+@query("cooccurrence", f"WITH {_TURNS}, {_PAIRS} SELECT * FROM pairs")
+def cooccurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.cooccurrence(coded_turns(spark, sf_dir))
+
+
+@query("pmi", f"WITH {_TURNS}, {_PAIRS}, s AS (SELECT code, count(*) AS n FROM codes GROUP BY code) SELECT a, b, pairs.n, round(ln(pairs.n * (SELECT count(*) FROM turns) / (sa.n * sb.n)), 6) AS pmi FROM pairs JOIN s sa ON sa.code = a JOIN s sb ON sb.code = b")
+def pmi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(A.pmi(coded_turns(spark, sf_dir)), "pmi")
+
+
+@query("cooccurrence_matrix", f"WITH {_TURNS}, {_PAIRS} SELECT a, {', '.join(f'coalesce(max(n) FILTER (b = {c!r}), 0) AS {c}' for c in BOOK.codes)} FROM pairs GROUP BY a")
+def cooccurrence_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.matrix(A.cooccurrence(coded_turns(spark, sf_dir)), BOOK.codes)
+
+
+@query("length_coverage", f"WITH {_TURNS} SELECT CASE WHEN length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) <= 200 THEN 'short' ELSE 'long' END AS kind, count(*) AS n, count(*) FILTER (n > 0) AS coded FROM n_codes GROUP BY kind")
+def length_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.length_coverage(coded_turns(spark, sf_dir), FL.stripped_length(F.col("content")), 200)
+
+
+# The names of the codebook's symbols do not overlap one another, so SQL may count each by itself.
+_SYMBOLS = """, names(name, category) AS (VALUES ('thing', 'noun'), ('tion', 'suffix'), ('heit', 'suffix'), ('mente', 'suffix'), ('que', 'word'), ('lich', 'suffix')),
+    hits AS (SELECT conv_id, turn, role, name, category, (length(text) - length(replace(text, name, ''))) // length(name) AS n FROM turns, names WHERE contains(text, name))"""
+
+
+@query("symbol_counts", f"WITH {_TURNS}{_SYMBOLS} SELECT name, category, CAST(sum(n) AS BIGINT) AS n FROM hits GROUP BY ALL")
+def symbol_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By occurrences."""
+    return A.symbol_counts(coded_turns(spark, sf_dir))[0]
+
+
+@query("symbol_categories", f"WITH {_TURNS}{_SYMBOLS} SELECT category, count(DISTINCT (conv_id, turn)) AS n FROM hits GROUP BY category")
+def symbol_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By comments."""
+    return A.symbol_counts(coded_turns(spark, sf_dir))[1]
+
+
+@query("symbol_dimensions", f"WITH {_TURNS}{_SYMBOLS}, k AS (SELECT DISTINCT conv_id, turn, category FROM hits) SELECT category, dim, count(*) AS n FROM k JOIN dims USING (conv_id, turn) GROUP BY ALL")
+def symbol_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.symbol_dimensions(coded_turns(spark, sf_dir))
+
+
+@query(
+    "symbol_binding",
+    f"""WITH {_TURNS}{_SYMBOLS}, bearing AS (SELECT DISTINCT conv_id, turn FROM hits), t AS (SELECT name, sum(n) AS n FROM hits GROUP BY name HAVING sum(n) >= 20),
+        base AS (SELECT dim, count(*) / (SELECT count(*) FROM bearing) AS base FROM bearing JOIN dims USING (conv_id, turn) GROUP BY dim),
+        h AS (SELECT name, dim, ord, sum(n) AS hits FROM hits JOIN dims USING (conv_id, turn) WHERE dim <> 'mention' GROUP BY ALL),
+        s AS (SELECT name, t.n, dim, hits, hits / t.n / base AS lift, row_number() OVER (PARTITION BY name ORDER BY hits / t.n / base DESC, hits DESC, ord) AS r FROM h JOIN t USING (name) JOIN base USING (dim))
+        SELECT name, CAST(n AS BIGINT) AS n, dim, CAST(hits AS BIGINT) AS hits, round(lift, 6) AS lift, lift >= 1.3 AND hits >= 8 AS bound FROM s WHERE r = 1 ORDER BY n DESC, name LIMIT 24""",
+)
+def symbol_binding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(A.symbol_binding(coded_turns(spark, sf_dir), dims_table(spark), "mention"), "lift")
+
+
+@query("turn_codes", f"WITH {_TURNS} SELECT conv_id AS video, turn AS ord, string_agg(code, ',' ORDER BY list_position(['praise', 'blame', 'source', 'doubt', 'compare', 'warmth', 'pride', 'symbol'], code)) AS codes FROM codes GROUP BY conv_id, turn")
+def turn_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each coded comment's codes, in the codebook's order."""
+    return coded_turns(spark, sf_dir).filter(F.size("codes") > 0).select("video", "ord", F.array_join("codes", ",").alias("codes"))
+
+
+_BY_VIDEO = "by_video AS (SELECT event_type AS code, user_id AS video, count(*) AS n FROM events GROUP BY ALL), shares AS (SELECT *, n / sum(n) OVER (PARTITION BY code) AS share, row_number() OVER (PARTITION BY code ORDER BY n DESC, video) AS r FROM by_video)"
+_CONCENTRATION = "SELECT code, CAST(sum(n) AS BIGINT) AS n, count(*) AS videos, round(max(share), 6) AS top_share, round(sum(share * share), 6) AS hhi, string_agg(CASE WHEN r <= 3 THEN CAST(video AS VARCHAR) END, ',' ORDER BY r) AS top FROM shares GROUP BY code"
+
+
+def _concentration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = events(spark, sf_dir).groupBy("code", "video").agg(F.count("*").alias("n"))
+    return A.concentration(counts)
+
+
+@query("concentration", f"WITH {_BY_VIDEO} {_CONCENTRATION}")
+def concentration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_concentration(spark, sf_dir), "top_share", "hhi").withColumn("top", F.array_join(F.transform("top", lambda v: v.cast("string")), ","))
+
+
+@query("headed_codes", f"WITH {_BY_VIDEO}, c AS ({_CONCENTRATION}) SELECT code, n FROM c WHERE n < 2000 OR top_share >= 0.2")
+def headed_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.headed(_concentration(spark, sf_dir), few=2000).select("code", "n")
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as comments: id, video, grp, code, dim, mode, ctime (s), moment (ms since the video's first), value."""
+    e = table(spark, sf_dir, "events")
+    at = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).cast("long")
+    first = e.groupBy("user_id").agg(F.min(at).alias("_first"))
+    dim = F.when(F.col("event_type").isin("view", "click"), "browse").when(F.col("event_type") == "error", "fault").otherwise("act")
+    mode = F.get_json_object("props", "$.k").cast("long") % 5
+    x = e.select(F.col("event_id").alias("id"), F.col("user_id").alias("video"), (F.col("user_id") % 5).alias("grp"), F.col("event_type").alias("code"), dim.alias("dim"), mode.alias("mode"), at.alias("ctime"), "value", "user_id")
+    return x.join(first, "user_id").withColumn("moment", (F.col("ctime") - F.col("_first")) * 1000).drop("_first", "user_id")
+
+
+_EVENTS = """
+    ev AS (SELECT event_id AS id, user_id AS video, user_id % 5 AS grp, event_type AS code, CASE WHEN event_type IN ('view', 'click') THEN 'browse' WHEN event_type = 'error' THEN 'fault' ELSE 'act' END AS dim,
+        CAST(json_extract_string(props, '$.k') AS BIGINT) % 5 AS mode, CAST(floor(epoch(ts)) AS BIGINT) AS ctime, value, (CAST(floor(epoch(ts)) AS BIGINT) - min(CAST(floor(epoch(ts)) AS BIGINT)) OVER (PARTITION BY user_id)) * 1000 AS moment FROM events),
+    len AS (SELECT video, max(moment) + 1 AS duration, count(*) AS size FROM ev GROUP BY video)
+"""
+
+
+@query("mode_counts", f"WITH {_EVENTS} SELECT mode, count(*) AS n, count(*) FILTER (code <> 'view') AS coded FROM ev WHERE mode IS NOT NULL GROUP BY mode")
+def mode_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events other than views count as coded."""
+    return A.mode_counts(events(spark, sf_dir).withColumn("codes", F.when(F.col("code") != "view", F.array("code")).otherwise(F.array().cast("array<string>"))))
+
+
+_HOURS = f"WITH {_EVENTS}, h AS (SELECT CAST(range AS INTEGER) AS hour, count(*) FILTER (code <> 'view') AS coded, count(*) FILTER (code = 'view') AS other FROM range(24) LEFT JOIN ev ON ((ctime + 28800) // 3600) % 24 = range GROUP BY range)"
+
+
+def _hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.hour_profile(events(spark, sf_dir).withColumn("codes", F.when(F.col("code") != "view", F.array("code")).otherwise(F.array().cast("array<string>"))))
+
+
+@query("hour_profile", f"{_HOURS} SELECT * FROM h")
+def hour_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hours(spark, sf_dir)
+
+
+@query("hour_shares", f"{_HOURS} SELECT hour, round(coded / (SELECT sum(coded) FROM h), 6) AS coded, round(other / (SELECT sum(other) FROM h), 6) AS other FROM h")
+def hour_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(V.hour_shares(_hours(spark, sf_dir)), "coded", "other")
+
+
+@query(
+    "video_cards",
+    f"""WITH {_EVENTS}, d AS (SELECT video, dim, count(*) AS n, CASE dim WHEN 'browse' THEN 0 WHEN 'act' THEN 1 ELSE 2 END AS ord FROM ev GROUP BY ALL),
+        b AS (SELECT video, dim, row_number() OVER (PARTITION BY video ORDER BY n DESC, ord) AS r FROM d),
+        c AS (SELECT video, code, row_number() OVER (PARTITION BY video ORDER BY count(*) DESC, code) AS r FROM ev GROUP BY video, code)
+        SELECT len.video, size AS n, size AS coded, dim AS dominant, (SELECT string_agg(code, ',' ORDER BY c.r) FROM c WHERE c.video = len.video AND c.r <= 3) AS top_symbols FROM len JOIN b ON b.video = len.video AND b.r = 1""",
+)
+def video_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event types stand for codes and for symbols."""
+    e = events(spark, sf_dir).select("video", F.array("code").alias("codes"), F.array("dim").alias("dims"), F.array(F.struct(F.col("code").alias("name"), F.lit("type").alias("category"))).alias("symbols"))
+    dims = spark.createDataFrame([("browse", 0), ("act", 1), ("fault", 2)], "dim string, ord int")
+    return A.video_cards(e, dims).withColumn("top_symbols", F.array_join("top_symbols", ","))
+
+
+@query(
+    "card_lift",
+    f"""WITH {_EVENTS}, g AS (SELECT grp, code, count(*) / max(t.n) AS rate FROM ev JOIN (SELECT grp, count(*) AS n FROM ev GROUP BY grp) t USING (grp) GROUP BY grp, code)
+        SELECT e.video, e.code, round(e.hits / len.size / g.rate, 6) AS lift FROM (SELECT video, grp, code, count(*) AS hits FROM ev GROUP BY ALL) e JOIN len USING (video) JOIN g USING (grp, code)""",
+)
+def card_lift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = events(spark, sf_dir)
+    cards = e.groupBy("video", "grp", "code").agg(F.count("*").alias("hits")).join(e.groupBy("video").agg(F.count("*").alias("n")), "video")
+    groups = A.lifts(e.withColumn("codes", F.array("code")), "codes", "code")
+    return A.card_lifts(cards, groups).select("video", "code", F.round("lift", 6).alias("lift"))
+
+
+_BINS = "bins AS (SELECT video, code, dim, least({b} - 1, CAST(floor(moment / duration * {b}) AS INTEGER)) AS bin FROM ev JOIN len USING (video) {where})"
+
+
+def _binned(spark: SparkSession, sf_dir: str, bins: int, least: int = 0) -> DataFrame:
+    e = events(spark, sf_dir)
+    size = W.durations(e, None).join(e.groupBy("video").agg(F.count("*").alias("size")), "video").filter(F.col("size") >= least)
+    return e.join(size, "video").withColumn("bin", W.bin_of(F.col("moment"), F.col("duration"), bins))
+
+
+@query(
+    "burst_bins",
+    f"""WITH {_EVENTS}, {_BINS.format(b=10, where='')}, c AS (SELECT video, code, bin, count(*) AS n FROM bins GROUP BY ALL), t AS (SELECT *, sum(n) OVER (PARTITION BY video, code) AS total FROM c)
+        SELECT code, count(*) AS n FROM t WHERE total >= 6 AND n >= 3 AND n >= 3 * total / 10 GROUP BY code""",
+)
+def burst_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return W.bursts(_binned(spark, sf_dir, 10).groupBy("video", "code", "bin").agg(F.count("*").alias("n")))
+
+
+_DOM = f"""WITH {_EVENTS}, {_BINS.format(b=20, where='WHERE size >= 30')}, c AS (SELECT video, bin, dim, count(*) AS n, CASE dim WHEN 'browse' THEN 0 WHEN 'act' THEN 1 ELSE 2 END AS ord FROM bins GROUP BY ALL),
+    best AS (SELECT video, bin, dim FROM (SELECT *, row_number() OVER (PARTITION BY video, bin ORDER BY n DESC, ord) AS r FROM c) WHERE r = 1),
+    steps AS (SELECT x.dim AS a, y.dim AS b, count(*) AS n FROM best x JOIN best y ON x.video = y.video AND y.bin = x.bin + 1 GROUP BY ALL)"""
+
+
+def _steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = F.when(F.col("dim") == "browse", 0).when(F.col("dim") == "act", 1).otherwise(2)
+    counts = _binned(spark, sf_dir, 20, 30).groupBy("video", "bin", "dim").agg(F.count("*").alias("n")).withColumn("ord", order)
+    return W.transitions(W.bin_dominants(counts, ["video"], "bin", 20), ["video"])
+
+
+@query("transitions", f"{_DOM} SELECT * FROM steps")
+def transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _steps(spark, sf_dir)
+
+
+@query("stay_rates", f"{_DOM} SELECT a, CAST(sum(n) AS BIGINT) AS total, round(sum(CASE WHEN a = b THEN n ELSE 0 END) / sum(n), 6) AS stay FROM steps GROUP BY a HAVING sum(n) >= 30")
+def stay_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(W.stay_rates(_steps(spark, sf_dir)), "stay")
+
+
+@query("flows", f"{_DOM} SELECT * FROM steps WHERE a <> b AND n >= 8")
+def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.flows(_steps(spark, sf_dir))
+
+
+_SERIES = f"""WITH {_EVENTS}, {_BINS.format(b=20, where='WHERE size >= 30')}, sizes AS (SELECT video, bin, count(*) AS size FROM bins GROUP BY ALL),
+    series AS (SELECT dim, bin, sum(n / size) / max(videos) AS share FROM (SELECT video, bin, dim, count(*) AS n FROM bins GROUP BY ALL) JOIN sizes USING (video, bin) JOIN (SELECT bin, count(*) AS videos FROM sizes GROUP BY bin) USING (bin) GROUP BY dim, bin)"""
+
+
+def _series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = _binned(spark, sf_dir, 20, 30)
+    return W.equal_weight_series(b.groupBy("video", "bin", "dim").agg(F.count("*").alias("n")), b.groupBy("video", "bin").agg(F.count("*").alias("size")))
+
+
+@query("timeline_share", f"{_SERIES} SELECT dim, bin, round(share, 6) AS share FROM series")
+def timeline_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_series(spark, sf_dir), "share")
+
+
+@query("arcs", f"{_SERIES}, x AS (SELECT dim, coalesce(sum(share) FILTER (bin < 5), 0) / 5 AS first, coalesce(sum(share) FILTER (bin >= 15), 0) / 5 AS last FROM series GROUP BY dim) SELECT dim, round(first, 6) AS first, round(last, 6) AS last, round(last - first, 6) AS delta FROM x")
+def arcs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(W.arcs(_series(spark, sf_dir)), "first", "last", "delta")
