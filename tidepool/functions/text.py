@@ -52,9 +52,16 @@ def stable_hash(c: Column) -> Column:
 
 
 def feature_buckets(c: Column, n_features: int = 1 << 15) -> Column:
-    """Distinct hashed character uni-, bi- and trigrams of the compact text."""
-    x = compact(c)
-    return F.array_distinct(F.transform(F.concat(grams(x, 1), grams(x, 2), grams(x, 3)), lambda g: stable_hash(g) % n_features))
+    """Distinct hashed character uni-, bi- and trigrams of the compact text.
+
+    The hash of a gram goes on from the hash of the gram without its last character, so each gram costs one step.
+    """
+    points = F.transform(F.filter(F.split(compact(c), ""), lambda x: x != ""), lambda x: F.ascii(x).cast("long"))
+    step = lambda v, x: (v.bitwiseXOR(x) * F.lit(FNV_PRIME)).bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))
+    longer = lambda h, n: F.zip_with(F.slice(h, F.lit(1), F.greatest(F.size(points) - n + 1, F.lit(0))), F.slice(points, F.lit(n), F.greatest(F.size(points) - n + 1, F.lit(0))), step)
+    one = F.transform(points, lambda x: step(F.lit(FNV_START).cast("long"), x))
+    two = longer(one, 2)
+    return F.array_distinct(F.transform(F.concat(one, two, longer(two, 3)), lambda h: h % n_features))
 
 
 def unescape(c: Column) -> Column:

@@ -7,11 +7,18 @@ from pyspark.sql import functions as F
 
 from tidepool.functions import text as T
 from tidepool.operators import aggregates as A
+from tidepool.operators import clusters as C
 from tidepool.operators import filters as FL
+from tidepool.operators import joins as J
+from tidepool.operators import models as M
+from tidepool.operators import sampling as S
 from tidepool.operators import timeline as W
 from tidepool.operators import views as V
+from tidepool.operators import voice as VO
 from tidepool.operators.coding import Codebook, bounded_gap, coded
 from tidepool.plans.registry import query, table
+from tidepool.sources import comments as K
+from tidepool.sources import pages as P
 
 
 @query(
@@ -345,3 +352,664 @@ def timeline_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("arcs", f"{_SERIES}, x AS (SELECT dim, coalesce(sum(share) FILTER (bin < 5), 0) / 5 AS first, coalesce(sum(share) FILTER (bin >= 15), 0) / 5 AS last FROM series GROUP BY dim) SELECT dim, round(first, 6) AS first, round(last, 6) AS last, round(last - first, 6) AS delta FROM x")
 def arcs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(W.arcs(_series(spark, sf_dir)), "first", "last", "delta")
+
+
+# --- Time structure ---
+
+_WEEK = f"""WITH {_EVENTS}, w AS (SELECT video, ctime, count(*) OVER x AS n, min(ctime) OVER x AS origin FROM ev WINDOW x AS (PARTITION BY video ORDER BY ctime RANGE BETWEEN 604800 PRECEDING AND CURRENT ROW)),
+    best AS (SELECT video, n, origin FROM (SELECT *, row_number() OVER (PARTITION BY video ORDER BY n DESC, ctime) AS r FROM w) WHERE r = 1)"""
+
+
+def stamped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with a place on a film (a hash of their id, within an hour) and a send time."""
+    return events(spark, sf_dir).select("video", "id", ((F.col("id") * 7919) % 3_600_000).alias("progress"), F.col("ctime").alias("stamp"))
+
+
+@query("densest_week", f"{_WEEK} SELECT * FROM best")
+def densest_week(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return W.densest_week(stamped(spark, sf_dir), ["video"])
+
+
+@query(
+    "premiere_stats",
+    f"""{_WEEK}, p AS (SELECT ev.video, (id * 7919) % 3600000 AS progress, ctime AS stamp, origin, ctime BETWEEN origin AND origin + 604800 AS inside FROM ev JOIN best USING (video)),
+        l AS (SELECT *, lag(stamp) OVER o AS prev, coalesce(lag(inside) OVER o, false) AND inside AS both_in FROM p WINDOW o AS (PARTITION BY video ORDER BY progress, stamp))
+        SELECT video, count(*) AS usable, count(*) FILTER (inside) AS premiere_n, count(prev) AS adj_all, count(*) FILTER (stamp < prev) AS inv_all, count(*) FILTER (abs(stamp - prev) > 604800) AS gap7,
+            count(*) FILTER (both_in) AS adj_pre, count(*) FILTER (both_in AND stamp < prev) AS inv_pre, round((any_value(origin) - min(stamp)) / 86400, 6) AS week_offset_days, round((max(stamp) - min(stamp)) / 86400, 6) AS span_days,
+            round(count(*) FILTER (inside) / count(*), 6) AS premiere_share FROM l GROUP BY video HAVING count(*) >= 30""",
+)
+def premiere_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(W.premiere_stats(stamped(spark, sf_dir), ["video"]), "week_offset_days", "span_days", "premiere_share")
+
+
+@query(
+    "minute_bins",
+    f"""WITH {_EVENTS}, r AS (SELECT grp AS video, (id * 7919) % 3600000 // 600000 AS minute, ctime AS stamp FROM ev),
+        v AS (SELECT video, stamp, count(*) OVER x AS n, min(stamp) OVER x AS origin FROM r WINDOW x AS (PARTITION BY video ORDER BY stamp RANGE BETWEEN 604800 PRECEDING AND CURRENT ROW)),
+        o AS (SELECT video, arg_min(origin, (-n, stamp)) AS origin FROM v GROUP BY video),
+        m AS (SELECT video, minute, count(*) OVER x AS n FROM r WINDOW x AS (PARTITION BY video, minute ORDER BY stamp RANGE BETWEEN 604800 PRECEDING AND CURRENT ROW)),
+        k AS (SELECT video, minute, max(n) AS week_n FROM m GROUP BY ALL)
+        SELECT video, minute, count(*) AS n, round((max(stamp) - min(stamp)) / 86400, 6) AS span_days, round(max(week_n) / count(*), 6) AS week_share, round(count(*) FILTER (stamp BETWEEN origin AND origin + 604800) / count(*), 6) AS premiere_share
+        FROM r JOIN o USING (video) JOIN k USING (video, minute) GROUP BY video, minute HAVING count(*) >= 15""",
+)
+def minute_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups as videos, bins of ten minutes."""
+    rows = events(spark, sf_dir).select(F.col("grp").alias("video"), ((F.col("id") * 7919) % 3_600_000).alias("progress"), F.col("ctime").alias("stamp"))
+    return rounded(W.minute_bins(rows, ["video"], bin_ms=600_000), "span_days", "week_share", "premiere_share")
+
+
+_POOL = f"""WITH {_EVENTS}, r AS (SELECT grp, CASE WHEN id % 10 = 0 THEN NULL ELSE id // 2 END AS id, CASE WHEN id % 7 = 0 THEN NULL ELSE moment END AS progress_ms, CASE WHEN id % 11 = 0 THEN NULL WHEN id % 3 = 0 THEN ctime * 1000 WHEN id % 13 = 0 THEN 5 ELSE ctime END AS c, CASE WHEN id % 17 = 0 THEN '' ELSE code END AS content, mode AS page FROM ev),
+    q AS (SELECT grp, count(*) AS rows, count(*) FILTER (content = '') AS empty, count(*) FILTER (progress_ms IS NULL) AS no_progress, count(*) FILTER (c IS NULL) AS no_ctime, count(id) - count(DISTINCT id) AS dup_id,
+        count(*) FILTER (c > 1000000000000) AS ctime_ms, count(*) FILTER (c > 1000000000 AND c <= 1000000000000) AS ctime_s, count(*) FILTER (c <= 1000000000) AS ctime_other,
+        min(CASE WHEN c > 1000000000000 THEN c / 1000 ELSE CAST(c AS DOUBLE) END) FILTER (progress_ms IS NOT NULL) AS ctime_min, max(CASE WHEN c > 1000000000000 THEN c / 1000 ELSE CAST(c AS DOUBLE) END) FILTER (progress_ms IS NOT NULL) AS ctime_max,
+        count(DISTINCT page) AS pages, count(*) FILTER (progress_ms IS NOT NULL AND c IS NOT NULL) AS usable, CAST(median(length(content)) FILTER (content <> '') AS DOUBLE) AS median_length FROM r GROUP BY grp)"""
+
+
+def _pools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, i = events(spark, sf_dir), F.col("id")
+    ctime = F.when(i % 11 == 0, None).when(i % 3 == 0, F.col("ctime") * 1000).when(i % 13 == 0, 5).otherwise(F.col("ctime"))
+    rows = e.select("grp", F.when(i % 10 != 0, F.floor(i / 2)).alias("id"), F.when(i % 7 != 0, F.col("moment")).alias("progress_ms"), ctime.alias("ctime"), F.when(i % 17 == 0, "").otherwise(F.col("code")).alias("content"), F.col("mode").alias("page"))
+    return A.pool_quality(rows, ["grp"])
+
+
+@query("pool_quality", f"{_POOL} SELECT * FROM q")
+def pool_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with gaps made of their ids, to have something to count."""
+    return _pools(spark, sf_dir)
+
+
+@query(
+    "pool_merge",
+    f"""{_POOL} SELECT count(*) AS pools, {', '.join(f'CAST(sum({c}) AS BIGINT) AS {c}' for c in ('rows', 'empty', 'no_progress', 'no_ctime', 'dup_id', 'ctime_ms', 'ctime_s', 'ctime_other', 'usable'))},
+        min(ctime_min) AS ctime_min, max(ctime_max) AS ctime_max, count(*) FILTER (pages > 1) AS several_pages, round(sum(usable) / sum(rows), 6) AS usable_share FROM q""",
+)
+def pool_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(A.merged_quality(_pools(spark, sf_dir)), "usable_share")
+
+
+@query("nearest_rank", f"WITH {_EVENTS}, o AS (SELECT video, list(value ORDER BY value) AS v FROM ev GROUP BY video) SELECT video, round(v[1 + CAST(round_even(0.9 * (len(v) - 1), 0) AS BIGINT)], 6) AS p90 FROM o")
+def nearest_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events(spark, sf_dir).groupBy("video").agg(F.round(A.nearest_rank(F.collect_list("value"), 90), 6).alias("p90"))
+
+
+@query("value_ranges", f"WITH {_EVENTS} SELECT code, round(min(value), 6) AS least, round(median(value), 6) AS middle, round(max(value), 6) AS greatest FROM ev GROUP BY code")
+def value_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(A.ranges(events(spark, sf_dir), ["code"], "value"), "least", "middle", "greatest")
+
+
+_FILM = """t AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations), parts AS (SELECT conv_id, turn AS page, length(text) AS duration FROM t),
+    placed AS (SELECT a.conv_id AS video, a.turn AS ord, a.role AS pool, a.text AS content, least(coalesce((SELECT sum(duration) FROM parts p WHERE p.conv_id = a.conv_id AND p.page < a.turn), 0) * 1000.0 + (a.turn * 977) % 5000, total - 1) / total AS percent
+        FROM t a JOIN (SELECT conv_id, sum(duration) * 1000.0 AS total FROM parts GROUP BY conv_id) s ON s.conv_id = a.conv_id WHERE total > 0)"""
+
+
+def placed_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as comments on a film whose parts are the turns, as long as their texts: video, ord, pool, content, norm, percent."""
+    t = table(spark, sf_dir, "conversations").withColumn("text", F.coalesce("text", F.lit("")))
+    parts = t.groupBy("conv_id").agg(F.collect_list(F.struct(F.col("turn").alias("page"), F.length("text").alias("duration"))).alias("parts"))
+    percent = W.percent_in_film((F.col("turn") * 977) % 5000, F.col("turn"), F.col("parts"))
+    x = t.join(parts, "conv_id").select(F.col("conv_id").alias("video"), F.col("turn").alias("ord"), F.col("role").alias("pool"), F.col("text").alias("content"), T.normalize(F.col("text")).alias("norm"), percent.alias("percent"))
+    return x.filter("percent is not null")
+
+
+@query("percent_in_film", f"WITH {_FILM} SELECT video, ord, round(percent, 6) AS percent FROM placed")
+def percent_in_film(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return placed_turns(spark, sf_dir).select("video", "ord", F.round("percent", 6).alias("percent"))
+
+
+_PLACED = f"WITH {_EVENTS}, pl AS (SELECT grp, id, (id * 7919) % 3600000 / 3600000.0 * ((id * 31) % 100) / 100.0 AS percent FROM ev)"
+
+
+def placed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("id")
+    percent = (i * 7919) % 3_600_000 / F.lit(3_600_000.0) * ((i * 31) % 100) / F.lit(100.0)
+    return events(spark, sf_dir).select("grp", "id", percent.alias("percent"))
+
+
+@query(
+    "crowded_spans",
+    f"""{_PLACED}, c AS (SELECT grp, bin, coalesce(n, 0) AS n FROM (SELECT grp, range AS bin FROM (SELECT DISTINCT grp FROM pl), range(50)) LEFT JOIN (SELECT grp, least(49, CAST(floor(percent * 50) AS BIGINT)) AS bin, count(*) AS n FROM pl GROUP BY ALL) USING (grp, bin)),
+        s AS (SELECT *, (coalesce(lag(n) OVER w, 0) + n + coalesce(lead(n) OVER w, 0)) / 3 AS smooth FROM c WINDOW w AS (PARTITION BY grp ORDER BY bin)),
+        h AS (SELECT *, bin - row_number() OVER (PARTITION BY grp ORDER BY bin) AS island FROM (SELECT *, max(smooth) OVER (PARTITION BY grp) AS peak FROM s) WHERE peak > 0 AND smooth >= peak * 0.7)
+        SELECT grp, round(min(bin) / 50, 6) AS start, round((max(bin) + 1) / 50, 6) AS "end" FROM h GROUP BY grp, island""",
+)
+def crowded_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(W.crowded_spans(placed_events(spark, sf_dir), ["grp"]), "start", "end")
+
+
+@query(
+    "dense_windows",
+    f"""{_PLACED}, c AS (SELECT grp, bin, coalesce(n, 0) AS n FROM (SELECT grp, CAST(range AS INTEGER) AS bin FROM (SELECT DISTINCT grp FROM pl), range(10)) LEFT JOIN (SELECT grp, least(9, CAST(floor(percent * 10) AS INTEGER)) AS bin, count(*) AS n FROM pl GROUP BY ALL) USING (grp, bin))
+        SELECT grp, bin, n FROM c JOIN (SELECT grp, list(n ORDER BY n)[6] AS middle FROM c GROUP BY grp) USING (grp) WHERE n > middle""",
+)
+def dense_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return W.dense_windows(placed_events(spark, sf_dir), ["grp"])
+
+
+@query(
+    "send_depth",
+    f"""WITH {_EVENTS}, h AS (SELECT id, video, (ctime - min(ctime) OVER (PARTITION BY video)) / 3600 AS h FROM ev), c AS (SELECT video, list(h ORDER BY h) AS v FROM h GROUP BY video), k AS (SELECT video, v[1 + CAST(round_even(0.99 * (len(v) - 1), 0) AS BIGINT)] AS cap FROM c)
+        SELECT id, round(CASE WHEN cap > 0 THEN least(greatest(ln(1 + h) / ln(1 + cap), 0), 1) ELSE 0.5 END, 6) AS depth FROM h JOIN k USING (video)""",
+)
+def send_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return W.send_depth(events(spark, sf_dir).select("id", "video", "ctime"), ["video"]).select("id", F.round("depth", 6).alias("depth"))
+
+
+@query(
+    "qa_interval",
+    f"""WITH {_EVENTS}, q AS (SELECT grp, ctime // 60 AS second, count(*) AS n FROM ev WHERE code = 'error' GROUP BY ALL)
+        SELECT grp, CAST(sum(n) AS BIGINT) AS questions, CAST(coalesce(sum(n) FILTER (EXISTS (SELECT 1 FROM ev WHERE ev.code = 'purchase' AND ev.grp = q.grp AND ev.ctime // 60 BETWEEN q.second AND q.second + 5)), 0) AS BIGINT) AS answered FROM q GROUP BY grp""",
+)
+def qa_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors as questions, purchases as answers, minutes as seconds."""
+    e = events(spark, sf_dir).withColumn("second", F.floor(F.col("ctime") / 60))
+    return J.answered_questions(e.filter("code = 'error'"), e.filter("code = 'purchase'"), "grp", "second")
+
+
+# --- Hashes and samples over turns ---
+
+_FNV = "list_reduce(list_prepend(CAST(2166136261 AS BIGINT), list_transform(string_split({x}, ''), lambda c: CAST(unicode(c) AS BIGINT))), lambda v, c: (xor(v, c) * 16777619) & 4294967295)"
+_H = "hs AS (SELECT conv_id, turn, role, text, {cols} FROM conversations WHERE length(text) > 0)".replace("{cols}", f"{_FNV.format(x='text')} AS h")
+
+
+def _said(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").filter("length(text) > 0")
+
+
+@query("stable_hash", f"WITH {_H} SELECT conv_id, turn, h FROM hs")
+def stable_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _said(spark, sf_dir).select("conv_id", "turn", T.stable_hash(F.col("text")).alias("h"))
+
+
+@query("hash_split", f"SELECT conv_id, turn, CASE WHEN {_FNV.format(x=chr(39) + 'split:' + chr(39) + ' || text')} % 5 = 0 THEN 'eval' ELSE 'train' END AS part FROM conversations WHERE length(text) > 0")
+def hash_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _said(spark, sf_dir).select("conv_id", "turn", S.hash_split(F.col("text")).alias("part"))
+
+
+@query("gap_sample", f"WITH {_TURNS} SELECT conv_id AS video, turn AS ord FROM n_codes WHERE n < 3 AND length(trim(text, ' ' || chr(10))) BETWEEN 4 AND 400 AND {_FNV.format(x=chr(39) + 'gap:' + chr(39) + ' || text')} % 8 = 0")
+def gap_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns with fewer than three codes stand for uncoded comments, and may be longer."""
+    c = coded_turns(spark, sf_dir).withColumn("codes", F.slice("codes", 3, 100))
+    hit = FL.margin_candidate(F.col("codes"), F.col("content"), LAUGH, 4, 400) & (T.stable_hash(F.concat(F.lit("gap:"), "content")) % 8 == 0)
+    return c.filter(hit).select("video", "ord")
+
+
+@query("residue_sample", f"WITH {_TURNS} SELECT conv_id AS video, turn AS ord FROM n_codes WHERE n < 3 AND length(text) BETWEEN 4 AND 400 AND {_FNV.format(x='text')} % 3 = 0")
+def residue_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = coded_turns(spark, sf_dir).withColumn("codes", F.slice("codes", 3, 100))
+    return c.filter(FL.residue(F.col("codes"), F.col("content"), LAUGH, high=400)).select("video", "ord")
+
+
+@query(
+    "reservoir",
+    f"""WITH s AS (SELECT role, text, row_number() OVER (PARTITION BY role ORDER BY conv_id, turn) AS seen, {_FNV.format(x='text')} AS h, {_FNV.format(x=chr(39) + 'slot:' + chr(39) + ' || text')} % 20 AS sl FROM conversations WHERE length(text) > 0),
+        a AS (SELECT *, CASE WHEN seen <= 20 THEN seen - 1 WHEN h % seen < 20 THEN sl END AS slot FROM s) SELECT role, slot, md5(arg_max(text, seen)) AS text_md5 FROM a WHERE slot IS NOT NULL GROUP BY role, slot""",
+)
+def reservoir(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twenty texts a role; their hashes are reported."""
+    return S.reservoir(_said(spark, sf_dir), "text", ["role"], ["conv_id", "turn"], 20).select("role", "slot", F.md5("text").alias("text_md5"))
+
+
+@query("exemplars", f"WITH {_TURNS}, r AS (SELECT code, conv_id, turn, row_number() OVER (PARTITION BY code ORDER BY conv_id, turn) AS place, md5(text) AS text_md5 FROM codes) SELECT code, CAST(place AS INTEGER) AS place, text_md5 FROM r WHERE place <= 8")
+def exemplars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.exemplars(coded_turns(spark, sf_dir), ["video", "ord"]).select("code", "place", F.md5("content").alias("text_md5"))
+
+
+@query(
+    "feature_buckets",
+    f"""WITH c AS (SELECT conv_id, turn, regexp_replace(text, '\\s', '', 'g') AS x FROM conversations WHERE length(text) > 0),
+        g AS (SELECT DISTINCT conv_id, turn, substr(x, CAST(i AS BIGINT), CAST(n AS BIGINT)) AS gram FROM c, unnest([1, 2, 3]) u(n), range(1, (SELECT max(length(text)) + 1 FROM conversations)) r(i) WHERE i + n - 1 <= length(x))
+        SELECT conv_id, turn, count(DISTINCT b) AS buckets, CAST(sum(DISTINCT b) AS BIGINT) AS total FROM (SELECT conv_id, turn, {_FNV.format(x='gram')} % 32768 AS b FROM g) GROUP BY conv_id, turn""",
+)
+def feature_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = T.feature_buckets(F.col("text"))
+    return _said(spark, sf_dir).select("conv_id", "turn", b.alias("b")).select("conv_id", "turn", F.size("b").cast("long").alias("buckets"), F.aggregate("b", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+
+
+_ALPHA = "'fZodR9XQDSUm21yCkr6zBqiveYah8bt4xsWpHnJE7jL5VG3guMTKNPAwcF'"
+
+
+@query(
+    "id_codec",
+    f"""WITH v AS (SELECT c_custkey, 'BV1' || string_agg(substr({_ALPHA}, CAST((c_custkey * (i + 7919) + i * 31) % 58 + 1 AS BIGINT), 1), '' ORDER BY i) AS bvid FROM customer, range(9) t(i) GROUP BY c_custkey)
+        SELECT c_custkey, bvid, xor(CAST({' + '.join(f"(instr({_ALPHA}, substr(bvid, {p + 1}, 1)) - 1) * {58**i}" for i, p in enumerate(T.ID_POSITIONS))} - 8728348608 AS BIGINT), CAST(177451812 AS BIGINT)) AS aid FROM v""",
+)
+def id_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Video ids made of customer keys, decoded."""
+    c = table(spark, sf_dir, "customer").select("c_custkey")
+    letters = F.array(*map(F.lit, T.ID_ALPHABET))
+    digits = F.transform(F.sequence(F.lit(0), F.lit(8)), lambda i: F.get(letters, ((F.col("c_custkey") * (i + 7919) + i * 31) % 58).cast("int")))
+    return c.withColumn("bvid", F.concat(F.lit("BV1"), F.array_join(digits, ""))).withColumn("aid", T.video_number(F.col("bvid")))
+
+
+# --- Training sets, scores, resampling ---
+
+# Truth: what a label table says; prediction: what rules on the text say.
+_SCORED = """pairs AS (SELECT doc_id, list_filter([CASE WHEN quality = 1 THEN 'good' END, CASE WHEN toxic = 1 THEN 'toxic' END], lambda x: x IS NOT NULL) AS truth,
+    list_filter([CASE WHEN NOT contains(text, ' | ') AND NOT contains(text, '!!') THEN 'good' END, CASE WHEN n_chars % 9 = 0 THEN 'toxic' END], lambda x: x IS NOT NULL) AS predicted FROM documents JOIN labels USING (doc_id)),
+    c AS (SELECT code, count(*) FILTER (list_contains(truth, code) AND list_contains(predicted, code)) AS tp, count(*) FILTER (NOT list_contains(truth, code) AND list_contains(predicted, code)) AS fp, count(*) FILTER (list_contains(truth, code) AND NOT list_contains(predicted, code)) AS fn FROM pairs, (VALUES ('good'), ('toxic')) u(code) GROUP BY code)"""
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    some = lambda *flags: F.filter(F.array(*[F.when(c, n) for c, n in flags]), lambda x: x.isNotNull())
+    truth = some((F.col("quality") == 1, "good"), (F.col("toxic") == 1, "toxic"))
+    said = some((~F.contains("text", F.lit(" | ")) & ~F.contains("text", F.lit("!!")), "good"), (F.col("n_chars") % 9 == 0, "toxic"))
+    return d.select("doc_id", truth.alias("truth"), said.alias("predicted"))
+
+
+@query("score_codes", f"WITH {_SCORED} SELECT code, tp, fp, fn, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(2 * tp / (2 * tp + fp + fn), 6) AS f1, tp + fn AS support FROM c")
+def score_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(A.score_codes(_scored(spark, sf_dir)), "precision", "recall", "f1")
+
+
+@query(
+    "score_all",
+    f"""WITH {_SCORED} SELECT (SELECT count(*) FROM pairs) AS n, round((SELECT avg(CAST(list_sort(truth) = list_sort(predicted) AS DOUBLE)) FROM pairs), 6) AS exact,
+        round(2 * sum(tp) / (2 * sum(tp) + sum(fp) + sum(fn)), 6) AS micro_f1, round(avg(2 * tp / (2 * tp + fp + fn)), 6) AS macro_f1 FROM c""",
+)
+def score_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(A.score_all(_scored(spark, sf_dir)), "exact", "micro_f1", "macro_f1")
+
+
+@query(
+    "misses",
+    f"""WITH {_SCORED}, m AS (SELECT doc_id, array_to_string(list_sort(list_filter(truth, lambda x: NOT list_contains(predicted, x))), ',') AS missing, array_to_string(list_sort(list_filter(predicted, lambda x: NOT list_contains(truth, x))), ',') AS extra FROM pairs)
+        SELECT * FROM m WHERE missing <> '' OR extra <> ''""",
+)
+def misses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.misses(_scored(spark, sf_dir)).select("doc_id", F.array_join("missing", ",").alias("missing"), F.array_join("extra", ",").alias("extra"))
+
+
+@query("disagreement", f"WITH {_SCORED} SELECT code, fp AS model_only, fn AS rule_only FROM c WHERE fp + fn > 0")
+def disagreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.disagreement(_scored(spark, sf_dir)).select("code", F.col("model_only").cast("long").alias("model_only"), F.col("rule_only").cast("long").alias("rule_only"))
+
+
+@query("gap_fires", f"WITH {_SCORED} SELECT code, tp + fp AS n, (SELECT count(*) FROM pairs) AS sample_n, (SELECT count(*) FROM pairs WHERE len(predicted) > 0) AS fired_n FROM c WHERE tp + fp > 0")
+def gap_fires(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.gap_fires(_scored(spark, sf_dir))
+
+
+@query("leak_check", "SELECT count(DISTINCT md5(text)) AS leaked FROM conversations WHERE text IN (SELECT text FROM documents UNION SELECT text FROM benchmark)")
+def leak_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gold = table(spark, sf_dir, "documents").select("text").unionByName(table(spark, sf_dir, "benchmark").select("text"))
+    return FL.leaked(table(spark, sf_dir, "conversations"), gold).agg(F.count("*").alias("leaked"))
+
+
+_SILVER = "SELECT md5(text) AS text, lang AS label, doc_id AS ord FROM documents WHERE text IS NOT NULL"
+
+
+@query("silver_union", "WITH u AS (SELECT text, lang AS l FROM documents UNION ALL SELECT text, source FROM documents) SELECT md5(text) AS text_md5, array_to_string(list_sort(list(DISTINCT l)), ',') AS labels FROM u WHERE text IS NOT NULL GROUP BY text")
+def silver_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies of a text with their languages and sources as labels, merged."""
+    d = table(spark, sf_dir, "documents").filter("text is not null")
+    return S.merged_labels(d.select("text", F.array("lang").alias("labels")), d.select("text", F.array("source").alias("labels"))).select(F.md5("text").alias("text_md5"), F.array_join("labels", ",").alias("labels"))
+
+
+@query(
+    "first_set_wins",
+    """WITH u AS (SELECT text, source AS l, doc_id AS ord, 0 AS s FROM documents WHERE doc_id % 2 = 1 UNION ALL SELECT text, lang, doc_id, 1 FROM documents WHERE doc_id % 2 = 0)
+       SELECT md5(text) AS text_md5, arg_min(l, (s, ord)) AS label, CAST(min(s) AS INTEGER) AS source FROM u WHERE text IS NOT NULL GROUP BY text""",
+)
+def first_set_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Odd documents, labelled by source, come before even ones, labelled by language."""
+    d = table(spark, sf_dir, "documents").filter("text is not null").withColumn("ord", F.col("doc_id"))
+    a = d.filter("doc_id % 2 = 1").select("text", F.array("source").alias("labels"), "ord")
+    b = d.filter("doc_id % 2 = 0").select("text", F.array("lang").alias("labels"), "ord")
+    return S.first_set_wins(a, b).select(F.md5("text").alias("text_md5"), F.col("labels")[0].alias("label"), "source")
+
+
+@query("margin_book", "WITH m AS (SELECT source, md5(text) AS text_md5, round(min(abs(length(text) / 1000.0 - 1.5)), 6) AS distance FROM documents WHERE text IS NOT NULL GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY distance, text_md5) AS place FROM m) SELECT source, text_md5, distance, CAST(place AS INTEGER) AS place FROM r WHERE place <= 10")
+def margin_book(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten texts of each source whose length is nearest to 1500."""
+    d = table(spark, sf_dir, "documents").filter("text is not null").select("source", F.md5("text").alias("text_md5"), F.round(F.abs(F.length("text") / F.lit(1000.0) - 1.5), 6).alias("distance"))
+    return S.margin_book(d, ["source"], 10, "text_md5")
+
+
+@query("counts_less", "WITH a AS (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY 1), b AS (SELECT o_custkey AS k, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) SELECT a.k, a.n - coalesce(b.n, 0) AS n FROM a LEFT JOIN b USING (k) WHERE a.n > coalesce(b.n, 0)")
+def counts_less(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "k")
+    n = lambda df: df.groupBy("k").agg(F.count("*").alias("n"))
+    return S.counts_less(n(o), n(o.filter("o_orderstatus = 'F'")), "k")
+
+
+_DRAWS = f"""WITH {_EVENTS}, un AS (SELECT video, row_number() OVER (ORDER BY video) - 1 AS place, count(*) OVER () AS m FROM (SELECT DISTINCT video FROM ev)),
+    picks AS (SELECT d.range AS draw, {_FNV.format(x="d.range::VARCHAR || ':' || k.range::VARCHAR")} % (SELECT max(m) FROM un) AS place FROM range(40) d, range((SELECT max(m) FROM un)) k),
+    w AS (SELECT draw, video, count(*) AS times FROM picks JOIN un USING (place) GROUP BY ALL), c AS (SELECT video, grp, code, count(*) AS hits FROM ev GROUP BY ALL), z AS (SELECT DISTINCT video, grp, size FROM ev JOIN len USING (video)),
+    gs AS (SELECT draw, grp, code, sum(hits * times) AS hits FROM c JOIN w USING (video) GROUP BY ALL), gn AS (SELECT draw, grp, sum(size * times) AS n FROM z JOIN w USING (video) GROUP BY ALL),
+    lifts AS (SELECT draw, grp, code, (hits / n) / (sum(hits) OVER (PARTITION BY draw, code) / (SELECT sum(n) FROM gn x WHERE x.draw = gs.draw)) AS lift FROM gs JOIN gn USING (draw, grp))"""
+
+
+def _draws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = events(spark, sf_dir)
+    counts = e.groupBy("video", "grp", "code").agg(F.count("*").alias("hits")).join(e.groupBy("video").agg(F.count("*").alias("n")), "video")
+    units = J.numbered(e.select("video").distinct(), "video").withColumnRenamed("ord", "place")
+    picked = S.draws(units, "video", 40, units.count())
+    return S.bootstrap_lifts(counts, picked, "video", "grp", "code")
+
+
+@query("bootstrap_lifts", f"{_DRAWS} SELECT draw, grp, code, round(lift, 6) AS lift FROM lifts")
+def bootstrap_lifts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forty draws of users."""
+    return rounded(_draws(spark, sf_dir), "lift")
+
+
+@query("bootstrap_intervals", f"{_DRAWS} SELECT grp, code, round(quantile_cont(lift, 0.025), 6) AS low, round(quantile_cont(lift, 0.975), 6) AS high, round(avg(CAST(lift > 1 AS DOUBLE)), 6) AS above_one FROM lifts GROUP BY grp, code")
+def bootstrap_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(S.intervals(_draws(spark, sf_dir), ["grp", "code"]), "low", "high", "above_one")
+
+
+@query(
+    "threshold_grid",
+    """WITH s AS (SELECT event_type AS code, CAST((event_id * 7919) % 1000 AS INTEGER) / 1000.0 AS p, CAST((event_id * 7919) % 1000 + (event_id * 31) % 400 > 900 AS INTEGER) AS y FROM events),
+       g AS (SELECT CAST(round(0.1 + range * 0.05, 10) AS DOUBLE) AS t FROM range(17)), c AS (SELECT code, t, count(*) FILTER (p >= t AND y = 1) AS tp, count(*) FILTER (p >= t AND y = 0) AS fp, count(*) FILTER (p < t AND y = 1) AS fn FROM s, g GROUP BY ALL)
+       SELECT code, CASE WHEN max(tp + fn) > 0 THEN round(arg_max(t, (CASE WHEN tp > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END, -t)), 6) ELSE 0.99 END AS threshold FROM c GROUP BY code""",
+)
+def threshold_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probabilities and truths made of event ids."""
+    i = F.col("event_id")
+    a = (i * 7919) % 1000
+    s = table(spark, sf_dir, "events").select(F.col("event_type").alias("code"), (a / F.lit(1000.0)).alias("p"), (a + (i * 31) % 400 > 900).cast("int").alias("y"))
+    return rounded(M.grid_thresholds(s), "threshold")
+
+
+@query("char_model")
+def char_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model of turns' roles learned from four fifths of the benchmark and its likes, scored on all turns. No SQL trains it; its scores are tested on a fixture."""
+    c = table(spark, sf_dir, "conversations").filter("length(text) > 0").select("text", F.array("role").alias("labels"))
+    train = S.merged_labels(c).withColumn("part", S.hash_split(F.col("text"))).filter("part = 'train'")
+    weights = M.fit(train.select("text", "labels"), ["user", "assistant", "system"], epochs=1)
+    return M.scores(c, weights).select(F.md5("text").alias("text_md5"), "code", F.round("p", 6).alias("p"))
+
+
+# --- Neighbours and clusters ---
+
+_KNN = """WITH u AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), n AS (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) AS e FROM u),
+    p AS (SELECT x.vec_id AS a, y.vec_id AS b, list_dot_product(x.e, y.e) AS cosine FROM n x JOIN n y ON x.vec_id <> y.vec_id WHERE list_dot_product(x.e, y.e) >= 0.3),
+    r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY cosine DESC, b) AS r FROM p), edges AS (SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM r WHERE r < 8)"""
+
+
+def _knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.dense_neighbours(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 0.3, cells=16).select("a", "b")
+
+
+@query("knn_edges", f"{_KNN} SELECT * FROM edges")
+def knn_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _knn(spark, sf_dir)
+
+
+@query(
+    "components",
+    f"""{_KNN.replace('WITH u', 'WITH RECURSIVE u')}, ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges), reach(node, root) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT ways.b, reach.root FROM reach JOIN ways ON ways.a = reach.node WHERE reach.root < ways.b)
+        SELECT node AS vec_id, min(root) AS root FROM reach GROUP BY node""",
+)
+def components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.components(table(spark, sf_dir, "embeddings").select("vec_id"), _knn(spark, sf_dir), "vec_id")
+
+
+@query("star_clusters")
+def star_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greedy stars over neighbours; a sequential rule, tested against one-by-one assignment."""
+    return C.greedy_stars(table(spark, sf_dir, "embeddings").select("vec_id"), _knn(spark, sf_dir), "vec_id")
+
+
+def _phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences of turns as comments: pool (role), video, content, norm, percent."""
+    rows = placed_turns(spark, sf_dir)
+    sentence = rows.select("pool", "video", "percent", F.posexplode(F.split("content", "[.\\n]+")).alias("at", "content"))
+    return sentence.withColumn("content", F.trim("content")).withColumn("norm", T.normalize(F.lower("content"))).withColumn("percent", F.least(F.col("percent") + F.col("at") / 1000, F.lit(0.999))).filter("norm <> ''")
+
+
+def _things(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _phrases(spark, sf_dir)
+    repeated = C.candidates(rows, ["pool"]).withColumn("key", F.concat_ws(":", "pool", "norm"))
+    edges = C.neighbours(C.cosine_pairs(C.gram_vectors(repeated, "key", "norm"), "key"))
+    near = edges.join(repeated.select(F.col("key").alias("a"), F.col("pool").alias("pa"), F.col("median").alias("ma")), "a").join(repeated.select(F.col("key").alias("b"), F.col("pool").alias("pb"), F.col("median").alias("mb")), "b")
+    kept = near.filter("pa = pb and abs(ma - mb) <= 0.10").select("a", "b")
+    members = C.components(repeated.select("key"), kept, "key").join(repeated, "key").select("pool", "norm", F.col("root").alias("cluster"))
+    return C.marked_mode(C.things(rows, members, ["pool"]), W.crowded_spans(rows, ["pool"]), ["pool"])
+
+
+@query("phrase_things")
+def phrase_things(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of near-equal sentences along the film; the clustering is iterative, its parts are tested one by one."""
+    return _things(spark, sf_dir).select("pool", "text", F.round("median", 6).alias("median"), "n_videos", "n_rows", F.round("local", 6).alias("local"), "mode")
+
+
+@query("phrase_layers")
+def phrase_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of them a page shows: choruses, places, travellers."""
+    return C.arranged(_things(spark, sf_dir), ["pool"]).select("pool", "role", "rank", "place", "text", F.array_join(F.transform("marks", lambda m: F.round(m, 4).cast("string")), ",").alias("marks"))
+
+
+@query("phrase_pairs")
+def phrase_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shown phrases of users and of assistants, matched one to one."""
+    shown = C.arranged(_things(spark, sf_dir), ["pool"]).select("pool", "place", "text").withColumn("key", F.concat_ws(":", "pool", "place"))
+    pairs = C.cosine_pairs(C.gram_vectors(shown.withColumn("norm", T.normalize("text")), "key", "norm"), "key")
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine"))
+    l, r = (shown.select(F.col("key").alias(k), F.col("pool").alias(f"pool_{k}"), F.col("place").alias(f"place_{k}"), F.col("text").alias(f"text_{k}")) for k in "ab")
+    scores = both.join(l, "a").join(r, "b").filter("pool_a = 'assistant' and pool_b = 'user'")
+    return J.greedy_pairs(scores, "text_a", "text_b", "cosine", "place_a", "place_b", 0.72).select(F.col("text_a").alias("assistant"), F.col("text_b").alias("user"), F.round("cosine", 6).alias("cosine"))
+
+
+# --- Titles, lists, pages ---
+
+def titled_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as videos: page_id, url, title (of the HTML), count (their id modulo 500), host, query (the path's first part)."""
+    p = table(spark, sf_dir, "pages")
+    title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
+    return p.select("page_id", "url", title.alias("title"), (F.col("page_id") % 500).alias("count"), T.url_host(F.col("url")).alias("host"), F.regexp_extract(T.url_path(F.col("url")), "^/([a-z]+)/", 1).alias("query"))
+
+
+_TITLED = "tp AS (SELECT page_id, url, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, page_id % 500 AS count, regexp_extract(url, '//([^/?#]*)', 1) AS host, regexp_extract(url, '//[^/?#]*/([a-z]+)/', 1) AS query FROM pages)"
+
+
+@query("scope_filter", f"WITH {_TITLED} SELECT page_id FROM tp WHERE count >= 50 AND contains(title, 'e') AND (contains(title, 'the') OR contains(title, 'und')) AND NOT contains(title, ' | ')")
+def scope_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return titled_pages(spark, sf_dir).filter(FL.in_scope(F.col("title"), F.col("count"), 50, "e", ["the", "und"], [" | "])).select("page_id")
+
+
+@query("pruned_videos", f"WITH {_TITLED} SELECT page_id FROM tp WHERE NOT contains(title, ' | ') AND CASE query WHEN 'en' THEN contains(title, 'th') WHEN 'de' THEN (contains(title, 'und') OR contains(title, 'der')) AND NOT contains(title, 'heit') ELSE true END")
+def pruned_videos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    specs = spark.createDataFrame([("en", "th", [], []), ("de", "", ["und", "der"], ["heit"])], "keyword string, title_contains string, title_any array<string>, title_exclude array<string>")
+    return FL.pruned(titled_pages(spark, sf_dir), specs, [" | "]).select("page_id")
+
+
+@query("pages_until_below", "WITH o AS (SELECT o_custkey, o_orderkey, o_totalprice, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) - 1) AS ord FROM orders), h AS (SELECT *, ord // 3 AS page, first(o_totalprice) OVER (PARTITION BY o_custkey, ord // 3 ORDER BY ord) AS head FROM o) SELECT o_custkey, o_orderkey FROM h WHERE head >= 250000")
+def pages_until_below(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of a customer by price, in pages of three, up to the first page that begins below a threshold."""
+    o = table(spark, sf_dir, "orders")
+    ranked = W.top_k(o, ["o_custkey"], [F.desc("o_totalprice"), "o_orderkey"], 2**31 - 1).withColumn("ord", F.col("place") - 1).withColumn("page", F.floor(F.col("ord") / 3))
+    return FL.pages_until_below(ranked, 250_000, count="o_totalprice", keys=["o_custkey"]).select("o_custkey", "o_orderkey")
+
+
+@query(
+    "first_hits",
+    f"WITH {_TITLED}, q AS (SELECT host, query, min(page_id) AS p FROM tp GROUP BY ALL) SELECT host, (SELECT string_agg(query, ',' ORDER BY p) FROM q WHERE q.host = tp.host) AS queries, arg_min(title, page_id) AS title, arg_min(count, page_id) AS count FROM tp GROUP BY host",
+)
+def first_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a host: its first page, all its queries in order."""
+    return J.first_hits(titled_pages(spark, sf_dir), "host", "page_id", ["title"], "query", "count").select("host", F.array_join("query_all", ",").alias("queries"), "title", "count")
+
+
+@query("last_wins", f"WITH {_TITLED} SELECT host, arg_max(title, page_id) FILTER (title <> '') AS title, arg_max(count, page_id) FILTER (count % 3 = 0) AS count, min(page_id) AS page_id FROM tp GROUP BY host")
+def last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = titled_pages(spark, sf_dir).withColumn("title", F.nullif("title", F.lit(""))).withColumn("count", F.when(F.col("count") % 3 == 0, F.col("count")))
+    return J.last_wins(p, "host", "page_id", ["title", "count"])
+
+
+@query("better_duplicates", f"WITH {_TITLED}, r AS (SELECT *, row_number() OVER (PARTITION BY host, query ORDER BY count % 5 DESC, contains(title, '|') DESC, length(title) DESC, page_id) AS r FROM tp) SELECT page_id FROM r WHERE r = 1")
+def better_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.better_duplicates(titled_pages(spark, sf_dir), ["host", "query"], F.col("count") % 5, F.contains("title", F.lit("|")), F.length("title"), "page_id").select("page_id")
+
+
+@query("with_fallback", "SELECT c_custkey, coalesce(nullif(CASE WHEN c_custkey % 3 = 0 THEN '' ELSE c_mktsegment END, ''), n_name) AS name FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey")
+def with_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("k"), F.when(F.col("c_custkey") % 3 == 0, "").otherwise(F.col("c_mktsegment")).alias("name"))
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("name"))
+    return J.with_fallback(c, n, "k", ["name"]).select("c_custkey", "name")
+
+
+@query("pending_videos", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT conv_id FROM conversations)")
+def pending_videos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listed videos without a file."""
+    listed = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("bvid"), F.col("c_custkey").alias("list_ord"))
+    files = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("bvid")).distinct()
+    return K.corpus_index(listed, files)[1].select(F.col("bvid").alias("c_custkey"))
+
+
+@query("shards", "SELECT o_orderkey FROM orders WHERE o_orderkey % 7 = 3")
+def shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.shard_of(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", 3, 7)
+
+
+@query("parsed_pages")
+def parsed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text, links and images of each page; the parser is tested on fixtures."""
+    p = P.parse_pages(table(spark, sf_dir, "pages"))
+    return p.select("page_id", F.md5("text").alias("text_md5"), F.length("text").alias("chars"), F.size("links").alias("links"), F.size("images").alias("images"))
+
+
+@query("url_parts", "SELECT page_id, regexp_extract(url, '//([^/?#]*)', 1) AS host, regexp_extract(url, '//[^/?#]*([^?#]*)', 1) AS path, TRY_CAST(nullif(regexp_extract(regexp_extract(url, '//[^/?#]*([^?#]*)', 1), '/(\\d+)\\.html$', 1), '') AS BIGINT) AS post, regexp_extract(regexp_extract(url, '//[^/?#]*([^?#]*)', 1), '([^/]*)$', 1) AS file FROM pages")
+def url_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = F.col("url")
+    return table(spark, sf_dir, "pages").select("page_id", T.url_host(u).alias("host"), T.url_path(u).alias("path"), T.post_number(u).alias("post"), T.file_name(u).alias("file"))
+
+
+@query("clean_titles", f"WITH {_TITLED} SELECT page_id, trim(replace(replace(replace(replace(replace(replace(title, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', chr(39)), '&nbsp;', ' '), '&amp;', '&')) AS title, trim(lower(regexp_replace(lower(title), '[^\\p{{L}}\\p{{N}}_]+', '-', 'g')), '-') AS slug FROM tp")
+def clean_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return titled_pages(spark, sf_dir).select("page_id", T.clean_title(F.col("title")).alias("title"), T.slug(F.col("title")).alias("slug"))
+
+
+@query("contacts", "SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '[A-Za-z0-9._%+\\-]+@[A-Za-z0-9.\\-]+\\.[A-Za-z]{2,}')))[:6], ',') AS emails FROM documents WHERE regexp_matches(text, '[A-Za-z0-9._%+\\-]+@[A-Za-z0-9.\\-]+\\.[A-Za-z]{2,}')")
+def contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", T.emails(F.col("text")).alias("e")).filter(F.size("e") > 0).select("doc_id", F.array_join("e", ",").alias("emails"))
+
+
+@query("excerpts", "SELECT doc_id, rtrim(substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 180)) AS excerpt FROM documents")
+def excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An excerpt is the feature here; the whole text is squeezed first."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.rtrim(T.excerpt(F.col("text"))).alias("excerpt"))
+
+
+@query("page_kinds", f"WITH {_TITLED} SELECT CASE WHEN query = 'fr' THEN 'guide' WHEN contains(title, ' | ') THEN 'overview' WHEN contains(title, 'the') OR contains(title, 'und') THEN 'rules' WHEN count % 10 IN (3, 4) THEN 'nav' WHEN contains(title, 'que') THEN 'marked' ELSE 'problem' END AS kind, count(*) AS n FROM tp GROUP BY 1")
+def page_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = FL.page_kind(F.col("query"), F.col("title"), F.array((F.col("count") % 10).cast("int")), "fr", " | ", ["the", "und"], [3, 4], {"que": "marked"})
+    return titled_pages(spark, sf_dir).groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query("link_reach", "WITH RECURSIVE l AS (SELECT p_partkey AS s, (p_partkey * 7 + 3) % 500 AS t FROM part WHERE p_partkey < 500), r(url, depth) AS (SELECT CAST(1 AS BIGINT), 0 UNION SELECT l.t, depth + 1 FROM r JOIN l ON l.s = r.url WHERE depth < 4) SELECT url, min(depth) AS depth FROM r GROUP BY url")
+def link_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A frontier over made links of parts."""
+    links = table(spark, sf_dir, "part").filter("p_partkey < 500").select(F.col("p_partkey").alias("source"), ((F.col("p_partkey") * 7 + 3) % 500).alias("target"))
+    return P.reach(spark.createDataFrame([(1,)], "url long"), links, 4)
+
+
+# --- Voices ---
+
+@query(
+    "choruses",
+    """WITH l AS (SELECT role, conv_id * 1000 + turn AS ord, trim(u.s) AS content, u.i AS i FROM (SELECT role, conv_id, turn, regexp_split_to_array(text, '[.\\n]+') AS parts FROM conversations WHERE text IS NOT NULL), unnest(parts) WITH ORDINALITY u(s, i)),
+        r AS (SELECT role, content, lower(regexp_replace(content, '[^\\p{L}\\p{N}]', '', 'g')) AS norm, ord * 1000 + i AS ord FROM l), w AS (SELECT role, norm, content, count(*) AS c, min(ord) AS first FROM r WHERE norm <> '' GROUP BY ALL),
+        g AS (SELECT role, norm, sum(c) AS n, arg_max(content, (c, -first)) AS text FROM w GROUP BY ALL HAVING sum(c) >= 2), p AS (SELECT *, row_number() OVER (PARTITION BY role ORDER BY n DESC, text) AS place FROM g)
+        SELECT role, text, CAST(n AS BIGINT) AS n, CAST(place AS INTEGER) AS place FROM p WHERE place <= 3""",
+)
+def choruses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences that a role says twice or more."""
+    return VO.choruses(_lines(spark, sf_dir), ["role"])
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = table(spark, sf_dir, "conversations").filter("text is not null")
+    s = t.select("role", "conv_id", "turn", F.posexplode(F.split("text", "[.\\n]+")).alias("i", "content")).withColumn("content", F.trim("content"))
+    return s.select("role", "conv_id", "content", F.lower(T.normalize(F.col("content"))).alias("norm"), ((F.col("conv_id") * 1000 + F.col("turn")) * 1000 + F.col("i")).alias("ord")).filter("norm <> ''")
+
+
+@query("ritual_lines", "WITH r AS (SELECT lower(regexp_replace(trim(u.s), '[^\\p{L}\\p{N}]', '', 'g')) AS norm FROM (SELECT regexp_split_to_array(text, '[.\\n]+') AS parts FROM conversations WHERE text IS NOT NULL), unnest(parts) u(s)) SELECT length(norm) <= 1 OR norm IN ('the', 'of', 'und') OR regexp_matches(norm, '^[ha6]*$') AS ritual, count(*) AS n FROM r WHERE norm <> '' GROUP BY 1")
+def ritual_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lines(spark, sf_dir).groupBy(FL.is_ritual(F.col("norm"), ["the", "of", "und"], "ha6").alias("ritual")).agg(F.count("*").alias("n"))
+
+
+MATTER = ["tion", "the", "nation", "keit", "que"]
+
+
+@query(
+    "title_keys",
+    f"""WITH {_TITLED}, h AS (SELECT page_id, list_filter(['tion', 'the', 'nation', 'keit', 'que'], lambda w: contains(title, w)) AS hits FROM tp) SELECT page_id, array_to_string(list_filter(hits, lambda x: len(list_filter(hits, lambda o: o <> x AND contains(o, x))) = 0), ',') AS keys FROM h""",
+)
+def title_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matter words of a title, those within others left out."""
+    keys = FL.title_keys(F.col("title"), F.lit(""), [], MATTER, [], ["?"], [])
+    return titled_pages(spark, sf_dir).select("page_id", F.array_join(keys, ",").alias("keys"))
+
+
+@query(
+    "answer_rows",
+    """WITH r AS (SELECT conv_id, trim(u.s) AS content, lower(regexp_replace(trim(u.s), '[^\\p{L}\\p{N}]', '', 'g')) AS norm FROM (SELECT conv_id, regexp_split_to_array(text, '[.\\n]+') AS parts FROM conversations WHERE text IS NOT NULL), unnest(parts) u(s)),
+       a AS (SELECT *, replace(replace(norm, 'nation', ''), 'tion', '') AS rest FROM r WHERE length(norm) > 1 AND NOT regexp_matches(norm, '^[ha6]*$') AND (contains(content, 'tion') OR contains(content, 'nation')))
+       SELECT conv_id, count(*) AS n FROM a WHERE length(CASE WHEN contains(content, 'nation') THEN rest ELSE replace(norm, 'tion', '') END) >= 4 AND NOT regexp_matches(rest, '^[ha6]*$') GROUP BY conv_id""",
+)
+def answer_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _lines(spark, sf_dir).withColumn("keys", F.array(F.lit("tion"), F.lit("nation")))
+    return FL.answer_rows(rows, [], "ha6").groupBy("conv_id").agg(F.count("*").alias("n"))
+
+
+@query("shared_pieces")
+def shared_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of sentences that a role's lines share; a greedy choice, tested against one-by-one choice."""
+    rows = _lines(spark, sf_dir).select("role", "norm", F.array(F.lit("tion")).alias("matter"))
+    return VO.shared_pieces(rows, ["role"])
+
+
+@query("affairs", """WITH s AS (SELECT 'c' || o_custkey % 40 AS film, o_orderpriority AS text, count(*) AS n FROM orders GROUP BY ALL), a AS (SELECT film, text, n, CASE WHEN contains(text, 'HIGH') THEN 'HIGH' WHEN contains(text, 'LOW') THEN 'LOW' ELSE 'HIGH' END AS affair FROM s), r AS (SELECT *, row_number() OVER (PARTITION BY affair, film ORDER BY n DESC, text) AS place FROM a) SELECT affair, film, text, n, CAST(place AS INTEGER) AS place FROM r WHERE place <= 3""")
+def affairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order priorities as lines, customers' remainders as films."""
+    lines = table(spark, sf_dir, "orders").groupBy(F.concat(F.lit("c"), F.col("o_custkey") % 40).alias("film"), F.col("o_orderpriority").alias("text")).agg(F.count("*").alias("n"))
+    return VO.affairs(lines.withColumn("matter", F.array(F.lit("HIGH"), F.lit("LOW"))))
+
+
+@query("distinct_grams", f"""WITH b AS (SELECT lang AS grp, source AS video, substr(text, CAST(i AS BIGINT), 2) AS gram FROM (SELECT lang, source, regexp_replace(text, '[^a-z]', '', 'g') AS text FROM documents WHERE text IS NOT NULL), range(1, (SELECT max(length(text)) FROM documents)) r(i) WHERE i < length(text)),
+    g AS (SELECT grp, video, gram, count(*) AS n FROM b GROUP BY ALL), k AS (SELECT grp, gram, sum(n) AS n, count(DISTINCT video) AS videos, max(n) AS top FROM g GROUP BY ALL), s AS (SELECT grp, sum(n) AS size FROM k GROUP BY grp),
+    x AS (SELECT k.*, size, (SELECT sum(size) FROM s) AS every, sum(n) OVER (PARTITION BY gram) AS whole FROM k JOIN s USING (grp)),
+    z AS (SELECT *, (n / size - (whole - n) / (every - size)) / sqrt(whole / every * (1 - whole / every) * (1 / size + 1 / (every - size))) AS z FROM x WHERE size >= 30 AND every - size >= 30 AND n >= 12 AND videos >= 8 AND top / n <= 0.5 AND NOT contains(gram, 'q')),
+    o AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY z DESC, gram DESC) AS r FROM z WHERE z > 2) SELECT grp, gram, round(z, 2) AS z, CAST(n AS BIGINT) AS n, videos, round(top / n, 3) AS top_share FROM o WHERE r <= 6""")
+def distinct_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Letter pairs that a language uses more than the others."""
+    return A.distinct_grams(_pairs_of_letters(spark, sf_dir), "q")
+
+
+def _pairs_of_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").filter("text is not null")
+    letters = F.regexp_replace("text", "[^a-z]", "")
+    # A pair at each place but the last, by splitting between characters: linear in the text.
+    pairs = F.arrays_zip(F.slice(F.split(letters, ""), F.lit(1), F.greatest(F.length(letters) - 1, F.lit(0))).alias("x"), F.slice(F.split(letters, ""), F.lit(2), F.greatest(F.length(letters) - 1, F.lit(0))).alias("y"))
+    each = d.select(F.col("lang").alias("grp"), F.col("source").alias("video"), F.explode(pairs).alias("p"))
+    return each.groupBy("grp", "video", F.concat("p.x", "p.y").alias("gram")).agg(F.count("*").alias("n"))
+
+
+@query("informative_grams", "WITH b AS (SELECT substr(text, CAST(i AS BIGINT), 2) AS gram FROM (SELECT regexp_replace(text, '[^a-z]', '', 'g') AS text FROM documents WHERE text IS NOT NULL), range(1, (SELECT max(length(text)) FROM documents)) r(i) WHERE i < length(text)), t AS (SELECT gram, count(*) AS n FROM b GROUP BY gram ORDER BY n DESC, gram LIMIT 80) SELECT * FROM t WHERE NOT regexp_matches(gram, '^[aeiou]*$') ORDER BY n DESC, gram LIMIT 20")
+def informative_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.informative_grams(_pairs_of_letters(spark, sf_dir).groupBy("gram").agg(F.sum("n").alias("n")), "aeiou")
+
+
+@query("composition", f"WITH {_TURNS}, n AS (SELECT role AS grp, dim, count(*) AS n FROM dims GROUP BY ALL) SELECT grp, dim, n, round(n / sum(n) OVER (PARTITION BY grp), 6) AS share FROM n")
+def composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(V.composition(A.counts_by(coded_turns(spark, sf_dir), "dims", "dim", keys=["grp"]), ["grp"]), "share")
+
+
+@query("signatures", f"WITH {_TURNS}, e AS (SELECT role AS grp, code FROM codes), g AS (SELECT role AS grp, count(*) AS of_group FROM turns GROUP BY role), l AS ({_LIFT.format(name='code')}) SELECT grp, code, n, rate, lift FROM l WHERE n >= 5 AND lift >= 1.01 ORDER BY lift DESC, grp, code LIMIT 12")
+def signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.signatures(rounded(A.lifts(coded_turns(spark, sf_dir), "codes", "code"), "rate", "lift"), 5, 1.01)
+
+
+@query("findings")
+def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences of a report; what they rest on is checked query by query."""
+    e = events(spark, sf_dir)
+    return V.findings(A.lifts(e.withColumn("codes", F.array("code")), "codes", "code"), W.arcs(_series(spark, sf_dir)), W.stay_rates(_steps(spark, sf_dir)), _concentration(spark, sf_dir)).select("kind", "subject", F.round("value", 6).alias("value"), "sentence")
+
+
+@query("card_search", f"WITH {_TITLED} SELECT page_id, title, url FROM tp WHERE contains(lower(title), 'the and') OR contains(lower(url), 'the and') ORDER BY title, url LIMIT 8")
+def card_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.card_search(titled_pages(spark, sf_dir), "The and", ("title", "url")).select("page_id", "title", "url")
