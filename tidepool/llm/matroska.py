@@ -70,7 +70,7 @@ def block(ident: int, track: int, relative: int, frames: list[bytes], lacing: st
         head += bytes([len(frames) - 1])
     if lacing == "xiph":
         head += b"".join(b"\xff" * (n // 255) + bytes([n % 255]) for n in sizes[:-1])
-    elif lacing == "ebml":
+    elif lacing == "ebml" and len(frames) > 1:
         head += size_bytes(sizes[0])
         for d in (b - a for a, b in zip(sizes[:-2], sizes[1:-1], strict=True)):
             width = next(w for w in range(1, 9) if abs(d) < (1 << 7 * w - 1) - 1)
@@ -131,7 +131,7 @@ def read_size(data: bytes, at: int, end: int, keep_marker: bool = False) -> tupl
 
 
 def children(data: bytes, at: int, end: int, stop: set[int] = frozenset()) -> Iterator[tuple[int, int, int, bool]]:
-    """(identifier, body's start, body's end, whether the size is unknown) of the elements from `at`; ends before one of `stop`."""
+    """(identifier, body's start, body's end, whether it is cut off) of the elements from `at`; ends before one of `stop`."""
     while at < end:
         ident, body = read_size(data, at, end, keep_marker=True)
         if ident in stop:
@@ -140,8 +140,11 @@ def children(data: bytes, at: int, end: int, stop: set[int] = frozenset()) -> It
         if n is None:
             if ident == CLUSTER:
                 last = body
-                for _, _, last, _ in children(data, body, end, TOP_LEVEL):
-                    pass
+                try:
+                    for _, _, last, _ in children(data, body, end, TOP_LEVEL):
+                        pass
+                except Broken:  # whoever reads the cluster meets the fault after what precedes it
+                    last = end
             elif ident == SEGMENT:
                 last = end
             else:
@@ -149,9 +152,9 @@ def children(data: bytes, at: int, end: int, stop: set[int] = frozenset()) -> It
         else:
             last = body + n
         if last > end:
-            yield ident, body, end, False
+            yield ident, body, end, True
             raise Broken(f"cut off at {end}")
-        yield ident, body, last, n is None
+        yield ident, body, last, False
         at = last
 
 
@@ -283,10 +286,10 @@ def _cluster(data: bytes, start: int, end: int, out: Media) -> None:
         first = (time + relative) * out.scale
         out.packets += [(track, first + i * steps.get(track, 0), bool(flags & 0x80) if key is None else key, lacing, i, start, at, n) for i, (at, n) in enumerate(ranges)]
 
-    for i, a, b, _ in children(data, start, end, TOP_LEVEL):
+    for i, a, b, cut in children(data, start, end, TOP_LEVEL):
         if i == TIMESTAMP:
             time = integer(data, a, b)
-        elif i == SIMPLE_BLOCK:
+        elif i == SIMPLE_BLOCK and not cut:
             add(a, b, None)
         elif i == BLOCK_GROUP:
             inner = list(children(data, a, b))
