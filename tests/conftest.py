@@ -12,4 +12,4 @@ os.environ["PYTHONPATH"] = ROOT + os.pathsep + os.environ.get("PYTHONPATH", "")
 def spark():
     from tidepool.session import session
 
-    return session("tests", {"spark.sql.shuffle.partitions": "4", "spark.default.parallelism": "4"})
+    return session("tests", cpus="4", more={"spark.sql.shuffle.partitions": "4", "spark.default.parallelism": "4"})

@@ -762,12 +762,12 @@ def _phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _things(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _phrases(spark, sf_dir)
-    repeated = C.candidates(rows, ["pool"]).withColumn("key", F.concat_ws(":", "pool", "norm"))
+    repeated = C.written(C.candidates(rows, ["pool"]).withColumn("key", F.concat_ws(":", "pool", "norm")))
     edges = C.neighbours(C.cosine_pairs(C.gram_vectors(repeated, "key", "norm"), "key"))
     near = edges.join(repeated.select(F.col("key").alias("a"), F.col("pool").alias("pa"), F.col("median").alias("ma")), "a").join(repeated.select(F.col("key").alias("b"), F.col("pool").alias("pb"), F.col("median").alias("mb")), "b")
     kept = near.filter("pa = pb and abs(ma - mb) <= 0.10").select("a", "b")
     members = C.components(repeated.select("key"), kept, "key").join(repeated, "key").select("pool", "norm", F.col("root").alias("cluster"))
-    return C.marked_mode(C.things(rows, members, ["pool"]), W.crowded_spans(rows, ["pool"]), ["pool"])
+    return C.marked_mode(C.things(rows, C.written(members), ["pool"]), W.crowded_spans(rows, ["pool"]), ["pool"])
 
 
 @query("phrase_things")
@@ -785,7 +785,7 @@ def phrase_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("phrase_pairs")
 def phrase_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shown phrases of users and of assistants, matched one to one."""
-    shown = C.arranged(_things(spark, sf_dir), ["pool"]).select("pool", "place", "text").withColumn("key", F.concat_ws(":", "pool", "place"))
+    shown = C.written(C.arranged(_things(spark, sf_dir), ["pool"]).select("pool", "place", "text")).withColumn("key", F.concat_ws(":", "pool", "place"))
     pairs = C.cosine_pairs(C.gram_vectors(shown.withColumn("norm", T.normalize("text")), "key", "norm"), "key")
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine"))
     l, r = (shown.select(F.col("key").alias(k), F.col("pool").alias(f"pool_{k}"), F.col("place").alias(f"place_{k}"), F.col("text").alias(f"text_{k}")) for k in "ab")
