@@ -93,3 +93,18 @@ def bootstrap_lifts(counts: DataFrame, picked: DataFrame, unit: str, group: str,
 def intervals(lifts: DataFrame, keys: list[str], low: float = 0.025, high: float = 0.975) -> DataFrame:
     """(keys, low, high, above_one): linear percentiles of lifts over draws, and the share of draws above 1."""
     return lifts.groupBy(*keys).agg(F.percentile("lift", low).alias("low"), F.percentile("lift", high).alias("high"), F.avg((F.col("lift") > 1).cast("double")).alias("above_one"))
+
+
+def bootstrap_bindings(counts: DataFrame, picked: DataFrame, unit: str, locked: DataFrame, lift_least: float = 1.3) -> DataFrame:
+    """(name, dim, low, high, share_bound) of symbols' lifts over draws, each with the dimension that it has in the whole.
+
+    counts: unit, name, dim, hits (of the symbol with the dimension), n (of the symbol), base_hits, bearing (the unit's comments with
+    any symbol: of the dimension, and all). locked: name, dim.
+    """
+    drawn = counts.join(locked, ["name", "dim"]).join(picked, unit)
+    s = drawn.groupBy("draw", "name", "dim").agg(F.sum(F.col("hits") * F.col("times")).alias("hits"), F.sum(F.col("n") * F.col("times")).alias("n"))
+    bases = counts.select(unit, "dim", "base_hits", "bearing").distinct().join(picked, unit).groupBy("draw", "dim").agg(F.sum(F.col("base_hits") * F.col("times")).alias("base_hits"), F.sum(F.col("bearing") * F.col("times")).alias("bearing"))
+    base = F.when(F.col("bearing") > 0, F.col("base_hits") / F.col("bearing")).otherwise(0.0)
+    rate = F.when(F.col("n") > 0, F.col("hits") / F.col("n")).otherwise(0.0)
+    lift = s.join(bases, ["draw", "dim"]).withColumn("lift", F.when(base > 0, rate / base).otherwise(0.0))
+    return lift.groupBy("name", "dim").agg(F.percentile("lift", 0.025).alias("low"), F.percentile("lift", 0.975).alias("high"), F.avg((F.col("lift") >= lift_least).cast("double")).alias("share_bound"))
