@@ -94,7 +94,7 @@ def union_categories(listed: DataFrame) -> DataFrame:
 def asset_links(pages: DataFrame) -> DataFrame:
     """(page_id, url): distinct asset links of a page, links before media. pages: page_id, links, media (both with an address)."""
     both = F.concat(F.transform("links", lambda x: x["href"]), F.transform("media", lambda x: x["url"]))
-    return pages.select("page_id", F.posexplode(F.array_distinct(F.filter(both, T.is_asset))).alias("ord", "url"))
+    return pages.select("page_id", F.posexplode(F.array_distinct(F.filter(both, lambda u: T.is_asset(u)))).alias("ord", "url"))
 
 
 def reach(start: DataFrame, links: DataFrame, steps: int = 3) -> DataFrame:
