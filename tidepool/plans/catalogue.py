@@ -636,9 +636,6 @@ def leak_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FL.leaked(table(spark, sf_dir, "conversations"), gold).agg(F.count("*").alias("leaked"))
 
 
-_SILVER = "SELECT md5(text) AS text, lang AS label, doc_id AS ord FROM documents WHERE text IS NOT NULL"
-
-
 @query("silver_union", "WITH u AS (SELECT text, lang AS l FROM documents UNION ALL SELECT text, source FROM documents) SELECT md5(text) AS text_md5, array_to_string(list_sort(list(DISTINCT l)), ',') AS labels FROM u WHERE text IS NOT NULL GROUP BY text")
 def silver_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Copies of a text with their languages and sources as labels, merged."""

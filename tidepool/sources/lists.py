@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
-SCHEMA = "page int, ord int, bvid string, aid long, title string, duration long, danmaku_counter long, play long, mid long, author string"
+SCHEMA = "page int, ord int, bvid string, aid long, title string, duration long, comment_counter long, play long, mid long, author string"
 
 
 def paged_list(fetch: Callable[[int], list[tuple]], first: int = 1, most: int = 50, title: str = "paged_list") -> type[DataSource]:
