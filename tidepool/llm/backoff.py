@@ -8,9 +8,10 @@ in c(a) and c(b), so logarithms exist.
 1. Unigram counts are kept in a fixed number of cells (a word's hash modulo CELLS): a bounded table that every task holds.
 2. Bigrams of two words with HOT_SHARE of all words each or more may be a large part of the corpus. There are at most
    (1 / HOT_SHARE)^2 of them; they are counted first and held as a table too, so they are never shuffled by key.
-3. All other bigrams of a document, each once with its count, are partitioned by their hash; a window over each bigram gives
-   its corpus count at every document that has it: the count table and its join in one exchange. No key there has more than
-   HOT_SHARE of the words.
+3. All other bigrams of a document, each once with its count, are exploded and partitioned by their hash, in blocks of columns
+   (a block a bucket, so a row of the shuffle carries thousands of bigrams). Each bucket counts its bigrams and joins the counts
+   to their occurrences by a sort: the count table and its join in one exchange. No key has more than HOT_SHARE of the words,
+   and the number of buckets grows with the words, so buckets keep their size.
 4. Terms are summed per document.
 
 Words are lower-cased (A-Z) runs of anything but space and U+0009..U+000D. A null, empty or blank text has no words, the
@@ -25,17 +26,29 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.llm.common import WordHashes, mix64, small_batches, written
+from tidepool.llm.common import WordHashes, mix64, small_batches
 
 ALPHA = 0.4
 CELLS = 1 << 20
-HOT_SHARE = 1 / 400
+HOT_SHARE = 1 / 1000
+#: Words of the corpus for each bucket of bigrams: what one step of a task holds, at about 40 bytes each.
+BUCKET_WORDS = 1_000_000
+#: Buckets that a task joins one after the other; it sums a document's terms over all of them before it hands them on.
+BUCKETS_A_TASK = 4
+#: Bigrams that a task explodes before it hands them on.
+FLUSH = 400_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
+class FewerHashes(WordHashes):
+    """Next to the tables there is less room."""
+
+    LIMIT = 200_000
+
+
 def word_hashes(text: bytes | None, words: WordHashes) -> np.ndarray:
     return np.frombuffer(array("Q", map(words.__getitem__, text.lower().split() if text else [])), np.uint64)
 
@@ -46,7 +59,7 @@ def bigrams(w: np.ndarray) -> np.ndarray:
 
 def _unigram_cells(cells: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, counts = WordHashes(), np.zeros(cells, np.int64)
+        words, counts = FewerHashes(), np.zeros(cells, np.int64)
         for b in batches:
             w = np.concatenate([word_hashes(t, words) for t in b.column(0).to_pylist()] or [np.empty(0, np.uint64)])
             counts += np.bincount((w % np.uint64(cells)).astype(np.int64), minlength=cells)
@@ -58,7 +71,7 @@ def _unigram_cells(cells: int):
 
 def _hot_bigrams(cells: int, hot: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, counts = WordHashes(), {}
+        words, counts = FewerHashes(), {}
         for b in batches:
             keys = []
             for t in b.column(0).to_pylist():
@@ -74,65 +87,186 @@ def _hot_bigrams(cells: int, hot: np.ndarray):
 
 
 class Terms:
-    """A document's terms, as far as the tables at hand go; the rest is (bigram, count, backoff term less the term's part here)."""
+    """A document's terms, as far as the tables at hand go; the rest needs the count table of the other bigrams."""
 
     def __init__(self, unigrams: np.ndarray, hot: np.ndarray, hot_keys: np.ndarray, hot_counts: np.ndarray, alpha: float):
         self.unigrams, self.hot, self.hot_keys, self.hot_counts, self.alpha = unigrams, hot, hot_keys, hot_counts, alpha
         self.total = int(unigrams.sum())
         self.cells = np.uint64(len(unigrams))
 
-    def __call__(self, w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
-        """(known part of the score, keys, counts, what a key adds if no other document has it; log c(a b) if one has)."""
-        empty = np.empty(0, np.uint64)
+    def __call__(self, w: np.ndarray) -> tuple[float, float, np.ndarray, np.ndarray, np.ndarray]:
+        """(known part of the score, shift, keys, counts, products).
+
+        A bigram that another document has adds log c(a b), one that none has adds log(product) + shift, each `count` times.
+        """
+        none = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.float32)
         if not len(w):
-            return 0.0, empty, np.empty(0, np.int64), np.empty(0)
+            return 0.0, 0.0, *none
         at = (w % self.cells).astype(np.int64)
         _, inverse, own = np.unique(at, return_inverse=True, return_counts=True)
-        log_c = np.log(np.maximum(self.unigrams[at] - own[inverse], 1))
+        c = np.maximum(self.unigrams[at] - own[inverse], 1)
         log_n = float(np.log(max(self.total - len(w), 1)))
-        known = float(log_c[0]) - log_n
+        shift = float(np.log(self.alpha)) - log_n
+        known = float(np.log(c[0])) - log_n
         if len(w) == 1:
-            return known, empty, np.empty(0, np.int64), np.empty(0)
+            return known, shift, *none
         keys, first, counts = np.unique(bigrams(w), return_index=True, return_counts=True)
-        known -= float((log_c[first] * counts).sum())  # as if every bigram were known: log c(a b) - log c(a)
-        other = np.log(self.alpha) + log_c[first + 1] - log_n + log_c[first]  # what a backoff adds instead of log c(a b)
+        known -= float((np.log(c[first]) * counts).sum())  # as if no bigram backed off: log c(a b) - log c(a)
+        product = c[first].astype(np.float32) * c[first + 1].astype(np.float32)
         near = self.hot[at[first]] & self.hot[at[first + 1]]
         if near.any():
             total = self.hot_counts[np.searchsorted(self.hot_keys, keys[near])] - counts[near]
-            known += float((np.where(total > 0, np.log(np.maximum(total, 1)), other[near]) * counts[near]).sum())
-        return known, keys[~near], counts[~near], other[~near]
+            known += float((np.where(total > 0, np.log(np.maximum(total, 1)), np.log(product[near].astype(np.float64)) + shift) * counts[near]).sum())
+        return known, shift, keys[~near], counts[~near], product[~near]
 
 
-def _known(terms):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, make = WordHashes(), terms.value
-        for b in batches:
-            rows = [(len(w), make(w)[0]) for t in b.column(1).to_pylist() for w in [word_hashes(t, words)]]
-            yield pa.RecordBatch.from_arrays([b.column(0), _row_names(b), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.float64())], ["doc_id", "row", "n_words", "known"])
+def planes(x: np.ndarray) -> bytes:
+    """Numbers byte by byte: all first bytes, then all second ones, which compresses better."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+
+
+def unplanes(data: bytes, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
+_BLOCKS = pa.schema([("bucket", pa.int64()), ("flush", pa.int64()), ("at", pa.binary()), ("keys", pa.binary()), ("counts", pa.binary()), ("products", pa.binary()), ("ids", pa.list_(pa.int64())), ("words", pa.binary()), ("known", pa.binary()), ("shifts", pa.binary())])
+_BLOCK_COLUMNS = "bucket long, flush long, at binary, keys binary, counts binary, products binary, ids array<long>, words binary, known binary, shifts binary"
+_SUMS = pa.schema([("flush", pa.int64()), ("at", pa.binary()), ("sums", pa.binary()), ("backoffs", pa.binary()), ("ids", pa.list_(pa.int64())), ("words", pa.binary()), ("known", pa.binary()), ("shifts", pa.binary())])
+_SUM_COLUMNS = "flush long, at binary, sums binary, backoffs binary, ids array<long>, words binary, known binary, shifts binary"
+
+
+def _table(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(schema.types)], schema=schema)
 
-    return run
 
+def _exploded(terms, buckets: int):
+    """Exploded bigrams as blocks of columns: a block a bucket of the keys' hash and FLUSH bigrams, and one of the documents' known parts.
 
-def _row_names(b: pa.RecordBatch) -> pa.Array:
-    """Equal rows get equal names, other rows others."""
-    return pa.array([xxhash.xxh64_intdigest(t or b"", seed=xxhash.xxh64_intdigest(repr(i).encode())) - (1 << 63) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)], pa.int64())
+    A flush is named by a hash of its documents; `at` is a document's place in it.
+    """
 
+    def flush(docs: list[tuple]) -> pa.RecordBatch:
+        name = xxhash.xxh64()
+        for ident, digest, _, _ in docs:
+            name.update(f"{ident}:{digest};".encode())
+        name = name.intdigest() - (1 << 63)
+        keys, counts, products = (np.concatenate([d[3][k] for d in docs]) for k in (2, 3, 4))
+        at = np.repeat(np.arange(len(docs), dtype=np.uint32), [len(d[3][2]) for d in docs])
+        bucket = (keys >> np.uint64(1)) % np.uint64(buckets)
+        order = np.argsort(bucket, kind="stable")
+        edges = np.append(np.flatnonzero(np.diff(bucket[order], prepend=np.uint64(buckets))), len(keys))
+        numbers = lambda k: np.array([d[3][k] for d in docs]).tobytes()
+        out = [(-1 - name % buckets, name, None, None, None, None, [d[0] for d in docs], np.array([d[2] for d in docs], np.int64).tobytes(), numbers(0), numbers(1))]
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            pick = order[a:b]
+            out.append((int(bucket[pick[0]]), name, planes(at[pick]), keys[pick].tobytes(), planes(counts[pick].astype(np.uint32)), planes(products[pick]), None, None, None, None))
+        return _table(out, _BLOCKS)
 
-def _open(terms):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, make = WordHashes(), terms.value
+        hashes, make = FewerHashes(), terms.value
+        docs, grams = [], 0
         for b in batches:
-            rows = [make(word_hashes(t, words))[1:] for t in b.column(1).to_pylist()]
-            lengths = [len(r[0]) for r in rows]
-            flat = [np.concatenate(x) if x else np.empty(0) for x in zip(*rows, strict=True)] if rows else [np.empty(0)] * 3
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(flat[0].astype(np.uint64).view(np.int64)), pa.array(np.repeat(np.asarray(_row_names(b)), lengths)), pa.array(flat[1].astype(np.int32)), pa.array(flat[2].astype(np.float32))], ["key", "row", "n", "other"]
-            )
+            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                w = word_hashes(t, hashes)
+                docs.append((i, xxhash.xxh64_intdigest(t or b""), len(w), make(w)))
+                grams += len(docs[-1][3][2])
+                if grams >= FLUSH or len(docs) >= FLUSH // 10:
+                    yield flush(docs)
+                    docs, grams = [], 0
+        if docs:
+            yield flush(docs)
 
     return run
 
 
-def backoff_scores(docs: DataFrame, alpha: float = ALPHA, cells: int = CELLS, hot_share: float = HOT_SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks sorted by bucket: count each bucket's bigrams, join the counts to their occurrences, sum by document."""
+
+    def bucket_sums(blocks: list[dict]) -> list[tuple]:
+        """(flush, at, sum, backoffs) of the documents of each flush."""
+        keys = np.concatenate([np.frombuffer(b["keys"], np.uint64) for b in blocks])
+        counts = np.concatenate([unplanes(b["counts"], "u4") for b in blocks]).astype(np.int64)
+        order = np.argsort(keys)
+        edge = np.flatnonzero(np.diff(keys[order], prepend=~keys[order[0]]))
+        elsewhere = np.empty(len(keys), np.int64)
+        elsewhere[order] = np.repeat(np.add.reduceat(counts[order], edge), np.diff(np.append(edge, len(keys))))
+        elsewhere -= counts
+        del keys, order, edge
+        out, start = [], 0
+        for b in blocks:
+            at, product = unplanes(b["at"], "u4"), unplanes(b["products"], "f4").astype(np.float64)
+            n, other = counts[start : start + len(at)], elsewhere[start : start + len(at)]
+            start += len(at)
+            docs, local = np.unique(at, return_inverse=True)
+            term = np.where(other > 0, np.log(np.maximum(other, 1)), np.log(product)) * n
+            out.append((b["flush"], docs, np.bincount(local, weights=term), np.bincount(local, weights=n * (other <= 0))))
+        return out
+
+    def summed(parts: list[tuple]) -> pa.RecordBatch:
+        by_flush: dict[int, list[tuple]] = {}
+        for p in parts:
+            by_flush.setdefault(p[0], []).append(p)
+        rows = []
+        for name, own in by_flush.items():
+            at, local = np.unique(np.concatenate([p[1] for p in own]), return_inverse=True)
+            sums, backoffs = (np.bincount(local, weights=np.concatenate([p[k] for p in own])) for k in (2, 3))
+            rows.append((name, planes(at.astype(np.uint32)), sums.astype(np.float32).tobytes(), planes(backoffs.astype(np.uint32)), None, None, None, None))
+        return _table(rows, _SUMS)
+
+    bucket, blocks, parts, held = None, [], [], 0
+    for b in batches:
+        for r in b.to_pylist():
+            if r["ids"] is not None:
+                yield _table([(r["flush"], None, None, None, r["ids"], r["words"], r["known"], r["shifts"])], _SUMS)
+                continue
+            if r["bucket"] != bucket and blocks:
+                parts += bucket_sums(blocks)
+                held += sum(len(b["at"]) for b in blocks) // 4
+                blocks = []
+                if held > 10 * FLUSH:
+                    yield summed(parts)
+                    parts, held = [], 0
+            bucket = r["bucket"]
+            blocks.append(r)
+    if blocks:
+        parts += bucket_sums(blocks)
+    if parts:
+        yield summed(parts)
+
+
+_SCORES = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("log_score", pa.float64())])
+
+
+def _scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums sorted by flush: the documents of each flush with their scores."""
+
+    def scores(rows: list[dict]) -> pa.RecordBatch:
+        heads = [r for r in rows if r["ids"] is not None]  # more than one where the very same documents came again
+        head = heads[0]
+        shifts = np.frombuffer(head["shifts"])
+        score = np.zeros(len(shifts))
+        for r in rows:
+            if r["ids"] is None:
+                at = unplanes(r["at"], "u4")
+                score[at] += np.frombuffer(r["sums"], np.float32) + unplanes(r["backoffs"], "u4") * shifts[at]
+        score = score / len(heads) + np.frombuffer(head["known"])
+        words = np.frombuffer(head["words"], np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(head["ids"] * len(heads), pa.int64()), pa.array(np.tile(words, len(heads))), pa.array(np.tile(score, len(heads)))], schema=_SCORES)
+
+    flush, rows = None, []
+    for b in batches:
+        for r in b.to_pylist():
+            if r["flush"] != flush and rows:
+                yield scores(rows)
+                rows = []
+            flush = r["flush"]
+            rows.append(r)
+    if rows:
+        yield scores(rows)
+
+
+def backoff_scores(docs: DataFrame, alpha: float = ALPHA, cells: int = CELLS, hot_share: float = HOT_SHARE, bucket_words: int = BUCKET_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, log_score, mean_log_score) of every document."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -141,16 +275,13 @@ def backoff_scores(docs: DataFrame, alpha: float = ALPHA, cells: int = CELLS, ho
     counted = docs.select("text").mapInArrow(_unigram_cells(cells), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most `cells` rows
     unigrams[counted.column("cell").to_numpy()] = counted.column("n").to_numpy()
     hot = unigrams >= max(2, int(unigrams.sum() * hot_share))
-    table = docs.select("text").mapInArrow(_hot_bigrams(cells, hot), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    table = docs.select("text").mapInArrow(_hot_bigrams(cells, hot), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()  # at most 1 / hot_share^2 rows
     keys = table.column("key").to_numpy().view(np.uint64)
     order = np.argsort(keys)
     terms = spark.sparkContext.broadcast(Terms(unigrams, hot, keys[order], table.column("n").to_numpy()[order], alpha))
-    known = written(docs.mapInArrow(_known(terms), "doc_id long, row long, n_words long, known double"), "known")
-    grams = docs.mapInArrow(_open(terms), "key long, row long, n int, other float")
-    elsewhere = F.sum("n").over(Window.partitionBy("key")) - F.col("n")
-    term = F.col("n") * F.when(elsewhere > 0, F.log(elsewhere)).otherwise(F.col("other").cast("double"))
-    sums = grams.select("row", term.alias("term")).groupBy("row").agg(F.sum("term").alias("open"))
-    copies = known.groupBy("row").agg(F.count("*").alias("copies"))  # a row that is there twice has given its terms twice
-    per_row = copies.join(sums, "row", "left").select("row", (F.coalesce("open", F.lit(0.0)) / F.col("copies")).alias("open"))
-    score = F.col("known") + F.col("open")
-    return known.join(per_row, "row").select("doc_id", "n_words", score.alias("log_score"), F.when(F.col("n_words") > 0, score / F.col("n_words")).alias("mean_log_score"))
+    buckets = 1 + int(unigrams.sum()) // bucket_words
+    tasks = 1 + buckets // BUCKETS_A_TASK
+    blocks = docs.mapInArrow(_exploded(terms, buckets), _BLOCK_COLUMNS)
+    sums = blocks.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_joined, _SUM_COLUMNS)
+    out = sums.repartition(tasks, "flush").sortWithinPartitions("flush").mapInArrow(_scores, "doc_id long, n_words long, log_score double")
+    return out.withColumn("mean_log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")))
