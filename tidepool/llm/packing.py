@@ -16,7 +16,6 @@ table gives no rows. Texts of any length are tokenized whole.
 
 from __future__ import annotations
 
-import base64
 import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -29,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tidepool.llm.common import small_batches, written
 
-CAPACITY, END_TOKEN, GROUPS, SMALL = 1024, 2, 32, 128
+CAPACITY, END_TOKEN, GROUPS, SMALL = 1024, 2, 96, 200
 #: Parts in which the pieces of one length are ranked.
 RANK_PARTS = 64
 
