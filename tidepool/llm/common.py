@@ -21,8 +21,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Texts may be long: hand Python few rows at a time."""
+    """Texts may be long: hand Python few rows at a time. Shuffle files need not outlive what read them."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -30,6 +31,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()  # Spark deletes shuffle files once the driver has collected what refers to them
     out = spark.read.schema(df.schema).parquet(path)
     out._tidepool_path = path
     return out

@@ -1,14 +1,15 @@
 """N-gram Jaccard join: exact set-similarity groups of documents by T-occurrence search.
 
 1. Every text becomes its set of distinct k-word shingles (64-bit hashes). Equal sets fold into one node.
-2. Blocking without loss. Two sets of sizes a and b with a Jaccard similarity of at least num/den differ in at most
-   d = (a + b)(den - num)/(den + num) elements. A hash deals the shingle universe into d + 1 + spare pieces, so in more than
-   `spare` pieces both sets hold the very same elements. A key is the hash of all elements of one piece; sets that may
-   link share a key, and others almost never do, because a key covers several shingles at once.
+2. Blocking. Two sets of sizes a and b with a Jaccard similarity of at least num/den differ in at most
+   d = (a + b)(den - num)/(den + num) elements. A hash deals the shingle universe into pieces; pieces that no difference falls
+   into are the same in both sets. A key is the hash of all elements of one piece. Sets that may link share a key (for
+   certain where d is small, else with a chance of missing below 1e-9, see Pieces); others almost never do, because a key covers
+   several shingles at once.
 3. Nodes that share keys form blocks (connected components over one star a key, never all pairs of a key).
 4. Each block is searched by T-occurrence with DivideSkip: inverted lists of the block; the shortest ones are heap-merged,
    the longest ones only probed by binary search; sets that reach the required overlap are links.
-5. Blocks of too many shingles are cut into units that share pivots; whatever stays outside a block's main component is
+5. Blocks of too many shingles are cut into units that share a pivot; whatever stays outside a block's main component is
    then searched against all units, so no link is lost at any size.
 
 Definitions: A-Z are lower-cased, words are runs of anything but space and U+0009..U+000D. A text of fewer than k words has
@@ -28,16 +29,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepool.llm.common import WordHashes, components, forget, mix64, small_batches, written
+from tidepool.llm.common import WordHashes, components, mix64, small_batches, written
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _LEVEL = np.uint64(0xC2B2AE3D27D4EB4F)
 _SALT = np.uint64(0x165667B19E3779F9)
 #: Other hash functions are tried where pieces stay empty; after these, empty pieces get keys too.
 _SALTS = 6
+#: Differences up to which blocking is certain; differences a piece beyond that; pieces that escape them on average.
+EXACT_D, CROWD, SURE = 12, 1.65, 21.0
 #: Shingles that one search unit may hold (16 bytes each): about 32 MB in a worker.
 UNIT_SHINGLES = 2_000_000
 #: Bits of the filter that picks the texts whose sets the search needs. Fixed; when full, it only lets more rows through.
@@ -66,43 +69,56 @@ def node_of(h: np.ndarray) -> int:
 
 
 class Pieces:
-    """Keys of a set under the threshold num/den; see step 2 above."""
+    """Keys of a set under the threshold num/den; see step 2 above.
+
+    Two sets of a level differ in d elements at most. Up to EXACT_D, the universe is dealt into more pieces than d, so some piece
+    of both sets is the same for certain. Beyond, it is dealt into d / CROWD pieces, some times over: fewer keys that each
+    hold more shingles, so that texts which merely share a passage share no key. A piece then escapes d differences with a
+    chance of (1 - 1/pieces)^d, and there are so many pieces that SURE of them do on average: that none does has a chance below
+    exp(-SURE), under 1e-9, for two sets just at the threshold, and far less for more similar ones.
+    """
 
     def __init__(self, num: int, den: int, largest: int = 1 << 34):
         self.num, self.den = num, den
         self.upper = [1]
         while self.upper[-1] < largest:
             self.upper.append(max(self.upper[-1] + 1, self.upper[-1] * den // num))
-        self._plans: dict[int, tuple[int, int]] = {}
+        self._plans: dict[int, tuple[int, int, int]] = {}
 
-    def plan(self, level: int) -> tuple[int, int]:
-        """(pieces, spare) of a level: it joins sizes of the classes level - 1 and level."""
+    def plan(self, level: int) -> tuple[int, int, int]:
+        """(pieces, times, spare) of a level: it joins sizes of the classes level - 1 and level. spare -1: not for certain."""
         if level not in self._plans:
             d = 2 * self.upper[level] * (self.den - self.num) // (self.den + self.num)
-            smallest = self.upper[level - 2] + 1 if level > 1 else 1
-            spare = 1
-            for _ in range(20):
-                k = d + 1 + spare
-                spare = max(spare, 1 + int(2 * k * math.exp(-smallest / k)) if d else 0)
-            self._plans[level] = (d + 1 + spare, spare) if d else (1, 0)
+            if d <= EXACT_D:
+                spare = 1 + d // 8
+                self._plans[level] = (d + 1 + spare, 1, spare) if d else (1, 1, 0)
+            else:
+                pieces = int(d / CROWD)
+                self._plans[level] = pieces, math.ceil(SURE / (pieces * (1 - 1 / pieces) ** d)), -1
         return self._plans[level]
 
+    @staticmethod
+    def _level(level: int, salt: int) -> np.uint64:
+        return np.uint64((level * int(_LEVEL) + (salt + 1) * int(_SALT)) & 0xFFFFFFFFFFFFFFFF)
+
     def keys(self, h: np.ndarray) -> np.ndarray:
         out = []
         own = bisect_left(self.upper, len(h))
         for level in (own, own + 1):
-            pieces, spare = self.plan(level)
+            pieces, times, spare = self.plan(level)
             if pieces == 1:  # at these sizes only equal sets link, and those share a node
                 continue
-            for salt in range(_SALTS):
-                at = (mix64(h + _SALT * np.uint64(salt + 1)) % np.uint64(pieces)).astype(np.int64)
+            for salt in range(times if spare < 0 else _SALTS):
+                at = ((mix64(h + self._level(0, salt)) if salt else h) % np.uint64(pieces)).astype(np.int64)
                 sums = np.zeros(pieces, np.uint64)
                 np.add.at(sums, at, h)
                 full = np.bincount(at, minlength=pieces) > 0
-                crowded = int(full.sum()) + spare >= pieces
-                named = mix64(sums + np.arange(1, pieces + 1, dtype=np.uint64) * _STEP + np.uint64(level) * _LEVEL + np.uint64(salt + 1) * _SALT)
-                out.append(named[full] if crowded or salt < _SALTS - 1 else named)
-                if crowded:
+                named = mix64(sums + np.arange(1, pieces + 1, dtype=np.uint64) * _STEP + self._level(level, salt))
+                # Of spare + 1 equal pieces one at least has elements, unless both sets have more than `spare` pieces without: then both
+                # go on to another deal, and after the last one empty pieces count too.
+                enough = int(full.sum()) + spare >= pieces
+                out.append(named[full] if spare < 0 or enough or salt < _SALTS - 1 else named)
+                if spare >= 0 and enough:
                     break
         return np.concatenate(out) if out else np.empty(0, np.uint64)
 
@@ -145,37 +161,50 @@ def _keys(k: int, num: int, den: int):
 
 
 def _sets(k: int, bits: bytes):
+    """The sets of the texts whose id the filter lets through, each once a task."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, seen, wanted = WordHashes(), set(), np.frombuffer(bits, np.uint64)
-        size = np.int64(len(wanted) * 64)
+        size = len(wanted) * 64
         for b in batches:
             nodes, sets = [], []
-            for t in _texts(b):
-                h = shingles(t, k, words)
+            ids = b.column(b.schema.get_field_index("doc_id")).to_pylist()
+            texts = b.column(b.schema.get_field_index("text")).cast(pa.binary())
+            for i, doc in enumerate(ids):
+                if doc is not None and not int(wanted[doc % size >> 6]) >> (doc % size & 63) & 1:
+                    continue
+                h = shingles(texts[i].as_py(), k, words)
                 if not len(h) or (node := node_of(h)) in seen:
                     continue
-                at = int(node % size)
-                if int(wanted[at >> 6]) >> (at & 63) & 1:
-                    if len(seen) > 500_000:
-                        seen.clear()
-                    seen.add(node)
-                    nodes.append(node)
-                    sets.append(h.tobytes())
+                if len(seen) > 500_000:
+                    seen.clear()
+                seen.add(node)
+                nodes.append(node)
+                sets.append(h.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], ["node", "elements"])
 
     return run
 
 
-def _filter_bits(nodes: DataFrame) -> bytes:
-    """A bit for each value of node modulo FILTER_BITS: at most FILTER_BITS / 64 numbers come to the driver."""
-    at = F.pmod(F.col("node"), F.lit(FILTER_BITS))
-    found = nodes.select(F.shiftright(at, 6).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(node, {FILTER_BITS}) & 63 as int))").alias("bit"))
+def _filter_bits(ids: DataFrame) -> bytes:
+    """A bit for each doc_id modulo FILTER_BITS: at most FILTER_BITS / 64 numbers come to the driver. The join that follows is exact."""
     out = np.zeros(FILTER_BITS // 64, np.uint64)
-    for word, bits in found.groupBy("word").agg(F.bit_or("bit").alias("bits")).collect():
+    for word, bits in _bits(ids).collect():
         out[word] = np.uint64(bits & 0xFFFFFFFFFFFFFFFF)
     return out.tobytes()
 
 
+def _place() -> tuple[Column, Column]:
+    """The word of 64 bits that doc_id falls into, and its bit there."""
+    return F.expr(f"shiftright(pmod(doc_id, {FILTER_BITS}), 6)"), F.expr(f"shiftleft(1L, cast(pmod(doc_id, {FILTER_BITS}) & 63 as int))")
+
+
+def _bits(ids: DataFrame) -> DataFrame:
+    """(word, bits): FILTER_BITS / 64 rows at most."""
+    word, bit = _place()
+    return ids.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+
+
 class Searcher:
     """T-occurrence search over the inverted lists of some sets."""
 
@@ -311,31 +340,30 @@ def _searched(rows: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def links_of(sets: DataFrame, blocks: DataFrame, num: int, den: int, unit_shingles: int = UNIT_SHINGLES) -> DataFrame:
-    """Links within blocks. sets: node, elements; blocks: node, root."""
-    spark = sets.sparkSession
-    placed = written(sets.join(blocks, "node").dropDuplicates(["node"]), "placed")
-    size = placed.groupBy("root").agg((F.sum(F.length("elements")) / 8).cast("long").alias("weight"), F.min("node").alias("pivot"))
+    """Links within blocks. sets: node, elements (a node may come more than once); blocks: node, root, n_shingles."""
+    size = blocks.groupBy("root").agg(F.sum("n_shingles").alias("weight"), F.min("node").alias("pivot"))
     size = size.withColumn("cuts", F.ceil(F.col("weight") / unit_shingles).cast("int"))
-    rows = placed.join(size, "root")
-    cut = F.when(F.col("cuts") == 1, F.array(F.lit(0))).when(F.col("node") == F.col("pivot"), F.sequence(F.lit(0), F.col("cuts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int")))
-    units = rows.withColumn("cut", F.explode(cut)).select(F.xxhash64("root", "cut").alias("unit"), "node", "elements", F.lit(True).alias("ask"))
+    own = F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int")
+    cut = F.when(F.col("node") == F.col("pivot"), F.sequence(F.lit(0), F.col("cuts") - 1)).otherwise(F.array(own))  # the pivot is in every unit
+    placed = written(blocks.join(size, "root").select("node", "root", "cuts", cut.alias("cut")), "placed")
+    units = sets.join(placed, "node").dropDuplicates(["node"]).withColumn("cut", F.explode("cut")).select(F.xxhash64("root", "cut").alias("unit"), "node", "elements", F.lit(True).alias("ask"))
     links = written(_searched(units, num, den), "links")
-    large = size.filter("cuts > 1")
-    if not large.isEmpty():
-        # Classes that the units could not join: all that is outside a block's largest class against all of the block.
-        inside = rows.filter("cuts > 1").select("node", "root", "cuts", "elements")
-        named = inside.join(components(links, "a", "b").withColumnRenamed("root", "class"), "node", "left").withColumn("class", F.coalesce("class", "node"))
-        counts = named.groupBy("root", "class").agg(F.count("*").alias("n"), F.sum(F.length("elements")).alias("bytes"))
-        main = counts.groupBy("root").agg(F.max_by("class", F.struct("n", "class")).alias("main"))
-        outside = counts.join(main, "root").filter("class <> main").groupBy("root").agg((F.sum("bytes") / 8).alias("rest"))
-        named = named.join(main, "root").join(outside, "root").withColumn("asks", F.ceil(F.col("rest") / unit_shingles).cast("int"))
-        named = named.withColumn("cut", F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int")).withColumn("turn", F.pmod(F.xxhash64("node", F.lit(1)), F.col("asks")).cast("int"))
-        data = named.withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("asks") - 1))).withColumn("ask", F.lit(False))
-        ask = named.filter("class <> main").withColumn("cut", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).withColumn("ask", F.lit(True))
-        again = data.unionByName(ask).groupBy("root", "cut", "turn", "node").agg(F.first("elements").alias("elements"), F.max("ask").alias("ask"))
-        more = written(_searched(again.withColumn("unit", F.xxhash64("root", "cut", "turn")), num, den), "links")
-        links = links.unionByName(more)
-    return links
+    if placed.filter("cuts > 1").isEmpty():
+        return links
+    # Classes that the units could not join: all that is outside a block's largest class against all of the block.
+    named = placed.filter("cuts > 1").drop("cut").join(components(links, "a", "b").withColumnRenamed("root", "class"), "node", "left").withColumn("class", F.coalesce("class", "node"))
+    named = named.join(blocks.select("node", "n_shingles"), "node")
+    counts = named.groupBy("root", "class").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles"))
+    main = counts.groupBy("root").agg(F.max_by("class", F.struct("n", "class")).alias("main"))
+    rest = counts.join(main, "root").filter("class <> main").groupBy("root").agg(F.sum("shingles").alias("rest"))
+    named = named.join(main, "root").join(rest, "root").withColumn("asks", F.ceil(F.col("rest") / unit_shingles).cast("int"))
+    cuts, turns = F.sequence(F.lit(0), F.col("cuts") - 1), F.sequence(F.lit(0), F.col("asks") - 1)
+    turn = F.pmod(F.xxhash64("node", F.lit(1)), F.col("asks")).cast("int")
+    data = named.select("node", "root", own.alias("cut"), F.explode(turns).alias("turn"), F.lit(False).alias("ask"))
+    asking = named.filter("class <> main").select("node", "root", F.explode(cuts).alias("cut"), turn.alias("turn"), F.lit(True).alias("ask"))
+    seats = data.unionByName(asking).groupBy("node", "root", "cut", "turn").agg(F.max("ask").alias("ask"))
+    again = sets.dropDuplicates(["node"]).join(seats, "node").select(F.xxhash64("root", "cut", "turn").alias("unit"), "node", "elements", "ask")
+    return links.unionByName(written(_searched(again, num, den), "links"))
 
 
 def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, unit_shingles: int = UNIT_SHINGLES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -347,12 +375,12 @@ def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, u
     keyed = docs.select("text").mapInArrow(_keys(k, num, den), "key long, node long")
     w = Window.partitionBy("key").orderBy("node").rowsBetween(Window.unboundedPreceding, 0)
     edges = keyed.withColumn("first", F.min("node").over(w)).filter("node <> first").select("node", "first")
-    blocks = written(components(edges, "node", "first"), "blocks")
-    bits = _filter_bits(blocks)
-    sets = docs.select("text").mapInArrow(_sets(k, bits), "node long, elements binary")
-    links = links_of(sets, blocks, num, den, unit_shingles)
+    names = nodes.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n_shingles"))
+    blocks = written(components(edges, "node", "first").join(names, "node"), "blocks")
+    bits = _filter_bits(blocks.select(F.col("first_id").alias("doc_id")).dropna())
+    sets = docs.mapInArrow(_sets(k, bits), "node long, elements binary")
+    links = links_of(sets, blocks.select("node", "root", "n_shingles"), num, den, unit_shingles)
     joined = components(links, "a", "b")
-    names = nodes.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"))
     classes = names.join(joined, "node")
     roots = classes.groupBy("root").agg(F.min("first_id").alias("component_id"))
     linked = classes.join(roots, "root").select("node", F.col("component_id").alias("linked_id"))
