@@ -394,8 +394,15 @@ def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> D
     Documents without an id cannot be named by a group and stay. Rows that repeat an id stay once, with the first text.
     """
     groups = written(jaccard_groups(docs, k, num, den), "groups")
-    kept = groups.filter("component_id = doc_id or n_shingles = 0").select("doc_id")
-    out = docs.join(kept.distinct(), "doc_id", "left_semi").select(*docs.columns)
+    stays = F.expr("component_id = doc_id or n_shingles = 0")
+    kept = groups.filter(stays).select("doc_id")
+    # Most texts stay. A filter over the ids that go, of a fixed size, tells those that surely stay; only the others are shuffled.
+    gone = _bits(groups.filter(~stays).select("doc_id").dropna()).select(F.col("word").alias("_word"), F.col("bits").alias("_bits"))
+    word, bit = _place()
+    marked = docs.filter("doc_id is not null").withColumn("_word", word).join(F.broadcast(gone), "_word", "left")
+    marked = marked.withColumn("_maybe", F.coalesce(F.col("_bits").bitwiseAND(bit) != 0, F.lit(False)))
+    sure = marked.filter(~F.col("_maybe")).select(*docs.columns)
+    out = sure.unionByName(marked.filter("_maybe").select(*docs.columns).join(kept.distinct(), "doc_id", "left_semi").select(*docs.columns))
     if not kept.groupBy("doc_id").count().filter("count > 1").isEmpty():
         first = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last(), *[F.col(c).cast("string").asc_nulls_last() for c in docs.columns])
         out = out.withColumn("_rank", F.row_number().over(first)).filter("_rank = 1").select(*docs.columns)
