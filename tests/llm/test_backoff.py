@@ -40,3 +40,22 @@ def test_scores_equal_a_direct_count(spark, odd_documents, cells, hot, bucket):
 
 def test_empty(spark, no_documents):
     assert B.backoff_scores(no_documents).count() == 0
+
+
+@pytest.mark.parametrize(("hot", "table", "bucket"), [(1 / 1000, B.TABLE_SHARE, 10**6), (1 / 20, 1 / 30, 300), (2.0, 2.0, 500)])
+def test_words_are_counted_exactly(spark, odd_documents, hot, table, bucket):
+    """Not with other words of a cell: some of these words share their hash modulo 2^20."""
+    hashes = WordHashes()
+    by_cell, clash = {}, []
+    for i in range(8000):
+        w = b"w%d" % i
+        clash += [(by_cell[hashes[w] % (1 << 20)], w)] if hashes[w] % (1 << 20) in by_cell else []
+        by_cell[hashes[w] % (1 << 20)] = w
+    assert len(clash) > 3
+    rows = [(r.doc_id, r.text) for r in odd_documents.collect()] + [(100 + i, f"the cat sat on {i % 3} the dog sat on a mat the cat") for i in range(20)]
+    rows += [(200 + i, " ".join(f"{a.decode()} {b.decode()} {a.decode()} {i} the" for a, b in clash[i % 2 :: 2])) for i in range(5)] + [(300 + i, b.decode()) for i, (_, b) in enumerate(clash)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((repr(r.doc_id), r.n_words, r.log_score) for r in B.backoff_scores(docs, hot_share=hot, bucket_words=bucket, table_share=table).collect())
+    want = reference(rows, B.ALPHA, 1 << 64)
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert all(abs(g[2] - w[2]) < 1e-5 * max(1, abs(w[2])) for g, w in zip(got, want, strict=True))

@@ -5,14 +5,17 @@ counts are those of the other documents (the document's own are subtracted), so
 the sum of the logarithms over its words; its first word counts as c(b) / N. Counts that are 0 without the document count as 1
 in c(a) and c(b), so logarithms exist.
 
-1. Unigram counts are kept in a fixed number of cells (a word's hash modulo CELLS): a bounded table that every task holds.
+1. Words are counted exactly by their 64-bit hashes, in a partitioned table that grows with the vocabulary. Those with TABLE_SHARE
+   of all words each or more, at most 1 / TABLE_SHARE of them, are a table that every task holds; the others are the rare words.
 2. Bigrams of two words with HOT_SHARE of all words each or more may be a large part of the corpus. There are at most
    (1 / HOT_SHARE)^2 of them; they are counted first and held as a table too, so they are never shuffled by key.
 3. All other bigrams of a document, each once with its count, are exploded and partitioned by their hash, in blocks of columns
    (a block a bucket, so a row of the shuffle carries thousands of bigrams). Each bucket counts its bigrams and joins the counts
    to their occurrences by a sort: the count table and its join in one exchange. No key has more than HOT_SHARE of the words,
    and the number of buckets grows with the words, so buckets keep their size.
-4. Terms are summed per document.
+4. Rare words of a document, each once with its count, go the same way in buckets of their own, and their counts come back to the
+   document, where those of its bigrams that hold a rare word and back off wait for them.
+5. Terms are summed per document.
 
 Words are lower-cased (A-Z) runs of anything but space and U+0009..U+000D. A null, empty or blank text has no words, the
 score 0 and no mean. Equal rows are scored each, as copies of each other. Extra columns are ignored; an empty table gives no rows.
@@ -29,15 +32,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.llm.common import WordHashes, mix64, small_batches
+from tidepool.llm.common import WordHashes, forget, mix64, small_batches, written
 
 ALPHA = 0.4
-CELLS = 1 << 20
+TABLE_SHARE = 1 / 2_000_000
 HOT_SHARE = 1 / 1000
 #: Words of the corpus for each bucket of bigrams: what one step of a task holds, at about 40 bytes each.
 BUCKET_WORDS = 1_000_000
 #: Buckets that a task joins one after the other; it sums a document's terms over all of them before it hands them on.
 BUCKETS_A_TASK = 4
+#: Words that a task gathers before it counts them.
+GATHER = 1_000_000
 #: Bigrams that a task explodes before it hands them on.
 FLUSH = 400_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -57,26 +62,52 @@ def bigrams(w: np.ndarray) -> np.ndarray:
     return mix64(w[:-1] * _STEP + w[1:])
 
 
-def _unigram_cells(cells: int):
+def word_keys(w: np.ndarray, cells: int | None) -> np.ndarray:
+    """What words are counted by: their hashes, or those modulo `cells`."""
+    return w % np.uint64(cells) if cells else w
+
+
+def among(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places, found) of keys in a sorted table."""
+    if not len(sorted_keys):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
+    return at, sorted_keys[at] == keys
+
+
+def _word_counts(cells: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, counts = FewerHashes(), np.zeros(cells, np.int64)
+        words, keys, counts = FewerHashes(), np.empty(0, np.uint64), np.empty(0, np.int64)
+        held, n = [], 0
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            new, times = np.unique(np.concatenate(held), return_counts=True)
+            both, inverse = np.unique(np.concatenate([keys, new]), return_inverse=True)
+            return both, np.bincount(inverse, weights=np.concatenate([counts, times])).astype(np.int64)
+
         for b in batches:
-            w = np.concatenate([word_hashes(t, words) for t in b.column(0).to_pylist()] or [np.empty(0, np.uint64)])
-            counts += np.bincount((w % np.uint64(cells)).astype(np.int64), minlength=cells)
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["cell", "n"])
+            for t in b.column(0).to_pylist():
+                held.append(word_keys(word_hashes(t, words), cells))
+                n += len(held[-1])
+            if n >= GATHER:
+                keys, counts = merged()
+                held, n = [], 0
+        if held:
+            keys, counts = merged()
+        for i in range(0, len(keys), GATHER):
+            yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + GATHER].view(np.int64)), pa.array(counts[i : i + GATHER])], ["key", "n"])
 
     return run
 
 
-def _hot_bigrams(cells: int, hot: np.ndarray):
+def _hot_bigrams(cells: int | None, hot: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, counts = FewerHashes(), {}
         for b in batches:
             keys = []
             for t in b.column(0).to_pylist():
                 w = word_hashes(t, words)
-                h = hot[(w % np.uint64(cells)).astype(np.int64)]
+                h = among(hot, word_keys(w, cells))[1]
                 both = np.flatnonzero(h[:-1] & h[1:])
                 keys.append(mix64(w[both] * _STEP + w[both + 1]))
             for key, n in zip(*(x.tolist() for x in np.unique(np.concatenate(keys), return_counts=True)), strict=True) if keys else []:
@@ -87,37 +118,48 @@ def _hot_bigrams(cells: int, hot: np.ndarray):
 
 
 class Terms:
-    """A document's terms, as far as the tables at hand go; the rest needs the count table of the other bigrams."""
+    """A document's terms, as far as the tables at hand go; the rest needs the counts of the other bigrams and of the rare words."""
 
-    def __init__(self, unigrams: np.ndarray, hot: np.ndarray, hot_keys: np.ndarray, hot_counts: np.ndarray, alpha: float):
-        self.unigrams, self.hot, self.hot_keys, self.hot_counts, self.alpha = unigrams, hot, hot_keys, hot_counts, alpha
-        self.total = int(unigrams.sum())
-        self.cells = np.uint64(len(unigrams))
+    def __init__(self, words: np.ndarray, word_counts: np.ndarray, total: int, hot: np.ndarray, hot_keys: np.ndarray, hot_counts: np.ndarray, alpha: float, cells: int | None):
+        self.words, self.word_counts, self.total, self.hot_keys, self.hot_counts, self.alpha, self.cells = words, word_counts, total, hot_keys, hot_counts, alpha, cells
+        self.hot = among(hot, words)[1]
 
-    def __call__(self, w: np.ndarray) -> tuple[float, float, np.ndarray, np.ndarray, np.ndarray]:
-        """(known part of the score, shift, keys, counts, products).
+    def __call__(self, w: np.ndarray) -> tuple[float, float, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(known part of the score, shift, keys, counts, products, firsts, seconds, rare words, own counts, times).
 
-        A bigram that another document has adds log c(a b), one that none has adds log(product) + shift, each `count` times.
+        A bigram that another document has adds log c(a b), one that none has adds log(product) + shift, each `count` times. Rare
+        words count as 1 in `known` and in products: each adds `times` log c, and `count` log c for each bigram that backs off and
+        has its place among them in firsts or seconds (-1: not rare).
         """
-        none = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.float32)
+        grams = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.float32), np.empty(0, np.int64), np.empty(0, np.int64)
         if not len(w):
-            return 0.0, 0.0, *none
-        at = (w % self.cells).astype(np.int64)
-        _, inverse, own = np.unique(at, return_inverse=True, return_counts=True)
-        c = np.maximum(self.unigrams[at] - own[inverse], 1)
+            return 0.0, 0.0, *grams, np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        each, inverse, own = np.unique(word_keys(w, self.cells), return_inverse=True, return_counts=True)
+        at, held = among(self.words, each)
+        rare = np.flatnonzero(~held)
+        of_each = np.ones(len(each), np.int64)
+        of_each[held] = np.maximum(self.word_counts[at[held]] - own[held], 1)
+        c = of_each[inverse]
+        place = np.full(len(each), -1)
+        place[rare] = np.arange(len(rare))
+        times = -np.bincount(inverse[:-1], minlength=len(each))
+        times[inverse[0]] += 1
         log_n = float(np.log(max(self.total - len(w), 1)))
         shift = float(np.log(self.alpha)) - log_n
         known = float(np.log(c[0])) - log_n
-        if len(w) == 1:
-            return known, shift, *none
-        keys, first, counts = np.unique(bigrams(w), return_index=True, return_counts=True)
-        known -= float((np.log(c[first]) * counts).sum())  # as if no bigram backed off: log c(a b) - log c(a)
-        product = c[first].astype(np.float32) * c[first + 1].astype(np.float32)
-        near = self.hot[at[first]] & self.hot[at[first + 1]]
-        if near.any():
-            total = self.hot_counts[np.searchsorted(self.hot_keys, keys[near])] - counts[near]
-            known += float((np.where(total > 0, np.log(np.maximum(total, 1)), np.log(product[near].astype(np.float64)) + shift) * counts[near]).sum())
-        return known, shift, keys[~near], counts[~near], product[~near]
+        if len(w) > 1:
+            keys, first, counts = np.unique(bigrams(w), return_index=True, return_counts=True)
+            known -= float((np.log(c[first]) * counts).sum())  # as if no bigram backed off: log c(a b) - log c(a)
+            product = c[first].astype(np.float32) * c[first + 1].astype(np.float32)
+            hot = np.zeros(len(each), bool)
+            hot[held] = self.hot[at[held]]
+            near = hot[inverse[first]] & hot[inverse[first + 1]]
+            if near.any():
+                total = self.hot_counts[np.searchsorted(self.hot_keys, keys[near])] - counts[near]
+                known += float((np.where(total > 0, np.log(np.maximum(total, 1)), np.log(product[near].astype(np.float64)) + shift) * counts[near]).sum())
+            far = ~near
+            grams = keys[far], counts[far], product[far], place[inverse[first[far]]], place[inverse[first[far] + 1]]
+        return known, shift, *grams, each[rare], own[rare], times[rare]
 
 
 def planes(x: np.ndarray) -> bytes:
@@ -130,37 +172,62 @@ def unplanes(data: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
-_BLOCKS = pa.schema([("bucket", pa.int64()), ("flush", pa.int64()), ("at", pa.binary()), ("keys", pa.binary()), ("counts", pa.binary()), ("products", pa.binary()), ("ids", pa.list_(pa.int64())), ("words", pa.binary()), ("known", pa.binary()), ("shifts", pa.binary())])
-_BLOCK_COLUMNS = "bucket long, flush long, at binary, keys binary, counts binary, products binary, ids array<long>, words binary, known binary, shifts binary"
-_SUMS = pa.schema([("flush", pa.int64()), ("at", pa.binary()), ("sums", pa.binary()), ("backoffs", pa.binary()), ("ids", pa.list_(pa.int64())), ("words", pa.binary()), ("known", pa.binary()), ("shifts", pa.binary())])
-_SUM_COLUMNS = "flush long, at binary, sums binary, backoffs binary, ids array<long>, words binary, known binary, shifts binary"
+_HEAD = [("ids", pa.list_(pa.int64())), *((c, pa.binary()) for c in ("words", "known", "shifts", "rare_at", "times", "firsts", "seconds", "gram_counts"))]
+_BLOCKS = pa.schema([("bucket", pa.int64()), ("flush", pa.int64()), ("at", pa.binary()), ("keys", pa.binary()), ("counts", pa.binary()), ("products", pa.binary()), ("rare", pa.binary()), *_HEAD])
+_SUMS = pa.schema([("flush", pa.int64()), ("bucket", pa.int64()), ("at", pa.binary()), ("sums", pa.binary()), ("backoffs", pa.binary()), ("n", pa.int64()), ("back", pa.binary()), *_HEAD])
+
+
+def _columns(schema: pa.Schema) -> str:
+    names = {pa.int64(): "long", pa.binary(): "binary", pa.list_(pa.int64()): "array<long>"}
+    return ", ".join(f"{f.name} {names[f.type]}" for f in schema)
 
 
 def _table(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(schema.types)], schema=schema)
 
 
-def _exploded(terms, buckets: int):
-    """Exploded bigrams as blocks of columns: a block a bucket of the keys' hash and FLUSH bigrams, and one of the documents' known parts.
+def _exploded(terms, buckets: int, word_buckets: int):
+    """Exploded bigrams and rare words as blocks of columns: a block a bucket of the keys' hash and flush of FLUSH bigrams, and one of
+    what stays with the documents.
 
-    A flush is named by a hash of its documents; `at` is a document's place in it.
+    A flush is named by a hash of its documents; `at` is a document's place in it. Buckets of words follow those of bigrams. What
+    stays: known parts, and in the order of the buckets each rare word (place of its document, times) and each bigram with a rare
+    word (1 + places of its words among the rare ones, 0: not rare; count).
     """
 
+    def split(bucket: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
+        order = np.argsort(bucket, kind="stable")
+        edges = np.append(np.flatnonzero(np.diff(bucket[order], prepend=np.uint64(1 << 63))), len(bucket)).tolist()
+        return order, list(zip(edges[:-1], edges[1:], strict=True))
+
     def flush(docs: list[tuple]) -> pa.RecordBatch:
         name = xxhash.xxh64()
         for ident, digest, _, _ in docs:
             name.update(f"{ident}:{digest};".encode())
         name = name.intdigest() - (1 << 63)
-        keys, counts, products = (np.concatenate([d[3][k] for d in docs]) for k in (2, 3, 4))
-        at = np.repeat(np.arange(len(docs), dtype=np.uint32), [len(d[3][2]) for d in docs])
-        bucket = (keys >> np.uint64(1)) % np.uint64(buckets)
-        order = np.argsort(bucket, kind="stable")
-        edges = np.append(np.flatnonzero(np.diff(bucket[order], prepend=np.uint64(buckets))), len(keys))
+        keys, counts, products, firsts, seconds, rare, own, times = (np.concatenate([d[3][k] for d in docs]) for k in range(2, 10))
+        place = np.arange(len(docs), dtype=np.uint32)
+        at, rare_at = (np.repeat(place, [len(d[3][k]) for d in docs]) for k in (2, 7))
+        bucket, word_bucket = (keys >> np.uint64(1)) % np.uint64(buckets), (mix64(rare) >> np.uint64(1)) % np.uint64(word_buckets)
+        order, parts = split(bucket)
+        word_order, word_parts = split(word_bucket)
+        rank = np.zeros(1 + len(rare), np.uint32)
+        rank[1 + word_order] = np.arange(1, 1 + len(rare), dtype=np.uint32)
+        start = np.cumsum([1] + [len(d[3][7]) for d in docs])[at]
+        firsts, seconds = (rank[np.where(x < 0, 0, start + x)] for x in (firsts, seconds))
+        wait = (firsts > 0) | (seconds > 0)
+        waiting = order[wait[order]]
         numbers = lambda k: np.array([d[3][k] for d in docs]).tobytes()
-        out = [(-1 - name % buckets, name, None, None, None, None, [d[0] for d in docs], np.array([d[2] for d in docs], np.int64).tobytes(), numbers(0), numbers(1))]
-        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        none = [None] * len(_HEAD)
+        head = [[d[0] for d in docs], np.array([d[2] for d in docs], np.int64).tobytes(), numbers(0), numbers(1)]
+        head += [planes(rare_at[word_order]), planes(times[word_order].astype(np.int32)), planes(firsts[waiting]), planes(seconds[waiting]), planes(counts[waiting].astype(np.uint32))]
+        out = [(-1 - name % buckets, name, None, None, None, None, None, *head)]
+        for a, b in parts:
             pick = order[a:b]
-            out.append((int(bucket[pick[0]]), name, planes(at[pick]), keys[pick].tobytes(), planes(counts[pick].astype(np.uint32)), planes(products[pick]), None, None, None, None))
+            out.append((int(bucket[pick[0]]), name, planes(at[pick]), keys[pick].tobytes(), planes(counts[pick].astype(np.uint32)), planes(products[pick]), np.packbits(wait[pick]).tobytes(), *none))
+        for a, b in word_parts:
+            pick = word_order[a:b]
+            out.append((buckets + int(word_bucket[pick[0]]), name, None, rare[pick].tobytes(), planes(own[pick].astype(np.uint32)), None, None, *none))
         return _table(out, _BLOCKS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,10 +248,13 @@ def _exploded(terms, buckets: int):
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks sorted by bucket: count each bucket's bigrams, join the counts to their occurrences, sum by document."""
+    """Blocks sorted by bucket: count each bucket's bigrams or rare words, join the counts to their occurrences, sum by document."""
+    none = (None,) * len(_HEAD)
+
 
     def bucket_sums(blocks: list[dict]) -> list[tuple]:
-        """(flush, at, sum, backoffs) of the documents of each flush."""
+        """(flush, at, sum, backoffs) of the documents of each flush; `back` takes what else goes back to it: (flush, bucket, n, ...)
+        of counts of rare words, or of bits that tell which bigrams with a rare word back off."""
         keys = np.concatenate([np.frombuffer(b["keys"], np.uint64) for b in blocks])
         counts = np.concatenate([unplanes(b["counts"], "u4") for b in blocks]).astype(np.int64)
         order = np.argsort(keys)
@@ -195,9 +265,16 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         del keys, order, edge
         out, start = [], 0
         for b in blocks:
+            size = len(b["keys"]) // 8
+            n, other = counts[start : start + size], elsewhere[start : start + size]
+            start += size
+            if b["at"] is None:
+                back.append((b["flush"], b["bucket"], None, None, None, size, planes(other.astype(np.uint32)), *none))
+                continue
             at, product = unplanes(b["at"], "u4"), unplanes(b["products"], "f4").astype(np.float64)
-            n, other = counts[start : start + len(at)], elsewhere[start : start + len(at)]
-            start += len(at)
+            waits = other[np.unpackbits(np.frombuffer(b["rare"], np.uint8), count=size).astype(bool)] <= 0
+            if len(waits):
+                back.append((b["flush"], b["bucket"], None, None, None, len(waits), np.packbits(waits).tobytes(), *none))
             docs, local = np.unique(at, return_inverse=True)
             term = np.where(other > 0, np.log(np.maximum(other, 1)), np.log(product)) * n
             out.append((b["flush"], docs, np.bincount(local, weights=term), np.bincount(local, weights=n * (other <= 0))))
@@ -211,35 +288,35 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, own in by_flush.items():
             at, local = np.unique(np.concatenate([p[1] for p in own]), return_inverse=True)
             sums, backoffs = (np.bincount(local, weights=np.concatenate([p[k] for p in own])) for k in (2, 3))
-            rows.append((name, planes(at.astype(np.uint32)), sums.astype(np.float32).tobytes(), planes(backoffs.astype(np.uint32)), None, None, None, None))
-        return _table(rows, _SUMS)
+            rows.append((name, None, planes(at.astype(np.uint32)), sums.astype(np.float32).tobytes(), planes(backoffs.astype(np.uint32)), None, None, *none))
+        return _table(rows + back, _SUMS)
 
-    bucket, blocks, parts, held = None, [], [], 0
+    bucket, blocks, parts, back, held = None, [], [], [], 0
     for b in batches:
         for r in b.to_pylist():
             if r["ids"] is not None:
-                yield _table([(r["flush"], None, None, None, r["ids"], r["words"], r["known"], r["shifts"])], _SUMS)
+                yield _table([(r["flush"], None, None, None, None, None, None, *(r[c] for c, _ in _HEAD))], _SUMS)
                 continue
             if r["bucket"] != bucket and blocks:
                 parts += bucket_sums(blocks)
-                held += sum(len(b["at"]) for b in blocks) // 4
+                held += sum(len(b["keys"]) for b in blocks) // 8
                 blocks = []
                 if held > 10 * FLUSH:
                     yield summed(parts)
-                    parts, held = [], 0
+                    parts, back, held = [], [], 0
             bucket = r["bucket"]
             blocks.append(r)
     if blocks:
         parts += bucket_sums(blocks)
-    if parts:
+    if parts or back:
         yield summed(parts)
 
 
 _SCORES = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("log_score", pa.float64())])
 
 
-def _scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums sorted by flush: the documents of each flush with their scores."""
+def _scores(buckets: int):
+    """Sums sorted by flush: the documents of each flush with their scores. Buckets of words follow `buckets` ones of bigrams."""
 
     def scores(rows: list[dict]) -> pa.RecordBatch:
         heads = [r for r in rows if r["ids"] is not None]  # more than one where the very same documents came again
@@ -247,41 +324,64 @@ def _scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shifts = np.frombuffer(head["shifts"])
         score = np.zeros(len(shifts))
         for r in rows:
-            if r["ids"] is None:
+            if r["at"] is not None:
                 at = unplanes(r["at"], "u4")
                 score[at] += np.frombuffer(r["sums"], np.float32) + unplanes(r["backoffs"], "u4") * shifts[at]
         score = score / len(heads) + np.frombuffer(head["known"])
+        rare_at = unplanes(head["rare_at"], "u4")
+        if len(rare_at):
+            last = {r["bucket"]: r for r in rows if r["back"] is not None}  # one a bucket; those of the same documents are the same
+            logs, bits = [np.zeros(1)], [np.empty(0, bool)]
+            for _, r in sorted(last.items()):
+                if r["bucket"] >= buckets:
+                    logs.append(np.log(np.maximum(unplanes(r["back"], "u4"), 1)))
+                else:
+                    bits.append(np.unpackbits(np.frombuffer(r["back"], np.uint8), count=r["n"]).astype(bool))
+            logs, bits = np.concatenate(logs), np.concatenate(bits)
+            score += np.bincount(rare_at, weights=unplanes(head["times"], "i4") * logs[1:], minlength=len(score))
+            firsts, seconds, n = (unplanes(head[c], "u4")[bits] for c in ("firsts", "seconds", "gram_counts"))
+            score += np.bincount(rare_at[np.where(firsts, firsts, seconds).astype(np.int64) - 1], weights=n * (logs[firsts] + logs[seconds]), minlength=len(score))
         words = np.frombuffer(head["words"], np.int64)
         return pa.RecordBatch.from_arrays([pa.array(head["ids"] * len(heads), pa.int64()), pa.array(np.tile(words, len(heads))), pa.array(np.tile(score, len(heads)))], schema=_SCORES)
 
-    flush, rows = None, []
-    for b in batches:
-        for r in b.to_pylist():
-            if r["flush"] != flush and rows:
-                yield scores(rows)
-                rows = []
-            flush = r["flush"]
-            rows.append(r)
-    if rows:
-        yield scores(rows)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flush, rows = None, []
+        for b in batches:
+            for r in b.to_pylist():
+                if r["flush"] != flush and rows:
+                    yield scores(rows)
+                    rows = []
+                flush = r["flush"]
+                rows.append(r)
+        if rows:
+            yield scores(rows)
+
+    return run
 
 
-def backoff_scores(docs: DataFrame, alpha: float = ALPHA, cells: int = CELLS, hot_share: float = HOT_SHARE, bucket_words: int = BUCKET_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_words, log_score, mean_log_score) of every document."""
+def backoff_scores(docs: DataFrame, alpha: float = ALPHA, cells: int | None = None, hot_share: float = HOT_SHARE, bucket_words: int = BUCKET_WORDS, id_col: str = "doc_id", text_col: str = "text", table_share: float = TABLE_SHARE) -> DataFrame:
+    """(doc_id, n_words, log_score, mean_log_score) of every document. With `cells`, words whose hashes are equal modulo it count as one."""
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    unigrams = np.zeros(cells, np.int64)
-    counted = docs.select("text").mapInArrow(_unigram_cells(cells), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most `cells` rows
-    unigrams[counted.column("cell").to_numpy()] = counted.column("n").to_numpy()
-    hot = unigrams >= max(2, int(unigrams.sum() * hot_share))
-    table = docs.select("text").mapInArrow(_hot_bigrams(cells, hot), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()  # at most 1 / hot_share^2 rows
-    keys = table.column("key").to_numpy().view(np.uint64)
-    order = np.argsort(keys)
-    terms = spark.sparkContext.broadcast(Terms(unigrams, hot, keys[order], table.column("n").to_numpy()[order], alpha))
-    buckets = 1 + int(unigrams.sum()) // bucket_words
-    tasks = 1 + buckets // BUCKETS_A_TASK
-    blocks = docs.mapInArrow(_exploded(terms, buckets), _BLOCK_COLUMNS)
-    sums = blocks.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_joined, _SUM_COLUMNS)
-    out = sums.repartition(tasks, "flush").sortWithinPartitions("flush").mapInArrow(_scores, "doc_id long, n_words long, log_score double")
+    counted = written(docs.select("text").mapInArrow(_word_counts(cells), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "words")
+    total = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    keys, counts = _sorted(counted.filter(F.col("n") >= max(2, total * min(table_share, hot_share))))  # at most 1 / table_share rows
+    forget(counted)
+    hot = keys[counts >= max(2, int(total * hot_share))]
+    hot_bigrams = _sorted(docs.select("text").mapInArrow(_hot_bigrams(cells, hot), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")))  # at most 1 / hot_share^2 rows
+    terms = spark.sparkContext.broadcast(Terms(keys, counts, total, hot, *hot_bigrams, alpha, cells))
+    buckets, word_buckets = 1 + total // bucket_words, 1 + (total - int(counts.sum())) // bucket_words
+    tasks = 1 + (buckets + word_buckets) // BUCKETS_A_TASK
+    blocks = docs.mapInArrow(_exploded(terms, buckets, word_buckets), _columns(_BLOCKS))
+    sums = blocks.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_joined, _columns(_SUMS))
+    out = sums.repartition(tasks, "flush").sortWithinPartitions("flush").mapInArrow(_scores(buckets), "doc_id long, n_words long, log_score double")
     return out.withColumn("mean_log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")))
+
+
+def _sorted(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, counts) of a table (key, n), by key."""
+    rows = table.toArrow()
+    keys, n = rows.column("key").to_numpy().view(np.uint64), rows.column("n").to_numpy()
+    order = np.argsort(keys)
+    return keys[order], n[order]
