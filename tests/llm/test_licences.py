@@ -38,3 +38,23 @@ def test_families_are_recognised_and_prose_is_left_alone():
         assert [best(x) for x in lines] == [family] * len(lines)
     assert {best(x) for x in L.NONE_EXAMPLES} == {"none"}
     assert {best(x) for x in ("", "Stone walls and old trees", "der und die das")} == {"none"}
+
+
+WRAPPED = {
+    "bsd": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:",
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above",
+    "gpl": " * This program is free software: you can redistribute it and/or modify\r\n * it under the terms of the GNU General Public License as published by\r\n * the Free Software Foundation, either version 3 of the License, or",
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining\na copy of this software and associated documentation files",
+}
+
+
+def test_wrapped_notices_keep_their_family(spark):
+    rows = [(i, f"Stone walls\n\n{t}\n\nand old trees") for i, t in enumerate(WRAPPED.values())] + [(0, "Stone walls\n\nReleased under the MIT License.\nwhere\n\nold trees stand")]
+    got = sorted((r.doc_id, r.line_no, r.family) for r in L.scanned(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted([(i, 2, f) for i, f in enumerate(WRAPPED)] + [(0, 2, "mit")])
+
+
+def test_a_null_id_keeps_its_family(spark):
+    rows = [(None, "Released under the MIT License"), (None, "Released under the MIT License"), (None, f"a\n{WRAPPED['bsd']}")]
+    got = sorted((r.doc_id, r.line_no, r.family) for r in L.scanned(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(None, 0, "mit"), (None, 0, "mit"), (None, 1, "bsd")]

@@ -1,11 +1,16 @@
 """License scans: a trained paragraph classifier, confirmed by comparison with templates.
 
-Paragraphs are the lines of a text. A multinomial logistic regression over word uni- and bigrams (indicators) is trained on
+Paragraphs are the lines of a text, and stretches of adjacent lines that hold a wrapped notice. A multinomial logistic regression over word uni- and bigrams (indicators) is trained on
 notices of each licence family, on licence-like sentences of no family ("unknown") and on ordinary prose ("none"). Its
 probabilities are calibrated by a temperature fitted to variants that the training left out. A paragraph of a family is
 confirmed if it holds CONFIRM or more of the word trigrams of one of the family's templates; one that looks like a licence but
 is not confirmed, or whose best family has too little probability, is reported as "unknown".
 
+Each line is judged alone. Besides, each stretch of lines is judged as if it were one, from a line with a word of the vocabulary up to
+SPAN words on (or a line without words), if it holds a trigram of a template. Stretches count only where a family is confirmed and
+no line or shorter stretch within confirms it. Those that share a line and a template are one notice. It is reported at its first
+line, and lines within that are unknown by themselves are not reported again.
+
 The vocabulary leaves out n-grams of function words only. A line without any word of the vocabulary has no features, hence the
 class "none" (its bias is the largest by construction, see fitted()), so most lines are settled by a look at their words. All
 else is joins with tables of weights and templates, whose sizes depend on the templates alone (a few thousand rows: a bounded
@@ -20,7 +25,7 @@ import re
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Notices by family, as people write them; each is also a template.
@@ -129,6 +134,8 @@ NONE_EXAMPLES = [
 ]
 FUNCTION_WORDS = set("a an and any are as at be by can for from has have he her his i if in into is it its may not of on or our she that the their they this to under was we were which will with without you your".split())
 CONFIRM, LEAST_PROBABILITY = 0.6, 0.5
+#: Words of a stretch of lines before its last line, at most: twice those of the longest template.
+SPAN = 2 * max(len(re.findall("[A-Za-z0-9]+", line)) for lines in TEMPLATES.values() for line in lines)
 
 
 def words_of(line: str) -> list[str]:
@@ -192,11 +199,22 @@ def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", con
     spark = docs.sparkSession
     classes, weights, bias = fitted()
     single = sorted(g for g in weights if " " not in g)
-    lines = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.col(text_col).cast("string"), "\r?\n")).alias("line_no", "line"))
-    low = F.translate("line", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    worded = lines.withColumn("words", F.split(low, "[^a-z0-9]+")).filter(F.arrays_overlap("words", F.array(*map(F.lit, single))))
-    key = ["doc_id", "line_no", "words"]
-    paragraphs = worded.withColumn("words", F.filter("words", lambda w: w != "")).groupBy(*key).agg(F.count("*").alias("copies"))
+    shapes = [(f, f"{f}/{n}", " ".join(w[i : i + 3]), k) for f, t in TEMPLATES.items() for n, line in enumerate(t) for w in [words_of(line)] for k in [max(1, len({*zip(w, w[1:], w[2:], strict=False)}))] for i in sorted({" ".join(w[i : i + 3]): i for i in range(max(1, len(w) - 2))}.values())]
+    text = F.col(text_col).cast("string")
+    low = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    worded = F.transform(F.split(low, "\r?\n"), lambda x: F.filter(F.split(x, "[^a-z0-9]+"), lambda w: w != ""))
+    lines = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("doc"), worded.alias("lines"))
+    known, marks = F.array(*map(F.lit, single)), F.array(*[F.lit(g) for g in sorted({g for _, _, g, _ in shapes})])
+    starts = F.filter(F.transform("lines", lambda ws, i: F.when(F.arrays_overlap(ws, known), i)), lambda i: i.isNotNull())
+    ahead = lines.select("doc_id", "doc", F.explode(F.transform(starts, lambda i: F.struct(i.alias("line_no"), F.slice("lines", i + 1, SPAN + 1).alias("ahead")))).alias("s")).select("doc_id", "doc", "s.*")
+    # How many lines on: each has words, and those before it have fewer than SPAN.
+    none = F.struct(F.lit(0).alias("n"), F.lit(0).alias("words"), F.lit(True).alias("open"))
+    step = lambda a, ws: F.when(a["open"] & (F.size(ws) > 0) & (a["words"] < SPAN), F.struct((a["n"] + 1).alias("n"), (a["words"] + F.size(ws)).alias("words"), F.lit(True).alias("open"))).otherwise(F.struct(a["n"].alias("n"), a["words"].alias("words"), F.lit(False).alias("open")))
+    ahead = ahead.withColumn("n", F.aggregate("ahead", none, step)["n"])
+    stretches = ahead.select("doc_id", "doc", "line_no", "ahead", F.explode(F.sequence(F.lit(1), "n")).alias("n_lines")).select("doc_id", "doc", "line_no", "n_lines", F.flatten(F.slice("ahead", F.lit(1), F.col("n_lines"))).alias("words"))
+    stretches = stretches.filter((F.col("n_lines") == 1) | (F.size(F.array_intersect("words", known)) > 1) & F.arrays_overlap(_grams(F.col("words"), 3), marks))
+    key = ["doc_id", "doc", "line_no", "n_lines", "words"]
+    paragraphs = stretches.groupBy(*key).agg(F.count("*").alias("copies"))
     columns = [f"w{i}" for i in range(len(classes))]
     table = F.broadcast(spark.createDataFrame([(g, *map(float, w)) for g, w in weights.items()], ["gram", *columns]))
     grams = paragraphs.withColumn("gram", F.explode(F.array_distinct(F.concat("words", _grams(F.col("words"), 2))))).join(table, "gram")
@@ -208,10 +226,22 @@ def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", con
     marked = scored.filter(F.col("class") < len(classes) - 1)
     named = F.element_at(F.array(*map(F.lit, classes)), F.col("class") + 1)
     marked = marked.select(*key, "copies", named.alias("best_family"), (1 / F.col("total")).alias("probability"))
-    shapes = [(f, f"{f}/{n}", " ".join(w[i : i + 3]), k) for f, t in TEMPLATES.items() for n, line in enumerate(t) for w in [words_of(line)] for k in [max(1, len({*zip(w, w[1:], w[2:], strict=False)}))] for i in sorted({" ".join(w[i : i + 3]): i for i in range(max(1, len(w) - 2))}.values())]
     shapes_table = F.broadcast(spark.createDataFrame(shapes, "best_family string, template string, gram string, size int"))
-    hits = marked.withColumn("gram", F.explode(F.array_distinct(_grams(F.col("words"), 3)))).join(shapes_table, ["best_family", "gram"])
-    share = hits.groupBy(*key, "template").agg((F.count("*") / F.first("size")).alias("overlap")).groupBy(*key).agg(F.max(F.struct("overlap", "template")).alias("best"))
-    sure = (F.col("probability") >= least) & (F.coalesce("best.overlap", F.lit(0.0)) >= confirm)
-    out = marked.join(share, key, "left").withColumn("family", F.when(sure, F.col("best_family")).otherwise("unknown")).withColumn("copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))))
-    return out.select("doc_id", "line_no", "family", "best_family", F.round("probability", 6).alias("probability"), F.col("best.template").alias("template"), F.round(F.coalesce("best.overlap", F.lit(0.0)), 6).alias("overlap"))
+    unit = ["doc_id", "doc", "line_no", "n_lines"]
+    about = ["copies", "best_family", "probability"]
+    hits = marked.select(*unit, *about, F.explode_outer(F.array_distinct(_grams(F.col("words"), 3))).alias("gram")).join(shapes_table, ["best_family", "gram"], "left")
+    share = hits.groupBy(*unit, *about, "template").agg((F.count("template") / F.first("size")).alias("overlap"))
+    found = share.groupBy(*unit, *about).agg(F.max(F.when(F.col("template").isNotNull(), F.struct("overlap", "template"))).alias("best"))
+    found = found.withColumn("sure", (F.col("probability") >= least) & (F.coalesce("best.overlap", F.lit(0.0)) >= confirm)).filter("n_lines = 1 or sure")
+    # Stretches: the shortest that confirm a family, the first of those that overlap; unknown lines only outside of them.
+    doc = ["doc_id", "doc"]
+    found = found.withColumn("stop", F.col("line_no") + F.col("n_lines") - 1).withColumn("template", F.col("best.template"))
+    sure_stop, later = F.when(F.col("sure"), F.col("stop")), Window.partitionBy(*doc, "best_family").orderBy("line_no")
+    covered = F.max(F.when(F.col("n_lines") > 1, F.col("stop"))).over(Window.partitionBy(*doc).orderBy("line_no").rangeBetween(Window.unboundedPreceding, 0))
+    found = found.withColumn("covered", F.coalesce(covered, F.lit(-1)) >= F.col("line_no"))
+    found = found.withColumn("here", F.min(sure_stop).over(later.rangeBetween(0, 0))).withColumn("within", F.min(sure_stop).over(later.rangeBetween(1, Window.unboundedFollowing)))
+    found = found.filter((F.col("n_lines") == 1) & (F.col("sure") | ~F.col("covered")) | (F.col("n_lines") > 1) & (F.col("here") == F.col("stop")) & (F.coalesce("within", F.lit(2**31 - 1)) > F.col("stop")))
+    before = F.lag("stop").over(Window.partitionBy(*doc, "best_family", "template", F.col("n_lines") > 1).orderBy("line_no"))
+    found = found.withColumn("before", F.coalesce(before, F.lit(-1))).filter((F.col("n_lines") == 1) | (F.col("before") < F.col("line_no")))
+    out = found.withColumn("family", F.when(F.col("sure"), F.col("best_family")).otherwise("unknown")).withColumn("copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))))
+    return out.select("doc_id", "line_no", "family", "best_family", F.round("probability", 6).alias("probability"), "template", F.round(F.coalesce("best.overlap", F.lit(0.0)), 6).alias("overlap"))
