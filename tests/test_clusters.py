@@ -1,9 +1,13 @@
 import random
+from collections import Counter
+
+import numpy as np
 
 from tidepool.operators import clusters as C
 from tidepool.operators import models as M
 from tidepool.operators import sampling as S
 from tidepool.operators import voice as V
+from tidepool.plans import catalogue
 
 
 def edges_of(rng, n, m):
@@ -103,3 +107,28 @@ def test_models_learn(spark):
     assert said.filter("predicted = labels").count() == len(rows)
     result = M.agreement(train, train.limit(0), ["alpha", "omega"])
     assert result[0].first().exact > 0.9 and M.agreement(train.limit(5), train.limit(0), ["alpha"]) is None
+
+
+def test_bootstrap_takes_all_draws(spark):
+    from tests.test_coding import fnv
+
+    d = "/root/testdata/sf0.001"
+    rows = catalogue.events(spark, d).select("video", "grp", "code").collect()
+    videos = sorted({r.video for r in rows})
+    lifts = {}
+    for n in range(1000):
+        times = Counter(videos[fnv(f"{n}:{k}") % len(videos)] for k in range(len(videos)))
+        hits, size, of_code = Counter(), Counter(), Counter()
+        for r in rows:
+            m = times[r.video]
+            hits[r.grp, r.code] += m
+            size[r.grp] += m
+            of_code[r.code] += m
+        for (g, c), h in hits.items():
+            if h:
+                lifts.setdefault((g, c), []).append(h / size[g] / (of_code[c] / size.total()))
+    got = {(r.grp, r.code): (r.low, r.high, r.above_one) for r in catalogue.bootstrap_intervals_full(spark, d).collect()}
+    assert got.keys() == lifts.keys()
+    for k, v in lifts.items():
+        want = (*np.percentile(v, [2.5, 97.5]), np.mean(np.array(v) > 1))
+        assert np.allclose(got[k], want, atol=2e-6)
