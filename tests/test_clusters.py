@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tidepool.operators import clusters as C
 from tidepool.operators import models as M
@@ -132,3 +133,33 @@ def test_bootstrap_takes_all_draws(spark):
     for k, v in lifts.items():
         want = (*np.percentile(v, [2.5, 97.5]), np.mean(np.array(v) > 1))
         assert np.allclose(got[k], want, atol=2e-6)
+
+
+def test_models_take_every_row_in_ten_epochs(spark):
+    """More rows than training once took, and weights of a plain loop over rows in memory."""
+    many = spark.range(50_001).selectExpr("cast(id as string) as text", "array(if(id % 3 = 0, 'a', 'b')) as labels")
+    assert M.fit(many, ["a"], epochs=1).filter("bucket = -1").count() == 1
+    rows = [(f"{w} {i}", [w]) for i in range(30) for w in ("alpha", "omega", "other")]
+    train = spark.createDataFrame(rows, "text string, labels array<string>")
+    data = sorted((r.text, r.buckets, r.labels) for r in M.featured(train).collect())
+    got = {(r.code, r.bucket): r.w for r in M.fit(train, ["alpha", "omega"]).collect()}
+    for code in ("alpha", "omega"):
+        w, bias, shuffle = np.zeros(1 << 15), 0.0, np.random.default_rng(0)
+        for _ in range(10):
+            for i in shuffle.permutation(len(data)):
+                y = float(code in data[i][2])
+                step = 0.15 * (y - 1 / (1 + np.exp(-np.clip(w[data[i][1]].sum() + bias, -20, 20)))) * (2.0 if y else 1.0)
+                w[data[i][1]] += step
+                bias += step
+            w *= 1 - 1e-4
+        want = {(code, int(k)): w[k] for k in np.flatnonzero(w)} | {(code, -1): bias}
+        mine = {k: v for k, v in got.items() if k[0] == code}
+        assert mine.keys() == want.keys() and all(abs(mine[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_char_model_trains_as_the_operator(spark):
+    d = "/root/testdata/sf0.001"
+    c = catalogue.table(spark, d, "conversations").filter("length(text) > 0").selectExpr("text", "array(role) as labels")
+    train = S.merged_labels(c).withColumn("part", S.hash_split(F.col("text"))).filter("part = 'train'")
+    want = M.scores(c, M.fit(train, ["user", "assistant", "system"], epochs=10)).select(F.md5("text").alias("text_md5"), "code", F.round("p", 6).alias("p"))
+    assert sorted(map(tuple, catalogue.char_model(spark, d).collect())) == sorted(map(tuple, want.collect()))

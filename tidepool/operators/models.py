@@ -1,7 +1,8 @@
 """A character n-gram classifier: one logistic model a code over hashed features; thresholds, scores, agreement.
 
 Weights are a table (code, bucket, w); bucket -1 is the bias. Scoring is a join and a sum, so texts of any number are scored
-without Python. Training is sequential by nature; each code trains in a task of its own on a bounded training set.
+without Python. Training is sequential by nature, in one task a code: its features are in a temporary file there, so that memory holds
+16 bytes a row and the weights, and its time grows with the rows.
 """
 
 from __future__ import annotations
@@ -13,9 +14,6 @@ from tidepool.functions import text as T
 from tidepool.operators.aggregates import disagreement, score_all
 from tidepool.operators.sampling import hash_split, merged_labels
 
-#: Rows that training takes at most; more are an error, not a sample.
-MOST_ROWS = 50_000
-
 
 def featured(texts: DataFrame, n_features: int = 1 << 15, text: str = "text") -> DataFrame:
     return texts.withColumn("buckets", T.feature_buckets(F.col(text), n_features))
@@ -26,38 +24,62 @@ def fit(train: DataFrame, codes: list[str], epochs: int = 10, rate: float = 0.15
 
     Positives weigh (n - p) / p, within 1 and 6; logits are clipped at 20; weights shrink after each epoch; a seeded shuffle.
     """
-    n = train.count()
-    if n > MOST_ROWS:
-        raise ValueError(f"{n} training rows; {MOST_ROWS} at most")
-
-    def descend(pdf):
+    def model(x, ends, y):
         import numpy as np
-        import pandas as pd
 
-        pdf = pdf.sort_values("text")
-        rows = [np.asarray(b, np.int64) for b in pdf.buckets]
-        y = pdf.y.to_numpy(float)
         positive = y.sum()
         weight = np.clip((len(y) - positive) / positive, 1, 6) if positive else 1.0
         w, bias, shuffle = np.zeros(n_features), 0.0, np.random.default_rng(0)
         for _ in range(epochs):
             for i in shuffle.permutation(len(y)):
-                z = np.clip(w[rows[i]].sum() + bias, -20, 20)
+                row = x[ends[i] : ends[i + 1]]
+                z = np.clip(w[row].sum() + bias, -20, 20)
                 step = rate * (y[i] - 1 / (1 + np.exp(-z))) * (weight if y[i] else 1.0)
-                w[rows[i]] += step
+                w[row] += step
                 bias += step
             w *= 1 - decay
         at = np.flatnonzero(w)
-        return pd.DataFrame({"code": pdf.code.iloc[0], "bucket": np.append(at, -1), "w": np.append(w[at], bias)})
+        return np.append(at, -1), np.append(w[at], bias)
+
+    def descend(batches):
+        """Rows sorted by code, then text: the weights of each code."""
+        import tempfile
+        from array import array
+
+        import numpy as np
+        import pyarrow as pa
+
+        def trained():
+            file.flush()
+            x = np.memmap(file, np.int32, "r").view(np.ndarray) if ends[-1] else np.empty(0, np.int32)
+            bucket, w = model(x, np.frombuffer(ends, np.int64), np.frombuffer(y))
+            file.close()
+            return pa.RecordBatch.from_arrays([pa.array([code] * len(w), pa.string()), pa.array(bucket, pa.int64()), pa.array(w, pa.float64())], ["code", "bucket", "w"])
+
+        code = file = ends = y = None
+        for b in batches:
+            for c, buckets, label in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
+                if c != code:
+                    if file:
+                        yield trained()
+                    code, file, ends, y = c, tempfile.TemporaryFile(), array("q", [0]), array("d")
+                row = buckets.values.to_numpy().astype(np.int32)
+                file.write(row.tobytes())
+                ends.append(ends[-1] + len(row))
+                y.append(label)
+        if file:
+            yield trained()
 
     wide = featured(train, n_features).select("text", "buckets", "labels", F.explode(F.array(*map(F.lit, codes))).alias("code"))
-    return wide.select("code", "text", "buckets", F.array_contains("labels", F.col("code")).cast("int").alias("y")).groupBy("code").applyInPandas(descend, "code string, bucket long, w double")
+    rows = wide.select("code", "buckets", F.array_contains("labels", F.col("code")).cast("int").alias("y"), "text")
+    return rows.repartition(len(codes), "code").sortWithinPartitions("code", "text").select("code", "buckets", "y").mapInArrow(descend, "code string, bucket long, w double")
 
 
 def scores(texts: DataFrame, weights: DataFrame, n_features: int = 1 << 15, text: str = "text") -> DataFrame:
     """(text, code, p): probabilities of every code."""
     each = featured(texts.select(text).distinct(), n_features, text).select(text, F.explode(F.concat("buckets", F.array(F.lit(-1).cast("long")))).alias("bucket"))
-    z = each.join(weights, "bucket").groupBy(text, "code").agg(F.sum("w").alias("z"))
+    z = each.join(F.broadcast(weights), "bucket")  # at most n_features + 1 rows a code
+    z = z.groupBy(text, "code").agg(F.sum("w").alias("z"))
     return z.select(text, "code", (1 / (1 + F.exp(-F.least(F.greatest("z", F.lit(-20.0)), F.lit(20.0))))).alias("p"))
 
 

@@ -731,7 +731,7 @@ def char_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A model of turns' roles learned from four fifths of the benchmark and its likes, scored on all turns. No SQL trains it; its scores are tested on a fixture."""
     c = table(spark, sf_dir, "conversations").filter("length(text) > 0").select("text", F.array("role").alias("labels"))
     train = S.merged_labels(c).withColumn("part", S.hash_split(F.col("text"))).filter("part = 'train'")
-    weights = M.fit(train.select("text", "labels"), ["user", "assistant", "system"], epochs=1)
+    weights = M.fit(train.select("text", "labels"), ["user", "assistant", "system"])
     return M.scores(c, weights).select(F.md5("text").alias("text_md5"), "code", F.round("p", 6).alias("p"))
 
 
