@@ -7,6 +7,7 @@ from tidepool.operators import filters as FL
 from tidepool.operators import timeline as W
 from tidepool.operators import views as V
 from tidepool.operators import voice as VO
+from tidepool.plans import catalogue
 from tidepool.sources import comments as K
 from tidepool.sources import pages as P
 
@@ -69,3 +70,17 @@ def test_lists(spark):
     keys = FL.title_keys(F.col("t"), F.lit("law"), ["预告"], ["防卫"], ["law"], ["吗"], ["老师"])
     t = spark.createDataFrame([("防卫吗",), ("防卫预告",), ("这样合理吗？老师",), ("无问",)], "t string")
     assert [r[0] for r in t.select(keys).collect()] == [["防卫"], [], ["这样合理"], []]
+
+
+def test_reach_goes_over_a_whole_table(spark):
+    d = "/root/testdata/sf0.001"
+    links = {}
+    for r in catalogue.table(spark, d, "lineitem").select("l_partkey", "l_orderkey").collect():
+        links.setdefault(f"part/{r[0]}", set()).add(f"order/{r[1]}")
+        links.setdefault(f"order/{r[1]}", set()).add(f"part/{r[0]}")
+    depth, edge = {"part/1": 0}, {"part/1"}
+    for n in range(1, 5):
+        edge = {t for s in edge for t in links.get(s, ())} - depth.keys()
+        depth |= dict.fromkeys(edge, n)
+    got = {r.url: r.depth for r in catalogue.order_reach(spark, d).collect()}
+    assert got == depth and len(got) > 100

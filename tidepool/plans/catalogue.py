@@ -919,6 +919,18 @@ def link_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.reach(spark.createDataFrame([(1,)], "url long"), links, 4)
 
 
+@query(
+    "order_reach",
+    """WITH RECURSIVE l AS (SELECT DISTINCT 'part/' || l_partkey AS s, 'order/' || l_orderkey AS t FROM lineitem UNION SELECT DISTINCT 'order/' || l_orderkey, 'part/' || l_partkey FROM lineitem),
+        r(url, depth) AS (SELECT 'part/1', 0 UNION SELECT l.t, depth + 1 FROM r JOIN l ON l.s = r.url WHERE depth < 4) SELECT url, min(depth) AS depth FROM r GROUP BY url""",
+)
+def order_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A frontier over the links of all lines: parts to the orders that hold them, and orders to their parts."""
+    lines = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("part/"), F.col("l_partkey")).alias("source"), F.concat(F.lit("order/"), F.col("l_orderkey")).alias("target"))
+    links = lines.unionByName(lines.select(F.col("target").alias("source"), F.col("source").alias("target")))
+    return P.reach(spark.createDataFrame([("part/1",)], "url string"), links, 4)
+
+
 # --- Voices ---
 
 @query(
