@@ -1,4 +1,4 @@
-"""N-gram Jaccard join: exact set-similarity groups of documents by T-occurrence search.
+"""N-gram Jaccard join: set-similarity groups of documents by T-occurrence search, exact but for a chance below 1e-9 a pair.
 
 1. Every text becomes its set of distinct k-word shingles (64-bit hashes). Equal sets fold into one node.
 2. Blocking. Two sets of sizes a and b with a Jaccard similarity of at least num/den differ in at most
