@@ -68,23 +68,64 @@ def test_odd_rows(spark, odd_documents, no_documents):
     assert sorted((r.doc_id for r in kept.collect()), key=repr) == sorted([1, 3, 4, 5, None, None, 6, 7, 8], key=repr)
 
 
-def test_keys_lose_no_pair():
-    """Sets at the threshold share a key at every size, whatever the hash deals."""
+def threshold_corpus(seed, num, den):
+    """Documents of 150 to 2000 words, and copies with so many words changed at one end that they link just or just not."""
+    rng, texts = random.Random(seed), []
+    passage = [f"p{i}" for i in range(120)]
+    for n in (150, 151, 320, 700, 2000):
+        words = [f"{n}_{i}" for i in range(n)] + passage
+        texts.append(" ".join(words))
+        d = (len(words) - 2) * (den - num) // (den + num)
+        for more in (-2, -1, 0, 1, 2):
+            at = d + more
+            texts.append(" ".join([f"x{rng.random()}" for _ in range(at)] + words[at:]))
+            texts.append(" ".join(words[at * (den + num) // den :]))
+    rng.shuffle(texts)
+    return list(enumerate(texts))
+
+
+@pytest.mark.parametrize(("num", "chunk"), [(90, 900), (80, 10**6)])
+def test_links_at_the_threshold(spark, num, chunk):
+    rows = threshold_corpus(num, num, 100)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(map(tuple, N.jaccard_groups(docs, 3, num, 100, chunk=chunk).collect()), key=repr)
+    assert got == reference(rows, 3, num, 100)
+
+
+def test_prefixes_lose_no_pair():
+    """Linked sets share enough of the elements looked at, and a key, whatever the order and the counts."""
     rng = np.random.default_rng(3)
     for num, den in ((90, 100), (80, 100)):
-        pieces = N.Pieces(num, den)
-        for n in [*range(8, 60), 100, 500, 2000]:
+        p = N.Prefixes(num, den)
+        for n in [*range(1, 60), 100, 500, 2000]:
             for _ in range(6):
                 a = rng.integers(1, 2**63, n, dtype=np.uint64)
-                common = -(-num * n // den)
+                common = p.low(n)
                 while den * common < num * (n + n - common):
                     common += 1
                 b = np.concatenate([a[:common], rng.integers(1, 2**63, n - common, dtype=np.uint64)])
-                for other in (b, a[: -(-num * n // den)]):
-                    if len(other) == n and (other == a).all():
-                        continue
-                    if set(a.tolist()) != set(other.tolist()):
-                        assert set(pieces.keys(np.sort(a)).tolist()) & set(pieces.keys(np.sort(other)).tolist()), (n, len(other))
+                for other in (b, a[: p.low(n)]):
+                    x, y = np.sort(a), np.sort(other)
+                    both = np.intersect1d(x[: p.looked_at(len(x))], y[: p.looked_at(len(y))])
+                    assert len(both) >= max(1, p.low(min(len(x), len(y))) * p.extra // 100)
+                    count = dict(zip(np.union1d(x, y).tolist(), rng.integers(1, 4, 2 * n).tolist()))
+                    counts = [np.array([max(count[e], 1 + (e in x and e in y)) for e in s.tolist()]) for s in (x, y)]
+                    assert set(p.block_keys(x, counts[0]).tolist()) & set(p.block_keys(y, counts[1]).tolist()), (n, len(other))
+
+
+def test_copies_over_tasks_are_one_node(spark):
+    """Copies in several tasks and chunks neither count as others nor hide them."""
+    rows = [(i, t) for i, t in enumerate([t for _, t in corpus(9, 60)] * 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted(map(tuple, N.jaccard_groups(docs, 3, 90, 100, chunk=50).collect()), key=repr)
+    assert got == reference(rows, 3, 90, 100)
+
+
+def test_one_of_each_keeps_other_texts_of_an_id(spark):
+    """Rows of one id with different texts are different documents; equal ones stay once; a copy goes whatever its id."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    docs = spark.createDataFrame([(1, a), (1, b), (2, a), (2, c), (3, b), (3, b), (4, c), (5, c), (6, " "), (6, " ")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text[0]) for r in N.one_of_each(docs).collect()) == [(1, "a"), (1, "b"), (2, "c"), (6, " "), (6, " ")]
 
 
 def test_search_equals_brute_force():

@@ -1,21 +1,27 @@
-"""N-gram Jaccard join: set-similarity groups of documents by T-occurrence search, exact but for a chance below 1e-9 a pair.
+"""N-gram Jaccard join: set-similarity groups of documents by T-occurrence search.
 
 1. Every text becomes its set of distinct k-word shingles (64-bit hashes). Equal sets fold into one node.
-2. Blocking. Two sets of sizes a and b with a Jaccard similarity of at least num/den differ in at most
-   d = (a + b)(den - num)/(den + num) elements. A hash deals the shingle universe into pieces; pieces that no difference falls
-   into are the same in both sets. A key is the hash of all elements of one piece. Sets that may link share a key (for
-   certain where d is small, else with a chance of missing below 1e-9, see Pieces); others almost never do, because a key covers
-   several shingles at once.
-3. Nodes that share keys form blocks (connected components over one star a key, never all pairs of a key).
+2. A set of n elements links only with sets that hold at least low(n) = ceil(n num/den) of them. Under one order of all shingles,
+   here by hash, the first n - low(n) + e(n) elements of linked sets have at least min(e) elements in common, where e(n) is EXTRA
+   percent of n, at least 1. Sets with fewer elements there that any other set has there too link with nothing; most texts end here.
+   One exchange of that share of the shingles finds them.
+3. Of the others, all elements are counted, and the order is by that count, rarest first. Linked sets share one of their first
+   n - low(n) + 1 elements. As these are the rarest, passages that many documents share are not among them, unless they make up
+   the documents. Sets that share such an element, and are of sizes that may link, form blocks (connected components over one
+   star an element, never all pairs of an element).
 4. Each block is searched by T-occurrence with DivideSkip: inverted lists of the block; the shortest ones are heap-merged,
    the longest ones only probed by binary search; sets that reach the required overlap are links.
 5. Blocks of too many shingles are cut into units that share a pivot; whatever stays outside a block's main component is
-   then searched against all units, so no link is lost at any size.
+   then searched against all units.
+
+No step leaves out a link at any size, but where 64-bit hashes of different shingles or sets are equal. Elements that many sets
+have are counted within chunks of sets before they are shuffled, so an element gives a chunk one row, however many sets have it.
 
 Definitions: A-Z are lower-cased, words are runs of anything but space and U+0009..U+000D. A text of fewer than k words has
 its whole sequence as its only shingle. Null, empty and blank texts have empty sets and link with nothing. Rows with equal
-ids are separate rows of the same result; a null id never becomes a component's name unless all ids of it are null. Columns
-other than the id and the text are ignored. An empty table gives an empty result.
+ids are separate rows of the same result; a null id never becomes a component's name unless all ids of it are null. Sizes that
+tie and repeated texts need no rule. Columns other than the id and the text are ignored. An empty table gives an empty result.
+Texts are never cut: a task holds one text, its shingles (8 bytes a word) and a chunk of others at a time.
 """
 
 from __future__ import annotations
@@ -31,20 +37,20 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tidepool.llm.common import WordHashes, components, mix64, small_batches, written
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _LEVEL = np.uint64(0xC2B2AE3D27D4EB4F)
-_SALT = np.uint64(0x165667B19E3779F9)
-#: Other hash functions are tried where pieces stay empty; after these, empty pieces get keys too.
-_SALTS = 6
-#: Differences up to which blocking is certain; differences a piece beyond that; pieces that escape them on average.
-EXACT_D, CROWD, SURE = 12, 1.65, 21.0
-#: Shingles that one search unit may hold (16 bytes each): about 32 MB in a worker.
-UNIT_SHINGLES = 2_000_000
-#: Bits of the filter that picks the texts whose sets the search needs. Fixed; when full, it only lets more rows through.
-FILTER_BITS = 1 << 23
+#: Percent of a set's elements that are looked at in step 2 beyond what one common element needs.
+EXTRA = 10
+#: Elements that a task gathers as one chunk before it hands them on.
+CHUNK = 500_000
+#: Shingles that one search unit may hold (16 bytes each): about 16 MB in a worker.
+UNIT_SHINGLES = 1_000_000
+#: Bits of the filter that picks the texts whose sets are needed. Fixed (2 MB); when full, more sets are shuffled, at most all of them once.
+FILTER_BITS = 1 << 24
 
 
 def shingles(data: bytes | None, k: int, words: WordHashes) -> np.ndarray:
@@ -68,94 +74,85 @@ def node_of(h: np.ndarray) -> int:
     return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(h.tobytes()))))
 
 
-class Pieces:
-    """Keys of a set under the threshold num/den; see step 2 above.
-
-    Two sets of a level differ in d elements at most. Up to EXACT_D, the universe is dealt into more pieces than d, so some piece
-    of both sets is the same for certain. Beyond, it is dealt into d / CROWD pieces, some times over: fewer keys that each
-    hold more shingles, so that texts which merely share a passage share no key. A piece then escapes d differences with a
-    chance of (1 - 1/pieces)^d, and there are so many pieces that SURE of them do on average: that none does has a chance below
-    exp(-SURE), under 1e-9, for two sets just at the threshold, and far less for more similar ones.
-    """
+class Prefixes:
+    """How many of a set's first elements linked sets share under the threshold num/den; see steps 2 and 3 above."""
 
-    def __init__(self, num: int, den: int, largest: int = 1 << 34):
-        self.num, self.den = num, den
-        self.upper = [1]
+    def __init__(self, num: int, den: int, extra: int = EXTRA, largest: int = 1 << 34):
+        self.num, self.den, self.extra = num, den, min(extra, 100 * num // den)
+        self.upper = [1]  # of classes of sizes: sets that link are of one class or of two that follow each other
         while self.upper[-1] < largest:
             self.upper.append(max(self.upper[-1] + 1, self.upper[-1] * den // num))
-        self._plans: dict[int, tuple[int, int, int]] = {}
-
-    def plan(self, level: int) -> tuple[int, int, int]:
-        """(pieces, times, spare) of a level: it joins sizes of the classes level - 1 and level. spare -1: not for certain."""
-        if level not in self._plans:
-            d = 2 * self.upper[level] * (self.den - self.num) // (self.den + self.num)
-            if d <= EXACT_D:
-                spare = 1 + d // 8
-                self._plans[level] = (d + 1 + spare, 1, spare) if d else (1, 1, 0)
-            else:
-                pieces = int(d / CROWD)
-                self._plans[level] = pieces, math.ceil(SURE / (pieces * (1 - 1 / pieces) ** d)), -1
-        return self._plans[level]
-
-    @staticmethod
-    def _level(level: int, salt: int) -> np.uint64:
-        return np.uint64((level * int(_LEVEL) + (salt + 1) * int(_SALT)) & 0xFFFFFFFFFFFFFFFF)
-
-    def keys(self, h: np.ndarray) -> np.ndarray:
-        out = []
-        own = bisect_left(self.upper, len(h))
-        for level in (own, own + 1):
-            pieces, times, spare = self.plan(level)
-            if pieces == 1:  # at these sizes only equal sets link, and those share a node
-                continue
-            for salt in range(times if spare < 0 else _SALTS):
-                at = ((mix64(h + self._level(0, salt)) if salt else h) % np.uint64(pieces)).astype(np.int64)
-                sums = np.zeros(pieces, np.uint64)
-                np.add.at(sums, at, h)
-                full = np.bincount(at, minlength=pieces) > 0
-                named = mix64(sums + np.arange(1, pieces + 1, dtype=np.uint64) * _STEP + self._level(level, salt))
-                # Of spare + 1 equal pieces one at least has elements, unless both sets have more than `spare` pieces without: then both
-                # go on to another deal, and after the last one empty pieces count too.
-                enough = int(full.sum()) + spare >= pieces
-                out.append(named[full] if spare < 0 or enough or salt < _SALTS - 1 else named)
-                if spare >= 0 and enough:
-                    break
-        return np.concatenate(out) if out else np.empty(0, np.uint64)
+
+    def low(self, n: int) -> int:
+        """The least overlap, and the least size, of a set that links with one of n elements."""
+        return -(-self.num * n // self.den)
+
+    def looked_at(self, n: int) -> int:
+        return n - self.low(n) + max(1, n * self.extra // 100)
+
+    def least_shared(self) -> str:
+        """SQL of how many of the elements looked at another set must have, by n_shingles: e of the smallest set that may link."""
+        return f"greatest(1L, (({self.num} * n_shingles + {self.den} - 1) div {self.den}) * {self.extra} div 100)"
+
+    def block_keys(self, h: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Keys of a set whose elements occur in `counts` sets: the first elements that others have too, once for each class of
+        sizes that it may link with. None if too few elements are shared."""
+        n, low = len(h), self.low(len(h))
+        shared = np.flatnonzero(counts > 1)
+        if len(shared) < low:
+            return np.empty(0, np.uint64)
+        first = shared[np.lexsort((h[shared], counts[shared]))[: len(shared) - low + 1]]  # the n - len(shared) others come before these
+        own = bisect_left(self.upper, n)
+        return np.concatenate([mix64(h[first] + np.uint64(level * int(_LEVEL) & 0xFFFFFFFFFFFFFFFF)) for level in (own, own + 1)])
 
 
 def _texts(batch: pa.RecordBatch) -> list:
     return batch.column(batch.schema.get_field_index("text")).cast(pa.binary()).to_pylist()
 
 
-def _nodes(k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHashes()
-        for b in batches:
-            sets = [shingles(t, k, words) for t in _texts(b)]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(b.schema.get_field_index("doc_id")), pa.array([len(h) for h in sets], pa.int64()), pa.array([node_of(h) if len(h) else None for h in sets], pa.int64())],
-                ["doc_id", "n_shingles", "node"],
-            )
+def _lists(values: np.ndarray, row: np.ndarray, rows: int) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=rows))]), pa.int32()), pa.array(values.view(np.int64)))
 
-    return run
 
+def _nodes(k: int, prefixes: Prefixes, chunk: int):
+    """Rows of nodes with the elements looked at in step 2, those of copies within a task only once (`known` is null for the others).
+
+    Elements that several sets of a chunk have are `known` to be shared; one row carries such an element, marked by its last bit.
+    """
+
+    def flush(rows: list[tuple]) -> pa.RecordBatch:
+        ids, sizes, names, parts = zip(*rows, strict=True)
+        first = np.array([p is not None for p in parts])
+        parts = [np.empty(0, np.uint64) if p is None else p for p in parts]
+        flat, row = np.concatenate(parts), np.repeat(np.arange(len(rows)), [len(p) for p in parts])
+        _, at, inverse, counts = np.unique(flat, return_index=True, return_inverse=True, return_counts=True)
+        shared = counts[inverse] > 1
+        stays = ~shared
+        stays[at] = True
+        marked = flat[stays] & np.uint64(0xFFFFFFFFFFFFFFFE) | shared[stays]
+        known = np.bincount(row, weights=shared, minlength=len(rows)).astype(np.int64)
+        columns = [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), pa.array(known, mask=~first), _lists(marked, row[stays], len(rows))]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "node", "known", "elements"])
 
-def _keys(k: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, pieces, seen = WordHashes(), Pieces(num, den), set()
+        words, seen, rows, held = WordHashes(), set(), [], 0
         for b in batches:
-            nodes, keys = [], []
-            for t in _texts(b):
-                h = shingles(t, k, words)
-                if len(h) and (node := node_of(h)) not in seen:  # copies within a task give their keys once
+            for doc, text in zip(b.column(b.schema.get_field_index("doc_id")).to_pylist(), _texts(b), strict=True):
+                h = shingles(text, k, words)
+                node = node_of(h) if len(h) else None
+                part = None
+                if node is not None and node not in seen:
                     if len(seen) > 500_000:
                         seen.clear()
                     seen.add(node)
-                    keys.append(pieces.keys(h).view(np.int64))
-                    nodes.append(node)
-            lengths = [len(x) for x in keys]
-            flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(np.array(nodes, np.int64), lengths))], ["key", "node"])
+                    part = h[: prefixes.looked_at(len(h))].copy()
+                    held += len(part)
+                rows.append((doc, len(h), node, part))
+                if held >= chunk or len(rows) >= chunk // 10:
+                    yield flush(rows)
+                    rows, held = [], 0
+        if rows:
+            yield flush(rows)
 
     return run
 
@@ -189,8 +186,8 @@ def _sets(k: int, bits: bytes):
 def _filter_bits(ids: DataFrame) -> bytes:
     """A bit for each doc_id modulo FILTER_BITS: at most FILTER_BITS / 64 numbers come to the driver. The join that follows is exact."""
     out = np.zeros(FILTER_BITS // 64, np.uint64)
-    for word, bits in _bits(ids).collect():
-        out[word] = np.uint64(bits & 0xFFFFFFFFFFFFFFFF)
+    found = _bits(ids).toArrow()
+    out[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
     return out.tobytes()
 
 
@@ -205,6 +202,136 @@ def _bits(ids: DataFrame) -> DataFrame:
     return ids.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
 
 
+def may_link(nodes: DataFrame, prefixes: Prefixes) -> DataFrame:
+    """(node, first_id, n_shingles) of the nodes that step 2 leaves. Each copy that gave elements is credited the same shared ones."""
+    names = nodes.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n_shingles"), F.sum("known").alias("known"), F.count("known").alias("copies"))
+    each = nodes.select("node", F.explode("elements").alias("e")).select(F.col("e").bitwiseOR(F.lit(1)).alias("element"), F.when(F.col("e").bitwiseAND(F.lit(1)) == 0, F.col("node")).alias("node"))
+    w = Window.partitionBy("element")
+    others = (F.min("node").over(w) != F.max("node").over(w)) | (F.count("node").over(w) < F.count("*").over(w))
+    credits = each.withColumn("others", others).filter("others and node is not null").groupBy("node").agg(F.count("*").alias("credit"))
+    enough = F.col("known") + F.coalesce("credit", F.lit(0)) >= F.expr(prefixes.least_shared()) * F.col("copies")
+    return names.join(credits, "node", "left").filter(enough).select("node", "first_id", "n_shingles")
+
+
+def _chunked(chunk: int):
+    """Rows (chunk, node, elements): as many sets in a row as hold `chunk` elements, named by the first of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, held = None, 0
+        for b in batches:
+            names = []
+            for node, elements in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                if name is None or held >= chunk:
+                    name, held = node, 0
+                held += len(elements.as_buffer()) // 8
+                names.append(name)
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), b.column(0), b.column(1)], ["chunk", "node", "elements"])
+
+    return run
+
+
+def _dealt(buckets: int):
+    """The distinct elements of a chunk with the number of its sets that have them, as blocks of columns, one a bucket."""
+
+    def flush(chunk: int, sets: list[bytes]) -> pa.RecordBatch:
+        each, counts = np.unique(np.frombuffer(b"".join(sets), np.uint64), return_counts=True)
+        bucket = (mix64(each) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        edges = np.append(np.flatnonzero(np.diff(bucket[order], prepend=-1)), len(order)).tolist()
+        parts = [order[a:b] for a, b in zip(edges, edges[1:], strict=False)]
+        columns = [pa.array([bucket[p[0]] for p in parts], pa.int64()), pa.array([chunk] * len(parts), pa.int64())]
+        return pa.RecordBatch.from_arrays([*columns, pa.array([each[p].tobytes() for p in parts], pa.binary()), pa.array([counts[p].astype(np.uint32).tobytes() for p in parts], pa.binary())], ["bucket", "chunk", "keys", "counts"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, sets = None, []
+        for b in batches:
+            for name, elements in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if name != chunk and sets:
+                    yield flush(chunk, sets)
+                    sets = []
+                chunk = name
+                sets.append(elements)
+        if sets:
+            yield flush(chunk, sets)
+
+    return run
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
+    """Runs of rows that have the same first column."""
+    rows: list[dict] = []
+    for b in batches:
+        key = b.schema.names[0]
+        for r in b.to_pylist():
+            if rows and rows[-1][key] != r[key]:
+                yield rows
+                rows = []
+            rows.append(r)
+    if rows:
+        yield rows
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks sorted by bucket: each chunk's elements that more than one set has, with the number of sets."""
+    for rows in _runs(batches):
+        keys = np.concatenate([np.frombuffer(r["keys"], np.uint64) for r in rows])
+        _, inverse = np.unique(keys, return_inverse=True)
+        counts = np.bincount(inverse, weights=np.concatenate([np.frombuffer(r["counts"], np.uint32) for r in rows]))[inverse].astype(np.int64)
+        out, start = [], 0
+        for r in rows:
+            stop = start + len(r["keys"]) // 8
+            more = np.flatnonzero(counts[start:stop] > 1) + start
+            if len(more):
+                out.append((r["chunk"], keys[more].tobytes(), counts[more].tobytes()))
+            start = stop
+        yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.binary()))], ["chunk", "keys", "counts"])
+
+
+def _block_keys(prefixes: Prefixes):
+    """Chunks of sets with the counts of their elements, sorted by chunk. Rows (key, node, null), one a chunk and key, and
+    (null, node, first): sets of a chunk that have a key in common with its first one."""
+
+    def keyed(rows: list[dict]) -> pa.RecordBatch:
+        tables = [r for r in rows if r["keys"] is not None]
+        each = np.concatenate([np.empty(0, np.uint64), *(np.frombuffer(r["keys"], np.uint64) for r in tables)])
+        counts = np.concatenate([np.empty(0, np.int64), *(np.frombuffer(r["counts"], np.int64) for r in tables)])
+        order = np.argsort(each)
+        each, counts = np.append(each[order], np.uint64(0)), np.append(counts[order], 1)
+        nodes, parts = [], []
+        for r in rows:
+            if r["elements"] is not None:
+                h = np.frombuffer(r["elements"], np.uint64)
+                at = np.searchsorted(each[:-1], h)
+                nodes.append(r["node"])
+                parts.append(prefixes.block_keys(h, np.where(each[at] == h, counts[at], 1)))
+        keys = np.concatenate([np.empty(0, np.uint64), *parts])
+        owner = np.repeat(np.array(nodes, np.int64), [len(p) for p in parts])
+        names, at, inverse = np.unique(keys, return_index=True, return_inverse=True)
+        pairs = np.unique(np.stack([owner, owner[at][inverse]], 1)[owner != owner[at][inverse]], axis=0)
+        none = np.zeros(len(pairs), np.int64)
+        key = pa.array(np.concatenate([names.view(np.int64), none]), mask=np.arange(len(names) + len(pairs)) >= len(names))
+        first = pa.array(np.concatenate([np.zeros(len(names), np.int64), pairs[:, 1]]), mask=np.arange(len(names) + len(pairs)) < len(names))
+        return pa.RecordBatch.from_arrays([key, pa.array(np.concatenate([owner[at], pairs[:, 0]])), first], ["key", "node", "first"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _runs(batches):
+            yield keyed(rows)
+
+    return run
+
+
+def block_edges(sets: DataFrame, prefixes: Prefixes, chunk: int) -> DataFrame:
+    """Edges (node, first) of the blocks of step 3. sets: chunk, node, elements, written."""
+    total = sets.agg(F.coalesce(F.sum(F.octet_length("elements")), F.lit(0))).first()[0] // 8
+    buckets = 1 + total // chunk
+    dealt = sets.select("chunk", "elements").mapInArrow(_dealt(buckets), "bucket long, chunk long, keys binary, counts binary")
+    counted = dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_counted, "chunk long, keys binary, counts binary")
+    both = sets.unionByName(counted, allowMissingColumns=True).repartition(buckets, "chunk").sortWithinPartitions("chunk")
+    keyed = written(both.mapInArrow(_block_keys(prefixes), "key long, node long, first long"), "keys")
+    stars = keyed.filter("key is not null").withColumn("first", F.min("node").over(Window.partitionBy("key"))).filter("node <> first")
+    return keyed.filter("key is null").select("node", "first").unionByName(stars.select("node", "first"))
+
+
 class Searcher:
     """T-occurrence search over the inverted lists of some sets."""
 
@@ -340,13 +467,13 @@ def _searched(rows: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def links_of(sets: DataFrame, blocks: DataFrame, num: int, den: int, unit_shingles: int = UNIT_SHINGLES) -> DataFrame:
-    """Links within blocks. sets: node, elements (a node may come more than once); blocks: node, root, n_shingles."""
+    """Links within blocks. sets: node, elements; blocks: node, root, n_shingles."""
     size = blocks.groupBy("root").agg(F.sum("n_shingles").alias("weight"), F.min("node").alias("pivot"))
     size = size.withColumn("cuts", F.ceil(F.col("weight") / unit_shingles).cast("int"))
     own = F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int")
     cut = F.when(F.col("node") == F.col("pivot"), F.sequence(F.lit(0), F.col("cuts") - 1)).otherwise(F.array(own))  # the pivot is in every unit
     placed = written(blocks.join(size, "root").select("node", "root", "cuts", cut.alias("cut")), "placed")
-    units = sets.join(placed, "node").dropDuplicates(["node"]).withColumn("cut", F.explode("cut")).select(F.xxhash64("root", "cut").alias("unit"), "node", "elements", F.lit(True).alias("ask"))
+    units = sets.join(placed, "node").withColumn("cut", F.explode("cut")).select(F.xxhash64("root", "cut").alias("unit"), "node", "elements", F.lit(True).alias("ask"))
     links = written(_searched(units, num, den), "links")
     if placed.filter("cuts > 1").isEmpty():
         return links
@@ -362,48 +489,67 @@ def links_of(sets: DataFrame, blocks: DataFrame, num: int, den: int, unit_shingl
     data = named.select("node", "root", own.alias("cut"), F.explode(turns).alias("turn"), F.lit(False).alias("ask"))
     asking = named.filter("class <> main").select("node", "root", F.explode(cuts).alias("cut"), turn.alias("turn"), F.lit(True).alias("ask"))
     seats = data.unionByName(asking).groupBy("node", "root", "cut", "turn").agg(F.max("ask").alias("ask"))
-    again = sets.dropDuplicates(["node"]).join(seats, "node").select(F.xxhash64("root", "cut", "turn").alias("unit"), "node", "elements", "ask")
+    again = sets.join(seats, "node").select(F.xxhash64("root", "cut", "turn").alias("unit"), "node", "elements", "ask")
     return links.unionByName(written(_searched(again, num, den), "links"))
 
 
-def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, unit_shingles: int = UNIT_SHINGLES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _solved(docs: DataFrame, k: int, num: int, den: int, unit_shingles: int, chunk: int) -> tuple[DataFrame, DataFrame]:
+    """nodes (doc_id, n_shingles, node) of all rows, and (node, component_id, least) of all nodes: the smallest id of the component,
+    and the smallest of the nodes that have it. docs: doc_id, text."""
+    prefixes = Prefixes(num, den)
+    nodes = written(docs.mapInArrow(_nodes(k, prefixes, chunk), "doc_id long, n_shingles long, node long, known long, elements array<long>"), "nodes")
+    left = written(may_link(nodes, prefixes), "left")
+    bits = _filter_bits(left.select(F.col("first_id").alias("doc_id")).dropna())
+    sets = docs.mapInArrow(_sets(k, bits), "node long, elements binary").join(left.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    sets = written(sets.mapInArrow(_chunked(chunk), "chunk long, node long, elements binary"), "sets")
+    blocks = written(components(block_edges(sets, prefixes, chunk), "node", "first").join(left, "node"), "blocks")
+    links = links_of(sets.drop("chunk"), blocks.select("node", "root", "n_shingles"), num, den, unit_shingles)
+    classes = written(components(links, "a", "b").join(left, "node"), "classes")
+    least = classes.groupBy("root").agg(F.min(F.when(F.col("first_id").isNotNull(), F.struct("first_id", "node"))).alias("least"))
+    linked = classes.join(least, "root").select("node", F.col("least.first_id").alias("linked_id"), F.col("least.node").alias("least"))
+    names = nodes.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"))
+    named = names.join(linked, "node", "left").select("node", F.coalesce("linked_id", "first_id").alias("component_id"), F.coalesce("least", "node").alias("least"))
+    return nodes.select("doc_id", "n_shingles", "node"), named
+
+
+def _plain(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+
+def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, unit_shingles: int = UNIT_SHINGLES, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
     """(doc_id, n_shingles, component_id): documents that links of similarity num/den or more connect."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    nodes = written(docs.mapInArrow(_nodes(k), "doc_id long, n_shingles long, node long"), "nodes")
-    keyed = docs.select("text").mapInArrow(_keys(k, num, den), "key long, node long")
-    w = Window.partitionBy("key").orderBy("node").rowsBetween(Window.unboundedPreceding, 0)
-    edges = keyed.withColumn("first", F.min("node").over(w)).filter("node <> first").select("node", "first")
-    names = nodes.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n_shingles"))
-    blocks = written(components(edges, "node", "first").join(names, "node"), "blocks")
-    bits = _filter_bits(blocks.select(F.col("first_id").alias("doc_id")).dropna())
-    sets = docs.mapInArrow(_sets(k, bits), "node long, elements binary")
-    links = links_of(sets, blocks.select("node", "root", "n_shingles"), num, den, unit_shingles)
-    joined = components(links, "a", "b")
-    classes = names.join(joined, "node")
-    roots = classes.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    linked = classes.join(roots, "root").select("node", F.col("component_id").alias("linked_id"))
-    named = names.join(linked, "node", "left").select("node", F.coalesce("linked_id", "first_id").alias("component_id"))
+    small_batches(docs.sparkSession)
+    nodes, named = _solved(_plain(docs, id_col, text_col), k, num, den, unit_shingles, chunk)
     return nodes.join(named, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The document with the smallest doc_id of each group, and all documents without words.
+    """One document of each group, with the smallest doc_id, and all documents without words.
 
-    Documents without an id cannot be named by a group and stay. Rows that repeat an id stay once, with the first text.
+    Rows are told apart by their id and their set: rows of one id that hold different texts are different documents. Rows of one id
+    whose sets are equal stay once, with the first text. Documents without an id cannot be named by a group and stay.
     """
-    groups = written(jaccard_groups(docs, k, num, den), "groups")
-    stays = F.expr("component_id = doc_id or n_shingles = 0")
-    kept = groups.filter(stays).select("doc_id")
+    small_batches(docs.sparkSession)
+    nodes, named = _solved(_plain(docs), k, num, den, UNIT_SHINGLES, CHUNK)
+    rows = nodes.filter("doc_id is not null and node is not null").groupBy("doc_id", "node").agg(F.count("*").alias("n")).join(named, "node")
+    rows = written(rows.select("doc_id", "node", ((F.col("doc_id") == F.col("component_id")) & (F.col("node") == F.col("least"))).alias("stays"), (F.col("n") > 1).alias("again")), "rows")
     # Most texts stay. A filter over the ids that go, of a fixed size, tells those that surely stay; only the others are shuffled.
-    gone = _bits(groups.filter(~stays).select("doc_id").dropna()).select(F.col("word").alias("_word"), F.col("bits").alias("_bits"))
+    gone = _bits(rows.filter("again or not stays").select("doc_id")).select(F.col("word").alias("_word"), F.col("bits").alias("_bits"))
     word, bit = _place()
-    marked = docs.filter("doc_id is not null").withColumn("_word", word).join(F.broadcast(gone), "_word", "left")
-    marked = marked.withColumn("_maybe", F.coalesce(F.col("_bits").bitwiseAND(bit) != 0, F.lit(False)))
-    sure = marked.filter(~F.col("_maybe")).select(*docs.columns)
-    out = sure.unionByName(marked.filter("_maybe").select(*docs.columns).join(kept.distinct(), "doc_id", "left_semi").select(*docs.columns))
-    if not kept.groupBy("doc_id").count().filter("count > 1").isEmpty():
-        first = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last(), *[F.col(c).cast("string").asc_nulls_last() for c in docs.columns])
-        out = out.withColumn("_rank", F.row_number().over(first)).filter("_rank = 1").select(*docs.columns)
-    return out.unionByName(docs.filter("doc_id is null"))
+    marked = docs.withColumn("_word", word).join(F.broadcast(gone), "_word", "left").withColumn("_maybe", F.coalesce(F.col("_bits").bitwiseAND(bit) != 0, F.lit(False)))
+    marked = marked.drop("_word", "_bits")
+    at = docs.columns.index("text")
+
+    def with_node(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = WordHashes()
+        for b in batches:
+            sets = [shingles(t, k, words) for t in b.column(at).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([node_of(h) if len(h) else None for h in sets], pa.int64())], [*b.schema.names, "_node"])
+
+    maybe = marked.filter("_maybe").drop("_maybe")
+    maybe = maybe.mapInArrow(with_node, StructType([*maybe.schema.fields, StructField("_node", LongType())]))
+    kept = rows.filter("stays").select(F.col("doc_id").alias("_id"), F.col("node").alias("_named"))
+    found = maybe.join(kept, (F.col("doc_id").cast("long") == F.col("_id")) & (F.col("_node") == F.col("_named")), "left_semi")
+    first = Window.partitionBy("doc_id", "_node").orderBy(F.col("text"), *[F.col(c).cast("string").asc_nulls_last() for c in docs.columns])
+    found = found.withColumn("_rank", F.row_number().over(first)).filter("_rank = 1")
+    return marked.filter("not _maybe").select(*docs.columns).unionByName(found.select(*docs.columns)).unionByName(maybe.filter("_node is null").select(*docs.columns))
