@@ -68,6 +68,28 @@ def test_odd_rows(spark, odd_documents, no_documents):
     assert sorted((r.doc_id for r in kept.collect()), key=repr) == sorted([1, 3, 4, 5, None, None, 6, 7, 8], key=repr)
 
 
+def test_queries_dealt_over_tasks(spark):
+    """Units whose queries are dealt over tasks join what one task joins."""
+    rows = corpus(4)
+    sets = [(i, N.shingles(t.encode(), 2, N.WordHashes())) for i, t in rows]
+    table = spark.createDataFrame([(i, h.tobytes()) for i, h in sets], "node long, elements binary")
+    blocks = spark.createDataFrame([(i, i % 2, len(h)) for i, h in sets], "node long, root long, n_shingles long")
+
+    def classes(work, unit):
+        return sorted(map(tuple, N.components(N.links_of(table, blocks, 70, 100, unit, work), "a", "b").collect()))
+
+    assert classes(10**9, 10**6) == classes(3000, 10**6) == classes(400, 900)
+
+
+def test_components_salt_hubs(spark):
+    """A node of many edges is joined in parts; the classes are the same."""
+    edges = [(0, i) for i in range(1, 300)] + [(1000 + i, 1001 + i) for i in range(40)] + [(299, 2000)]
+    table = spark.createDataFrame(edges, "a long, b long")
+    want = sorted([(i, 0) for i in [*range(300), 2000]] + [(1000 + i, 1000) for i in range(41)])
+    for hub in (10, 10**6):
+        assert sorted(map(tuple, N.components(table, "a", "b", hub=hub).collect())) == want
+
+
 def threshold_corpus(seed, num, den):
     """Documents of 150 to 2000 words, and copies with so many words changed at one end that they link just or just not."""
     rng, texts = random.Random(seed), []

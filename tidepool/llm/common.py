@@ -66,34 +66,48 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
+#: Edges of one node that one task may join.
+HUB = 100_000
+
+
+def components(edges: DataFrame, a: str, b: str, max_rounds: int = 60, hub: int = HUB) -> DataFrame:
     """(node, root): the smallest node reachable over undirected edges, for each node of an edge.
 
     Alternating large-star and small-star rounds (Kiveris et al. 2014) until the edges stay as they are. Each round is
     written to the shared folder, so lineage stays short and a lost executor costs one round at most. Minima are taken
-    by partial aggregation and joined back, so a node of very many edges is not gathered in one task.
+    by partial aggregation and joined back; the edges of a node that has more than `hub` are salted over several tasks.
     """
     e = written(_ordered(edges.select(F.col(a).alias("u"), F.col(b).alias("v"))), "edges")
-    before = None
+    before, count = None, e.count()
     for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = written(_ordered(both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))), "large")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree")).withColumn("m", F.least("u", "m"))
+        large = written(_ordered(_salted(both, low, hub, count).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))), "large")
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree"))
+        small = _salted(large, low, hub, 2 * count).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         new = written(_ordered(small), "edges")
         forget(large, e)
         e = new
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
-        before = now
+        before, count = now, now[0]
     else:
         raise RuntimeError("connected components did not settle")
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("root"))
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots).distinct()
 
 
+def _salted(rows: DataFrame, low: DataFrame, hub: int, count: int) -> DataFrame:
+    """rows (u, v) with m of their u; low: u, m, degree. At most `count` edges in all."""
+    if count <= hub:  # no node can have more
+        return rows.join(low.select("u", "m"), "u")
+    salts = F.ceil(F.col("degree") / hub).cast("int")
+    hubs = F.broadcast(low.filter(F.col("degree") > hub).select("u", salts.alias("salts")))  # at most 2 * count / hub rows
+    rows = rows.join(hubs, "u", "left").withColumn("salt", F.when(F.col("salts").isNull(), 0).otherwise(F.pmod(F.xxhash64("v"), F.col("salts")).cast("int")))
+    return rows.join(low.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).select("u", "salt", "m"), ["u", "salt"]).select("u", "v", "m")
+
+
 def _ordered(e: DataFrame) -> DataFrame:
     """Edges from the larger to the smaller node, each once, without loops."""
     return e.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()

@@ -49,6 +49,12 @@ EXTRA = 10
 CHUNK = 500_000
 #: Shingles that one search unit may hold (16 bytes each): about 16 MB in a worker.
 UNIT_SHINGLES = 1_000_000
+#: Sets times shingles that one task of a unit may search; beyond that, its queries are dealt over several tasks.
+UNIT_WORK = 200_000_000
+#: Shingles of units for each task of the search.
+TASK_SHINGLES = 250_000
+#: DivideSkip's weight of a merged item against a probe: the smaller, the more lists are probed.
+MU = 0.001
 #: Bits of the filter that picks the texts whose sets are needed. Fixed (2 MB); when full, more sets are shuffled, at most all of them once.
 FILTER_BITS = 1 << 24
 
@@ -356,7 +362,7 @@ class Searcher:
         by_length = np.argsort(end - begin, kind="stable")
         # DivideSkip: the longest lists are set aside. Those few that remain decide which sets are looked at.
         longest = int(end[by_length[-1]] - begin[by_length[-1]])
-        aside = min(t - 1, max(0, int(t / (0.01 * math.log2(longest + 1) + 1))))
+        aside = min(t - 1, max(0, int(t / (MU * math.log2(longest + 1) + 1))))
         short = [self.owners[begin[i] : end[i]].tolist() for i in by_length[: n - aside]]
         long = [(int(begin[i]), int(end[i])) for i in by_length[n - aside :]]
         out, owners = [], self.owners
@@ -407,18 +413,20 @@ class _Union:
         return self.find(x) == self.find(self.query)
 
 
-def block_links(sets: list[np.ndarray], num: int, den: int, queries: list[int] | None = None) -> list[tuple[int, int]]:
+def block_links(sets: list[np.ndarray], num: int, den: int, queries: list[int] | None = None, pivot: int | None = None) -> list[tuple[int, int]]:
     """Links that connect what all links connect.
 
     Each set outside the largest class so far is searched against all sets, until none is left: of two linked sets in
     different classes one at least is outside the largest class, so no link between classes is missed, while copies of
-    one text cost one search instead of one each.
+    one text cost one search instead of one each. Of given queries, all are searched but those that a link chain joins to
+    the pivot, which is searched first: tasks that share sets and pivot miss no link between classes either.
     """
     search, union, out = Searcher(sets, num, den), _Union(len(sets)), []
     if queries is not None:
-        for q in queries:
-            union.query = q
-            out += [(q, x) for x in search.search(q, union)]
+        for q in ([] if pivot is None else [pivot]) + queries:
+            if q == pivot or pivot is None or union.find(q) != union.find(pivot):
+                union.query = q
+                out += [(q, x) for x in search.search(q, union)]
         return out
     done: set[int] = set()
     before = -1
@@ -432,24 +440,29 @@ def block_links(sets: list[np.ndarray], num: int, den: int, queries: list[int] |
     return out
 
 
+#: Roles of a set in a unit: searched only, a query too, or the pivot of several tasks.
+DATA, ASKS, PIVOT = 0, 1, 2
+
+
 def _units(num: int, den: int):
     """Search runs of rows with the same unit; rows come sorted by it. A unit may span batches."""
 
-    def flush(rows: list[tuple[int, bytes, bool]]) -> list[tuple[int, int]]:
+    def flush(rows: list[tuple[int, bytes, int]]) -> list[tuple[int, int]]:
         names = [r[0] for r in rows]
-        asked = [i for i, r in enumerate(rows) if r[2]]
-        found = block_links([np.frombuffer(r[1], np.uint64) for r in rows], num, den, None if len(asked) == len(rows) else asked)
+        asked = [i for i, r in enumerate(rows) if r[2] == ASKS]
+        pivot = next((i for i, r in enumerate(rows) if r[2] == PIVOT), None)
+        found = block_links([np.frombuffer(r[1], np.uint64) for r in rows], num, den, None if len(asked) == len(rows) else asked, pivot)
         return [(names[a], names[b]) for a, b in found]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unit, rows = None, []
         for b in batches:
             links = []
-            for u, node, elements, ask in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+            for u, node, elements, role in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 if u != unit:
                     links += flush(rows) if len(rows) > 1 else []
                     unit, rows = u, []
-                rows.append((node, elements, ask))
+                rows.append((node, elements, role))
             yield _links(links)
         yield _links(flush(rows) if len(rows) > 1 else [])
 
@@ -460,37 +473,39 @@ def _links(links: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], ["a", "b"])
 
 
-def _searched(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """rows: unit, node, elements, ask. Links (a, b) of nodes."""
-    dealt = rows.select("unit", "node", "elements", "ask").repartition("unit").sortWithinPartitions("unit", "node")
+def _searched(rows: DataFrame, num: int, den: int, shingles_held: int) -> DataFrame:
+    """rows: unit, node, elements, role. Links (a, b) of nodes."""
+    dealt = rows.select("unit", "node", "elements", "role").repartition(1 + shingles_held // TASK_SHINGLES, "unit").sortWithinPartitions("unit", "node")
     return dealt.mapInArrow(_units(num, den), "a long, b long")
 
 
-def links_of(sets: DataFrame, blocks: DataFrame, num: int, den: int, unit_shingles: int = UNIT_SHINGLES) -> DataFrame:
+def links_of(sets: DataFrame, blocks: DataFrame, num: int, den: int, unit_shingles: int = UNIT_SHINGLES, unit_work: int = UNIT_WORK) -> DataFrame:
     """Links within blocks. sets: node, elements; blocks: node, root, n_shingles."""
-    size = blocks.groupBy("root").agg(F.sum("n_shingles").alias("weight"), F.min("node").alias("pivot"))
-    size = size.withColumn("cuts", F.ceil(F.col("weight") / unit_shingles).cast("int"))
-    own = F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int")
-    cut = F.when(F.col("node") == F.col("pivot"), F.sequence(F.lit(0), F.col("cuts") - 1)).otherwise(F.array(own))  # the pivot is in every unit
-    placed = written(blocks.join(size, "root").select("node", "root", "cuts", cut.alias("cut")), "placed")
-    units = sets.join(placed, "node").withColumn("cut", F.explode("cut")).select(F.xxhash64("root", "cut").alias("unit"), "node", "elements", F.lit(True).alias("ask"))
-    links = written(_searched(units, num, den), "links")
+    size = blocks.groupBy("root").agg(F.sum("n_shingles").alias("weight"), F.count("*").alias("n"), F.min("node").alias("pivot"))
+    size = size.withColumn("cuts", F.ceil(F.col("weight") / unit_shingles).cast("int")).withColumn("turns", F.ceil(F.col("n") / F.col("cuts") * F.col("weight") / F.col("cuts") / unit_work).cast("int"))
+    own, mine = F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int"), F.pmod(F.xxhash64("node", F.lit(2)), F.col("turns")).cast("int")
+    up_to = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    cut = F.when(F.col("node") == F.col("pivot"), up_to("cuts")).otherwise(F.array(own))  # the pivot is in every unit
+    placed = written(blocks.join(size, "root").select("node", "root", "cuts", "turns", "n_shingles", (F.col("node") == F.col("pivot")).alias("pivot"), cut.alias("cut")), "placed")
+    role = F.when(F.col("pivot") & (F.col("turns") > 1), PIVOT).when(F.col("turn") == mine, ASKS).otherwise(DATA)
+    units = sets.join(placed, "node").withColumn("cut", F.explode("cut")).withColumn("turn", F.explode(up_to("turns"))).select(F.xxhash64("root", "cut", "turn").alias("unit"), "node", "elements", role.alias("role"))
+    held = placed.agg(F.coalesce(F.sum(F.size("cut") * F.col("turns") * F.col("n_shingles")), F.lit(0))).first()[0]
+    links = written(_searched(units, num, den, held), "links")
     if placed.filter("cuts > 1").isEmpty():
         return links
     # Classes that the units could not join: all that is outside a block's largest class against all of the block.
-    named = placed.filter("cuts > 1").drop("cut").join(components(links, "a", "b").withColumnRenamed("root", "class"), "node", "left").withColumn("class", F.coalesce("class", "node"))
-    named = named.join(blocks.select("node", "n_shingles"), "node")
+    named = placed.filter("cuts > 1").drop("cut", "turns", "pivot").join(components(links, "a", "b").withColumnRenamed("root", "class"), "node", "left").withColumn("class", F.coalesce("class", "node"))
     counts = named.groupBy("root", "class").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles"))
     main = counts.groupBy("root").agg(F.max_by("class", F.struct("n", "class")).alias("main"))
     rest = counts.join(main, "root").filter("class <> main").groupBy("root").agg(F.sum("shingles").alias("rest"))
     named = named.join(main, "root").join(rest, "root").withColumn("asks", F.ceil(F.col("rest") / unit_shingles).cast("int"))
-    cuts, turns = F.sequence(F.lit(0), F.col("cuts") - 1), F.sequence(F.lit(0), F.col("asks") - 1)
     turn = F.pmod(F.xxhash64("node", F.lit(1)), F.col("asks")).cast("int")
-    data = named.select("node", "root", own.alias("cut"), F.explode(turns).alias("turn"), F.lit(False).alias("ask"))
-    asking = named.filter("class <> main").select("node", "root", F.explode(cuts).alias("cut"), turn.alias("turn"), F.lit(True).alias("ask"))
-    seats = data.unionByName(asking).groupBy("node", "root", "cut", "turn").agg(F.max("ask").alias("ask"))
-    again = sets.join(seats, "node").select(F.xxhash64("root", "cut", "turn").alias("unit"), "node", "elements", "ask")
-    return links.unionByName(written(_searched(again, num, den), "links"))
+    data = named.select("node", "root", own.alias("cut"), F.explode(up_to("asks")).alias("turn"), F.lit(DATA).alias("role"), "n_shingles")
+    asking = named.filter("class <> main").select("node", "root", F.explode(up_to("cuts")).alias("cut"), turn.alias("turn"), F.lit(ASKS).alias("role"), "n_shingles")
+    seats = written(data.unionByName(asking).groupBy("node", "root", "cut", "turn").agg(F.max("role").alias("role"), F.first("n_shingles").alias("n_shingles")), "seats")
+    held = seats.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
+    again = sets.join(seats, "node").select(F.xxhash64("root", "cut", "turn").alias("unit"), "node", "elements", "role")
+    return links.unionByName(written(_searched(again, num, den, held), "links"))
 
 
 def _solved(docs: DataFrame, k: int, num: int, den: int, unit_shingles: int, chunk: int) -> tuple[DataFrame, DataFrame]:
