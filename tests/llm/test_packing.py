@@ -24,7 +24,19 @@ def test_ids_equal_the_tokenizers_library(spark, odd_documents):
     t = Tokenizer.from_file(PATH)
     texts = [r.text or "" for r in odd_documents.collect()] + ["a  b\t\n\n c's 'll ﬁ ①²  \r\n x" * 3, " " * 40, "ß" * 900, "1234567890" * 30]
     for text in texts:
-        assert P.encoder(PATH).encode(text, allowed_special="all") == t.encode(text, add_special_tokens=False).ids
+        assert P.encoder(PATH).encode(text, allowed_special="all") == P.ids_of(text, PATH) == t.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("text", [" " * 2_000_000, "\n" * 2_000_000, "a" * 2_000_000, "." * 2_000_000, " \n\t" * 700_000 + "end"])
+def test_long_runs_are_tokenized_whole(text):
+    from tokenizers import Tokenizer
+
+    assert P.ids_of(text, PATH) == Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids
+
+
+def test_long_runs_are_packed(spark):
+    out = P.pack_documents(spark.createDataFrame([(1, " " * 1_000_000), (2, "x")], "doc_id long, text string"), PATH).collect()
+    assert sum(r.length for r in out if r.doc_id == 1) == len(P.ids_of(" " * 1_000_000, PATH)) + 1
 
 
 def best_fit(lengths, capacity):

@@ -11,7 +11,7 @@ The driver sees histograms only: numbers of pieces and of sequences by length or
 a plan over ranks, whose size depends on the number of lengths and groups, not of pieces; ranks are counted in parallel.
 
 A null or empty text is its end token alone. Equal rows are packed as separate pieces. Extra columns are ignored; an empty
-table gives no rows. Texts of any length are tokenized whole.
+table gives no rows. Texts of any length are tokenized whole, each within one task. Ties of length go by id, piece and checksum.
 """
 
 from __future__ import annotations
@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from tidepool.llm.common import small_batches, written
 
 CAPACITY, END_TOKEN, GROUPS, SMALL = 1024, 2, 96, 200
-#: Parts in which the pieces of one length are ranked.
-RANK_PARTS = 64
+#: Pieces of one length that one task ranks.
+RANK_ROWS = 50_000
 
 
 @lru_cache(maxsize=2)
@@ -48,6 +48,21 @@ def encoder(path: str):
     return tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
+@lru_cache(maxsize=2)
+def whole_encoder(path: str):
+    """The tokenizers library itself, for texts whose runs of white space are too long for the other one's patterns."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
+def ids_of(text: str, path: str) -> list[int]:
+    try:
+        return encoder(path).encode(text, allowed_special="all")
+    except ValueError:
+        return whole_encoder(path).encode(text, add_special_tokens=False).ids
+
+
 #: Fixed value: the words that byte-level BPE of this vocabulary is confined to.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -69,11 +84,10 @@ def tokenized(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = E
     names, types = ["doc_id", "piece", "start", "length", "ids_crc32"], [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(path)
         for b in batches:
             rows = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = np.append(np.array(e.encode(text or "", allowed_special="all"), "<u4"), np.uint32(end)).astype("<u4")
+                ids = np.append(np.array(ids_of(text or "", path), "<u4"), np.uint32(end)).astype("<u4")
                 rows += [(doc, i, s, n, zlib.crc32(ids[s : s + n].tobytes())) for i, (s, n) in enumerate(cuts(len(ids), capacity))]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names)
 
@@ -234,14 +248,15 @@ def small_plan(counts: dict[int, int], rooms: dict[int, int], capacity: int = CA
 # --- carrying it out ---
 
 
-def ranked(df: DataFrame, kind: str, order: list[str], parts: int = RANK_PARTS) -> DataFrame:
-    """df with `rank`, gapless from 0 within each value of `kind`. Ranks are counted within parts, then shifted: no value is one task."""
-    df = df.withColumn("part", F.pmod(F.xxhash64(*order), F.lit(parts)).cast("int"))
+def ranked(df: DataFrame, kind: str, order: list[str], most: int) -> DataFrame:
+    """df with `rank`, gapless from 0 within each value of `kind`, of which no value has more than `most` rows. Ranks are counted
+    within parts of about RANK_ROWS rows, then shifted: no value is one task."""
+    df = df.withColumn("part", F.pmod(F.xxhash64(*order), F.lit(1 + most // RANK_ROWS)).cast("int"))
     counts = df.groupBy(kind, "part").count()
     shift = counts.withColumn("shift", F.coalesce(F.sum("count").over(Window.partitionBy(kind).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select(kind, "part", "shift")
     within = Window.partitionBy(kind, "part").orderBy(*[F.col(c).asc_nulls_first() for c in order])
-    # At most (capacity + 1) * parts rows of shifts: a bounded broadcast.
-    return df.withColumn("rank", F.row_number().over(within) - 1).join(F.broadcast(shift), [kind, "part"]).withColumn("rank", (F.col("rank") + F.col("shift")).cast("long")).drop("part", "shift")
+    # The rows are dealt by (kind, part) for the window already, so the join moves the shifts only.
+    return df.withColumn("rank", F.row_number().over(within) - 1).join(shift, [kind, "part"]).withColumn("rank", (F.col("rank") + F.col("shift")).cast("long")).drop("part", "shift")
 
 
 def packed(pieces: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS, small: int = SMALL) -> DataFrame:
@@ -250,15 +265,16 @@ def packed(pieces: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS, sm
     order = ["doc_id", "piece", "start", "ids_crc32"]
     counts = {n: c for n, c in pieces.groupBy("length").count().collect()}
     rows, sequences = large_plan({n: c for n, c in counts.items() if n >= small}, capacity, groups)
-    all_ranked = written(ranked(pieces, "length", order), "ranked")
+    all_ranked = written(ranked(pieces, "length", order, max(counts.values(), default=0)), "ranked")
     plan = spark.createDataFrame(rows, "length long, low long, high long, first long, each long")
+    # The plans have a few rows for each length, group and pattern, however many pieces there are: bounded broadcasts.
     mine = (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high"))
     large = all_ranked.filter(F.col("length") >= small).join(F.broadcast(plan), "length").filter(mine)
     large = large.withColumn("sequence_id", F.col("first") + F.expr("(rank - low) div each")).drop("low", "high", "first", "each", "rank")
     fill = large.groupBy("sequence_id").agg((F.lit(capacity) - F.sum("length")).alias("room")).filter("room > 0")
     little = {n: c for n, c in counts.items() if n < small}
     if little:
-        seats = written(ranked(fill, "room", ["sequence_id"]), "seats")
+        seats = written(ranked(fill, "room", ["sequence_id"], sequences), "seats")
         rooms = {r: c for r, c in seats.groupBy("room").count().collect()}
         more, _ = small_plan(little, rooms, capacity)
         places = spark.createDataFrame(more, "length long, low long, high long, room long, seat long")
