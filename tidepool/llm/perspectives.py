@@ -10,22 +10,27 @@ Only DataFrame functions are used; turns meet speakers in an equi-join that adap
 
 A null conversation id is a conversation of its own, a null speaker is the user "unknown", a null text is empty, and turns
 without a number come first. Turns of one number are ordered by speaker, then text; repeated rows are repeated turns. Marks of
-the format inside texts are defused by a space after "<|". Extra columns are ignored; an empty table gives no rows.
+the format inside texts and speakers' names are defused by a space after "<|", line ends in names by a space; participants are told
+apart by their names as they are. A text of any length stays whole, within one part. Turns without a number, and those of one
+number beyond PART_TURNS, are ordered within one task for each conversation and block. Extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PART_TURNS = 512
 SYSTEM, UNKNOWN = "system", "unknown"
 
 
+def _safe(text: Column) -> Column:
+    return F.replace(F.replace(text, F.lit("<|im_start|>"), F.lit("<| im_start|>")), F.lit("<|im_end|>"), F.lit("<| im_end|>"))
+
+
 def turns_of(conversations: DataFrame) -> DataFrame:
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    safe = F.replace(F.replace(text, F.lit("<|im_start|>"), F.lit("<| im_start|>")), F.lit("<|im_end|>"), F.lit("<| im_end|>"))
-    return conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit(UNKNOWN)).alias("speaker"), safe.alias("said"))
+    said = _safe(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    return conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit(UNKNOWN)).alias("speaker"), said.alias("said"))
 
 
 def rotated(conversations: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
@@ -40,7 +45,7 @@ def rotated(conversations: DataFrame, part_turns: int = PART_TURNS) -> DataFrame
     speakers = turns.filter(F.col("speaker") != SYSTEM).select(F.col("conv_id").alias("of"), F.col("speaker").alias("perspective")).distinct()
     seen = ranked.join(speakers, F.col("conv_id").eqNullSafe(F.col("of"))).drop("of")
     own = F.col("speaker") == F.col("perspective")
-    head = F.when(F.col("speaker") == SYSTEM, F.lit("system")).when(own, F.lit("assistant")).otherwise(F.concat(F.lit("user name="), "speaker"))
+    head = F.when(F.col("speaker") == SYSTEM, F.lit("system")).when(own, F.lit("assistant")).otherwise(F.concat(F.lit("user name="), _safe(F.translate("speaker", "\r\n", "  "))))
     opened = F.concat(F.lit("<|im_start|>"), head, F.lit("\n"))
     entry = F.struct("rank", opened.alias("opened"), F.concat("said", F.lit("<|im_end|>")).alias("body"), own.alias("own"))
     parts = seen.groupBy("conv_id", "perspective", "block", "part").agg(F.sort_array(F.collect_list(entry)).alias("turns"))  # part_turns entries at most

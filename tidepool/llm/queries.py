@@ -103,7 +103,7 @@ ORACLES["op9_perspective_rotation"] = """
     r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, block ORDER BY turn NULLS FIRST, speaker, said) - 1 AS rank FROM t),
     s AS (SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker <> 'system'),
     x AS (SELECT r.conv_id, perspective, block, CAST(rank // 512 AS INTEGER) AS part, rank, speaker = perspective AS own,
-                 '<|im_start|>' || CASE WHEN speaker = 'system' THEN 'system' WHEN speaker = perspective THEN 'assistant' ELSE 'user name=' || speaker END || chr(10) AS opened,
+                 '<|im_start|>' || CASE WHEN speaker = 'system' THEN 'system' WHEN speaker = perspective THEN 'assistant' ELSE 'user name=' || replace(replace(translate(speaker, chr(13) || chr(10), '  '), '<|im_start|>', '<| im_start|>'), '<|im_end|>', '<| im_end|>') END || chr(10) AS opened,
                  said || '<|im_end|>' AS body
           FROM r JOIN s ON r.conv_id IS NOT DISTINCT FROM s.conv_id),
     y AS (SELECT *, sum(length(opened) + length(body) + 1) OVER (PARTITION BY conv_id, perspective, block, part ORDER BY rank) AS stop FROM x)
