@@ -1,18 +1,19 @@
 """Quality classifier: a linear SVM over n-gram indicators scaled by naive-Bayes log-count ratios (Wang and Manning 2012).
 
-Features are n-grams that a text has at least once: word unigrams, uni-, bi- and trigrams of word shapes (letters, capitals and
-digits as classes, runs as one), so that words never seen before still say something, and bi- and trigrams of one word
-repeated. They are hashed into BUCKETS. Each
+Features are n-grams that a text has at least once: word uni- and bigrams, uni-, bi- and trigrams of word shapes (letters, capitals
+and digits as classes, runs as one), so that words never seen before still say something, and two that stand for any word twice or
+three times in a row. They are hashed into BUCKETS; those that no training text has weigh nothing. Each
 indicator is scaled by r = log((p / |p|) / (q / |q|)) of its smoothed counts in the two classes; a hinge-loss model is fitted to
 these by dual coordinate descent (Hsieh et al. 2008), interpolated with its mean weight, and its margin is turned into a
 probability by a logistic curve fitted to rows kept out of the descent.
 
-It is fitted on at most SAMPLE_ROWS labelled rows (those with the smallest hash of their id; a documented bound) on the driver;
-every text is scored whole. Labels, languages, sources and ids are no inputs of a score.
+It is fitted on labelled rows on the driver: those with the smallest hash of their id, at most SAMPLE_ROWS of them and no more than
+have SAMPLE_FEATURES features together (documented bounds; 4 bytes a feature). Every text is scored whole, one at a time. Labels, languages, sources and ids are no inputs of a score.
 
 Null and empty texts have no features; their score is that of the bias. Rows with null labels are not learned from; a repeated
 id is learned from each time. With one class only, every score is 1 or 0 accordingly; without labelled rows it is 0.5. Extra
-columns are ignored; an empty table gives no rows.
+columns are ignored, also where their names are those of the result; an empty table gives no rows. Ids that are no numbers are
+null. A score of exactly the threshold is predicted 1; rows whose hashes tie are taken by id and label.
 """
 
 from __future__ import annotations
@@ -26,13 +27,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepool.llm.common import WordHashes, mix64, small_batches
+from tidepool.llm.common import WordHashes, mix64, small_batches, written
 
-BUCKETS = 1 << 18
-SAMPLE_ROWS = 6000
+BUCKETS = 1 << 20
+SAMPLE_ROWS, SAMPLE_FEATURES = 6000, 40_000_000
 THRESHOLD = 0.3
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _SHAPE = bytes(ord("A") if 65 <= b <= 90 else ord("9") if 48 <= b <= 57 else ord("a") if 97 <= b <= 122 or b >= 128 else b for b in range(256))
@@ -65,7 +66,7 @@ class Features:
         three = two[:-1] * _STEP + s[2:]
         same = w[1:] == w[:-1]
         again = np.array([101] * bool(same.any()) + [102] * bool((same[1:] & same[:-1]).any()), np.uint64)
-        grams = np.concatenate([w, again, np.unique(s) + np.uint64(1), np.unique(two) + np.uint64(2), np.unique(three) + np.uint64(3)])
+        grams = np.concatenate([w, w[:-1] * _STEP + w[1:] + np.uint64(5), again, np.unique(s) + np.uint64(1), np.unique(two) + np.uint64(2), np.unique(three) + np.uint64(3)])
         return np.unique((mix64(grams) % np.uint64(BUCKETS)).astype(np.int64))
 
 
@@ -148,6 +149,10 @@ def fit(rows: list[np.ndarray], labels: list[int], mixing: float = 0.5) -> Model
     w, bias = dual_descent(some, y[used], r)
     w = mixing * w + (1 - mixing) * np.abs(w).mean()
     weights = w * r
+    seen = np.zeros(BUCKETS, bool)
+    for f in some:
+        seen[f] = True
+    weights[~seen] = 0
     margins = np.array([weights[f].sum() + bias for f, k in zip(rows, kept, strict=True) if k])
     return Model(weights.astype(np.float32), bias, *calibrated(margins, y[kept]))
 
@@ -156,7 +161,7 @@ def held_out(doc_id: int | None) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 5 == 0
 
 
-def learned(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_rows: int = SAMPLE_ROWS) -> Model:
+def learned(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_rows: int = SAMPLE_ROWS, sample_features: int = SAMPLE_FEATURES) -> Model:
     """Fit on labelled rows whose id is not held out."""
     small_batches(docs.sparkSession)
     chosen = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).dropna()
@@ -167,9 +172,16 @@ def learned(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_r
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([features(t).astype(np.int32).tobytes() for t in b.column(2).to_pylist()], pa.binary())], ["doc_id", "label", "features"])
 
-    # At most sample_rows rows of 12 bytes: a bounded broadcast; what comes back is bounded by sample_rows rows of BUCKETS numbers at most.
+    # At most sample_rows rows of 12 bytes: a bounded broadcast.
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
-    found = sorted(map(tuple, rows.mapInArrow(run, "doc_id long, label int, features binary").collect()), key=lambda x: (zlib.crc32(str(x[0]).encode()), x[0], x[1], x[2]))
+    held = written(rows.mapInArrow(run, "doc_id long, label int, features binary"), "features")
+    size = held.select("doc_id", "label", F.xxhash64("features").alias("digest"), (F.octet_length("features") / 4).alias("n"))  # of at most sample_rows ids
+    fits = size.withColumn("sum", F.sum("n").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id", "label", "digest"))).agg(F.max(F.when(F.col("sum") <= sample_features, F.struct(F.xxhash64("doc_id").alias("h"), "doc_id"))).alias("last")).first()["last"]
+    if fits is None:
+        return fit([], [])
+    last = F.struct(F.lit(fits["h"]).alias("h"), F.lit(fits["doc_id"]).alias("doc_id"))
+    held = held.filter(F.struct(F.xxhash64("doc_id").alias("h"), "doc_id") <= last)  # no more than sample_features features come back, but for repeated ids
+    found = sorted(map(tuple, held.collect()), key=lambda x: (zlib.crc32(str(x[0]).encode()), x[0], x[1], x[2]))
     return fit([np.frombuffer(f, np.int32).astype(np.int64) for _, _, f in found], [y for _, y, _ in found])
 
 
