@@ -5,6 +5,9 @@ Lengths and positions count code points, as Spark does. A null argument gives nu
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -65,10 +68,22 @@ def feature_buckets(c: Column, n_features: int = 1 << 15) -> Column:
 
 
 def unescape(c: Column) -> Column:
-    """The entities that titles carry; & last, so that what it frees is not read again."""
-    for entity, plain in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        c = F.replace(c, F.lit(entity), F.lit(plain))
-    return c
+    """Character references resolved, each once: named ones of HTML 5 (with or without the semicolon, where that is a name too),
+    decimal and hexadecimal ones. Numbers that are no character become U+FFFD; 128 to 159 are read as windows-1252."""
+    named = F.from_json(F.lit(json.dumps(html5)), "map<string,string>")
+    old = F.from_json(F.lit(json.dumps({str(i): bytes([i]).decode("cp1252", "replace") for i in range(128, 160)})), "map<string,string>")
+
+    def resolved(x: Column) -> Column:
+        digits = F.regexp_extract(x, "^&#(?:[xX]([0-9a-fA-F]+)|([0-9]+))", 1)
+        number = F.when(digits != "", F.conv(digits, 16, 10)).otherwise(F.regexp_extract(x, "^&#([0-9]+)", 1)).try_cast("long")
+        bad = number.isNull() | (number == 0) | (number > 0x10FFFF) | number.between(0xD800, 0xDFFF)
+        point = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+        letter = F.when(bad, "\ufffd").otherwise(F.coalesce(F.try_element_at(old, number.cast("string")), point))
+        name = F.try_element_at(named, F.substring(x, 2, 64))
+        return F.when(~x.startswith("&"), x).when(x.rlike("^&#(?:[xX][0-9a-fA-F]|[0-9])"), letter).otherwise(F.coalesce(name, x))
+
+    parts = F.regexp_extract_all(c, F.lit("&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);?|[^&]+|&"), F.lit(0))
+    return F.when(F.contains(c, F.lit("&")), F.array_join(F.transform(parts, resolved), "")).otherwise(c)
 
 
 def clean_title(c: Column) -> Column:
@@ -146,13 +161,21 @@ def found(c: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(pattern), F.lit(group))
 
 
-EMAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"
+#: An address: a local part, and labels joined by dots, the last of letters.
+EMAIL = r"[\w.+%-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}"
 
 
 def emails(c: Column, most: int = 6) -> Column:
     return F.slice(F.array_sort(F.array_distinct(found(c, EMAIL))), 1, most)
 
 
+def contacts(c: Column, phone: str, organiser_labels: list[str], organiser: str, number_labels: list[str], number: str, most: int = 4) -> Column:
+    """struct<emails, phones, numbers, organisers>: addresses sorted, all else in order, each once; patterns and labels are yours."""
+    once = lambda x: F.slice(F.array_distinct(F.transform(x, lambda v: F.trim(v))), 1, most)
+    label = lambda labels, value: found(c, f"(?:{'|'.join(labels)})[：:]\\s*({value})", 1)
+    return F.struct(emails(c).alias("emails"), once(found(c, phone)).alias("phones"), once(label(number_labels, number)).alias("numbers"), once(label(organiser_labels, organiser)).alias("organisers"))
+
+
 def labelled(c: Column, labels: list[str], value: str, most: int = 4) -> Column:
     """Trimmed values after a label and a colon, in order."""
     return F.slice(F.transform(found(c, f"(?:{'|'.join(labels)})[：:]\\s*({value})", 1), lambda x: F.trim(x)), 1, most)
@@ -181,8 +204,12 @@ def is_internal(c: Column, hosts: list[str]) -> Column:
     return ((url_host(c) == "") | url_host(c).isin(*hosts)) & post_number(c).isNotNull()
 
 
-def is_asset(c: Column, kinds: str = "pdf|docx?|xlsx?|pptx?|zip|rar|7z") -> Column:
-    return url_path(c).rlike(f"(?i)\\.({kinds})$")
+#: Kinds of files that count as assets.
+ASSET_KINDS = ("pdf", "doc", "docx", "xls", "xlsx", "ppt", "pptx", "zip", "rar", "7z")
+
+
+def is_asset(c: Column, kinds: tuple[str, ...] = ASSET_KINDS) -> Column:
+    return url_path(c).rlike(f"(?i)\\.({'|'.join(kinds)})$")
 
 
 def file_name(c: Column) -> Column:
@@ -196,11 +223,26 @@ def slug(c: Column) -> Column:
 
 
 def absolute(base: Column, href: Column) -> Column:
-    """href against base, for absolute, scheme-relative, rooted and plain relative references."""
-    root = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*:)//[^/?#]*", 0)
+    """href against base (RFC 3986, section 5.2): absolute, scheme-relative, rooted, relative, query and fragment references; "." and
+    ".." segments are resolved, empty ones within a merged path dropped."""
+    pattern = r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(\?[^#]*)?(#.*)?$"
+    part = lambda c, g: F.regexp_extract(c, pattern, g)
+    path, folder = part(href, 3), F.regexp_extract(part(base, 3), "^(.*/)", 1)
+    rooted = path.startswith("/")
+    segments = F.split(F.when(rooted, F.substring(path, 2, 1 << 20)).otherwise(F.concat(F.regexp_replace(folder, "^/", ""), path)), "/", -1)
+    last = F.element_at(segments, -1)
+    inner = F.slice(segments, F.lit(1), F.size(segments) - 1)
+    inner = F.when(rooted, inner).otherwise(F.filter(inner, lambda x: x != ""))
+    none = F.array().cast("array<string>")
+    up = lambda a, x: F.when(x == "..", F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0)))).when(x == ".", a).otherwise(F.concat(a, F.array(x)))
+    kept = F.aggregate(F.concat(inner, F.array(last)), none, up)
+    kept = F.when(last.isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+    merged = F.concat(F.lit("/"), F.array_join(kept, "/"))
+    root = F.concat(F.regexp_extract(base, r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?", 0), F.regexp_extract(base, r"^[A-Za-z][A-Za-z0-9+.\-]*:(//[^/?#]*)", 1))
+    whole_base = F.regexp_extract(base, "^[^#]*", 0)
+    same = F.when(part(href, 4) != "", F.concat(root, part(base, 3), part(href, 4), part(href, 5))).when(part(href, 5) != "", F.concat(whole_base, part(href, 5))).otherwise(base)
     scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*:)", 1)
-    folder = F.regexp_extract(F.regexp_extract(base, r"^[^?#]*", 0), r"^(.*/)", 1)
-    return F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), href).when(href.startswith("//"), F.concat(scheme, href)).when(href.startswith("/"), F.concat(root, href)).otherwise(F.concat(folder, href))
+    return F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), href).when(href.startswith("//"), F.concat(scheme, href)).when(path == "", same).otherwise(F.concat(root, merged, part(href, 4), part(href, 5)))
 
 
 def video_number(c: Column) -> Column:

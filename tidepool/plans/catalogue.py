@@ -895,7 +895,7 @@ def clean_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return titled_pages(spark, sf_dir).select("page_id", T.clean_title(F.col("title")).alias("title"), T.slug(F.col("title")).alias("slug"))
 
 
-@query("contacts", "SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '[A-Za-z0-9._%+\\-]+@[A-Za-z0-9.\\-]+\\.[A-Za-z]{2,}')))[:6], ',') AS emails FROM documents WHERE regexp_matches(text, '[A-Za-z0-9._%+\\-]+@[A-Za-z0-9.\\-]+\\.[A-Za-z]{2,}')")
+@query("contacts", "SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '[\\w.+%-]+@(?:[A-Za-z0-9-]+\\.)+[A-Za-z]{2,}')))[:6], ',') AS emails FROM documents WHERE regexp_matches(text, '[\\w.+%-]+@(?:[A-Za-z0-9-]+\\.)+[A-Za-z]{2,}')")
 def contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.emails(F.col("text")).alias("e")).filter(F.size("e") > 0).select("doc_id", F.array_join("e", ",").alias("emails"))
 
