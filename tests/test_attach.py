@@ -52,8 +52,10 @@ def test_paged_lists(spark):
 
 
 def test_small_aggregates(spark):
-    s = spark.createDataFrame([(1, [3.0, 1.0, 2.0, 9.0]), (2, [])], "k int, v array<double>")
-    assert [r[0] for r in s.select(A.nearest_rank(F.col("v"), 50)).collect()] == [3.0, None]
+    s = spark.createDataFrame([(1, 3.0), (1, 1.0), (1, 2.0), (1, 9.0), (2, None), (3, 5.0), (3, 5.0)], "k int, v double")
+    assert {r.k: r.value for r in A.nearest_ranks(s, ["k"], "v", 50).collect()} == {1: 3.0, 3: 5.0}
+    pairs = A.letter_pairs(spark.createDataFrame([("g", "v", "aaB a"), ("g", "v", "ba"), ("g", "w", None), ("g", "w", "z")], "grp string, video string, text string"))
+    assert sorted((r.gram, r.n) for r in pairs.collect()) == [("aa", 2), ("ba", 1)]
     cards = spark.createDataFrame([("v", 1, "c", 0, 0), ("w", 1, "c", 2, 4)], "video string, grp int, code string, hits long, n long")
     groups = spark.createDataFrame([(1, "c", 0.25)], "grp int, code string, rate double")
     assert {r.video: r.lift for r in A.card_lifts(cards, groups).collect()} == {"v": None, "w": 2.0}

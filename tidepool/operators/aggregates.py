@@ -5,6 +5,10 @@ A coded table has a row a comment: video, grp, codes array<string>, dims array<s
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -146,6 +150,34 @@ def video_cards(coded: DataFrame, dims: DataFrame, k: int = 3) -> DataFrame:
     return joined.withColumn("dominant", F.coalesce("dominant", F.lit(""))).withColumn("top_symbols", F.coalesce("top_symbols", F.array().cast("array<string>")))
 
 
+def letter_pairs(rows: DataFrame) -> DataFrame:
+    """(grp, video, gram, n): how often one letter a-z follows another, all else left out. rows: grp, video, text.
+
+    A task keeps 676 counts a video, so what is shuffled depends on the videos and not on the length of the texts.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, np.ndarray] = {}
+
+        def flush() -> pa.RecordBatch:
+            rows = [(g, v, chr(97 + i // 26) + chr(97 + i % 26), int(c[i])) for (g, v), c in held.items() for i in np.flatnonzero(c)]
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.string(), pa.int64()))], ["grp", "video", "gram", "n"])
+
+        for b in batches:
+            for g, v, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                x = np.frombuffer(text, np.uint8)
+                x = x[(x >= 97) & (x <= 122)].astype(np.int64) - 97
+                if len(x) > 1:
+                    held[g, v] = held.get((g, v), 0) + np.bincount(x[:-1] * 26 + x[1:], minlength=676)
+            if len(held) > 2000:
+                yield flush()
+        yield flush()
+
+    each = rows.filter("text is not null").select(F.col("grp").cast("string"), F.col("video").cast("string"), F.col("text").cast("binary")).mapInArrow(run, "grp string, video string, gram string, n long")
+    return each.groupBy("grp", "video", "gram").agg(F.sum("n").alias("n"))
+
+
 def distinct_grams(grams: DataFrame, stop: str, least: int = 12, videos: int = 8, top_share: float = 0.5, z_least: float = 2.0, most: int = 6, total_least: int = 30) -> DataFrame:
     """(grp, gram, z, n, videos, top_share): grams that a group uses more than all others, by a two-proportion z.
 
@@ -172,10 +204,23 @@ def informative_grams(counts: DataFrame, dull: str, among: int = 80, most: int =
     return top.filter(~F.col("gram").rlike(f"^[{dull}]*$")).orderBy(F.desc("n"), "gram").limit(most)
 
 
-def nearest_rank(values: Column, p: float) -> Column:
-    """The nearest-rank percentile of an array: place round-half-even(p / 100 * (n - 1)); null of none."""
-    ordered = F.array_sort(values)
-    return F.get(ordered, F.bround(F.lit(p / 100) * (F.size(ordered) - 1)).cast("int"))
+def nearest_ranks(rows: DataFrame, keys: list[str], value: str, p: float) -> DataFrame:
+    """(keys, value): percentile by nearest rank, round-half-even of p (n - 1), of the values that are not null.
+
+    Values are counted first, so a pool's task sorts its distinct values only.
+    """
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("value")).agg(F.count("*").alias("n"))
+    w = Window.partitionBy(*keys)
+    upto = counts.withColumn("_upto", F.sum("n").over(w.orderBy("value"))).withColumn("_rank", F.bround(F.lit(p / 100) * (F.sum("n").over(w) - 1)))
+    return upto.filter(F.col("_upto") > F.col("_rank")).groupBy(*keys).agg(F.min("value").alias("value"))
+
+
+def dimension_support(coded: DataFrame, dims: DataFrame) -> DataFrame:
+    """(dim, n, videos): comments of each dimension, and the videos where it is the dominant one; 0 where none. dims: dim, ord."""
+    counts = counts_by(coded, "dims", "dim", keys=["video"]).join(F.broadcast(dims), "dim")
+    n = counts.groupBy("dim").agg(F.sum("n").alias("n"))
+    videos = dominant(counts, ["video"]).groupBy("dim").agg(F.count("*").alias("videos"))
+    return dims.select("dim").join(n, "dim", "left").join(videos, "dim", "left").fillna(0, ["n", "videos"])
 
 
 def pool_quality(rows: DataFrame, keys: list[str]) -> DataFrame:

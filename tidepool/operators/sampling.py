@@ -33,6 +33,8 @@ def reservoir(df: DataFrame, text: str, keys: list[str], order: list[str], cap:
 def margin_book(scores: DataFrame, keys: list[str], n: int, text: str = "text", distance: str = "distance") -> DataFrame:
     """The n texts nearest to a threshold, each with its least distance; ties by text."""
     least = scores.groupBy(*keys, text).agg(F.min(distance).alias(distance))
+    if not keys:
+        least = least.orderBy(distance, text).limit(n)  # n rows are numbered in one task, not all
     w = Window.partitionBy(*keys).orderBy(distance, text) if keys else Window.orderBy(distance, text)
     return least.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= n)
 

@@ -145,10 +145,10 @@ def dense_windows(rows: DataFrame, keys: list[str], percent: str = "percent", bi
 
 def send_depth(rows: DataFrame, keys: list[str], stamp: str = "ctime") -> DataFrame:
     """rows with `depth` in [0, 1]: logarithm of the hours since the pool's first row, up to the 99th percentile by nearest rank; 0.5 where unknown."""
-    from tidepool.operators.aggregates import nearest_rank
+    from tidepool.operators.aggregates import nearest_ranks
 
     hours = rows.join(rows.groupBy(*keys).agg(F.min(stamp).alias("_first")), keys, "left").withColumn("_h", (F.col(stamp) - F.col("_first")) / 3600)
-    cap = hours.groupBy(*keys).agg(nearest_rank(F.collect_list("_h"), 99).alias("_cap"))
+    cap = nearest_ranks(hours, keys, "_h", 99).withColumnRenamed("value", "_cap")
     depth = F.least(F.greatest(F.log1p("_h") / F.log1p("_cap"), F.lit(0.0)), F.lit(1.0))
     return hours.join(cap, keys, "left").withColumn("depth", F.when(F.col("_cap") > 0, F.coalesce(depth, F.lit(0.5))).otherwise(0.5)).drop("_first", "_h", "_cap")
 
@@ -164,5 +164,7 @@ def triangular(series: DataFrame, keys: list[str], place: str, value: str, radiu
 
 def top_k(rows: DataFrame, keys: list[str], order: list, k: int) -> DataFrame:
     """The first k rows of each key, with their `place`; order must break all ties."""
+    if not keys:
+        rows = rows.orderBy(*order).limit(k)  # k rows are numbered in one task, not all
     w = Window.partitionBy(*keys).orderBy(*order) if keys else Window.orderBy(*order)
     return rows.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)

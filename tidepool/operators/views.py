@@ -77,8 +77,10 @@ def html_report(path: str, title: str, tables: dict[str, DataFrame], most: int =
     for name, df in tables.items():
         if bad := {"content", "norm"} & set(df.columns):
             raise ValueError(f"a report must not hold raw text: {sorted(bad)}")
-        rows = df.limit(most).collect()
+        rows = df.limit(most + 1).collect()
+        more = f"<p>only the first {most} rows are shown" if len(rows) > most else ""
+        rows = rows[:most]
         head = "".join(f"<th>{html.escape(c)}" for c in df.columns)
         body = "".join("<tr>" + "".join(f"<td>{html.escape(str(x))}" for x in r) for r in rows)
-        parts.append(f"<h2>{html.escape(name)}</h2><table><tr>{head}{body}</table>")
+        parts.append(f"<h2>{html.escape(name)}</h2><table><tr>{head}{body}</table>{more}")
     Path(path).write_text("\n".join(parts), encoding="utf-8")

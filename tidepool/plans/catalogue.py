@@ -429,7 +429,7 @@ def pool_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("nearest_rank", f"WITH {_EVENTS}, o AS (SELECT video, list(value ORDER BY value) AS v FROM ev GROUP BY video) SELECT video, round(v[1 + CAST(round_even(0.9 * (len(v) - 1), 0) AS BIGINT)], 6) AS p90 FROM o")
 def nearest_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events(spark, sf_dir).groupBy("video").agg(F.round(A.nearest_rank(F.collect_list("value"), 90), 6).alias("p90"))
+    return A.nearest_ranks(events(spark, sf_dir), ["video"], "value", 90).select("video", F.round("value", 6).alias("p90"))
 
 
 @query("value_ranges", f"WITH {_EVENTS} SELECT code, round(min(value), 6) AS least, round(median(value), 6) AS middle, round(max(value), 6) AS greatest FROM ev GROUP BY code")
@@ -743,7 +743,7 @@ _KNN = """WITH u AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x A
 
 
 def _knn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.dense_neighbours(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 0.3, cells=16).select("a", "b")
+    return C.dense_neighbours(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 0.3).select("a", "b")
 
 
 @query("knn_edges", f"{_KNN} SELECT * FROM edges")
@@ -1006,11 +1006,7 @@ def distinct_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _pairs_of_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").filter("text is not null")
-    letters = F.regexp_replace("text", "[^a-z]", "")
-    # A pair at each place but the last, by splitting between characters: linear in the text.
-    pairs = F.arrays_zip(F.slice(F.split(letters, ""), F.lit(1), F.greatest(F.length(letters) - 1, F.lit(0))).alias("x"), F.slice(F.split(letters, ""), F.lit(2), F.greatest(F.length(letters) - 1, F.lit(0))).alias("y"))
-    each = d.select(F.col("lang").alias("grp"), F.col("source").alias("video"), F.explode(pairs).alias("p"))
-    return each.groupBy("grp", "video", F.concat("p.x", "p.y").alias("gram")).agg(F.count("*").alias("n"))
+    return A.letter_pairs(d.select(F.col("lang").alias("grp"), F.col("source").alias("video"), "text"))
 
 
 @query("informative_grams", "WITH b AS (SELECT substr(text, CAST(i AS BIGINT), 2) AS gram FROM (SELECT regexp_replace(text, '[^a-z]', '', 'g') AS text FROM documents WHERE text IS NOT NULL), range(1, (SELECT max(length(text)) FROM documents)) r(i) WHERE i < length(text)), t AS (SELECT gram, count(*) AS n FROM b GROUP BY gram ORDER BY n DESC, gram LIMIT 80) SELECT * FROM t WHERE NOT regexp_matches(gram, '^[aeiou]*$') ORDER BY n DESC, gram LIMIT 20")

@@ -57,6 +57,11 @@ def corpus_index(listed: DataFrame | None, files: DataFrame) -> tuple[DataFrame,
 
 
 def read_archive(spark: SparkSession, path: str, limit_videos: int | None = None, skip_bad: bool = False) -> DataFrame:
+    """unzipped() of the files at a path."""
+    return unzipped(spark.read.format("binaryFile").load(path), limit_videos, skip_bad)
+
+
+def unzipped(files: DataFrame, limit_videos: int | None = None, skip_bad: bool = False) -> DataFrame:
     """Comments of zip archives of <folder>/<video>.meta.json and <folder>/<video>.jsonl.gz members.
 
     (pool, bvid, title, parts, ord, value, broken): a row a line; broken lines come marked where skip_bad, else they raise.
@@ -90,7 +95,7 @@ def read_archive(spark: SparkSession, path: str, limit_videos: int | None = None
                         found = [(pool, stem.rsplit("/", 1)[-1], meta.get("title") or "", shape, i, x, bad) for i, (x, bad) in enumerate(rows)]
                         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], t) for k, t in enumerate(kinds)], [c.split(" ")[0] for c in ("pool", "bvid", "title", "parts", "ord", "value", "broken")])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, columns)
+    return files.select("path", "content").mapInArrow(run, columns)
 
 
 def archive_comments(archive: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ SCHEMA = "page int, ord int, bvid string, aid long, title string, duration long,
 
 
 def paged_list(fetch: Callable[[int], list[tuple]], first: int = 1, most: int = 50, title: str = "paged_list") -> type[DataSource]:
-    """A data source that reads pages first, first + 1, ... up to `most`, each in a task of its own. fetch must be picklable."""
+    """A data source that reads pages first, first + 1, ... for `most` pages, each in a task of its own. An error if the last of these still has rows. fetch must be picklable."""
 
     class Page(InputPartition):
         def __init__(self, number: int):
@@ -26,7 +26,10 @@ def paged_list(fetch: Callable[[int], list[tuple]], first: int = 1, most: int =
             return [Page(n) for n in range(first, first + most)]
 
         def read(self, partition) -> Iterator[tuple]:
-            for place, row in enumerate(fetch(partition.number)):
+            rows = fetch(partition.number)
+            if rows and partition.number == first + most - 1:
+                raise ValueError(f"{title}: page {partition.number} still has rows; raise `most`")
+            for place, row in enumerate(rows):
                 yield (partition.number, place, *row)
 
     class PagedList(DataSource):
