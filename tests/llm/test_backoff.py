@@ -4,58 +4,49 @@ from collections import Counter
 import pytest
 
 from tidepool.llm import backoff as B
-from tidepool.llm.common import WordHashes
 
 
-def reference(rows, alpha, cells):
-    hashes = WordHashes()
-    cell = lambda w: hashes[w] % cells
+def reference(rows, alpha, order):
+    """Scores by direct counts of n-grams as tuples of words."""
     words = [(d, (t or "").encode().lower().split()) for d, t in rows]
-    one, two = Counter(), Counter()
-    for _, w in words:
-        one.update(map(cell, w))
-        two.update(zip(w, w[1:], strict=False))
-    total, out = sum(one.values()), []
+    grams = lambda w, n: [tuple(w[i : i + n]) for i in range(len(w) - n + 1)]
+    whole = Counter(g for _, w in words for n in range(1, order + 1) for g in grams(w, n))
+    total, out = sum(len(w) for _, w in words), []
     for d, w in words:
-        mine, pairs = Counter(map(cell, w)), Counter(zip(w, w[1:], strict=False))
-        c = lambda x: math.log(max(one[cell(x)] - mine[cell(x)], 1))
-        n = math.log(max(total - len(w), 1))
-        s = c(w[0]) - n if w else 0.0
-        for a, b in zip(w, w[1:], strict=False):
-            k = two[a, b] - pairs[a, b]
-            s += math.log(k) - c(a) if k else math.log(alpha) + c(b) - n
+        mine = Counter(g for n in range(1, order + 1) for g in grams(w, n))
+        c = lambda g: whole[g] - mine[g]
+        s = 0.0
+        for i in range(len(w)):
+            most = min(order, i + 1)
+            n = next((n for n in range(most, 1, -1) if c(tuple(w[i - n + 1 : i + 1]))), 1)
+            top = tuple(w[i - n + 1 : i + 1])
+            s += math.log(alpha) * (most - n) + math.log(max(c(top), 1)) - math.log(c(top[:-1]) if n > 1 else max(total - len(w), 1))
         out.append((repr(d), len(w), s))
     return sorted(out)
 
 
-@pytest.mark.parametrize(("cells", "hot", "bucket"), [(1 << 20, 1 / 1000, 10**6), (64, 1 / 20, 500), (1 << 20, 2.0, 700)])
-def test_scores_equal_a_direct_count(spark, odd_documents, cells, hot, bucket):
+def rows_of(odd_documents):
     rows = [(r.doc_id, r.text) for r in odd_documents.collect()] + [(100 + i, f"the cat sat on {i % 3} the dog sat on a mat the cat") for i in range(20)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = sorted((repr(r.doc_id), r.n_words, r.log_score) for r in B.backoff_scores(docs, cells=cells, hot_share=hot, bucket_words=bucket).collect())
-    want = reference(rows, B.ALPHA, cells)
+    return rows + [(200 + i, " ".join(f"w{j * j % (7 + i)}" for j in range(60))) for i in range(12)] + [(300, "the"), (301, "the cat")]
+
+
+@pytest.mark.parametrize(("order", "flush", "bucket"), [(1, 10**6, 10**6), (2, 50, 700), (3, 10**6, 10**6), (3, 40, 300), (4, 200, 5000)])
+def test_scores_equal_a_direct_count(spark, odd_documents, order, flush, bucket):
+    rows = rows_of(odd_documents)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((repr(r.doc_id), r.n_words, r.log_score) for r in B.backoff_scores(docs, order=order, flush_words=flush, bucket_bytes=bucket).collect())
+    want = reference(rows, B.ALPHA, order)
     assert [g[:2] for g in got] == [w[:2] for w in want]
-    assert all(abs(g[2] - w[2]) < 1e-5 * max(1, abs(w[2])) for g, w in zip(got, want, strict=True))
+    assert all(abs(g[2] - w[2]) < 1e-9 * max(1, abs(w[2])) for g, w in zip(got, want, strict=True))
 
 
-def test_empty(spark, no_documents):
-    assert B.backoff_scores(no_documents).count() == 0
+def test_scores_do_not_depend_on_the_layout(spark, odd_documents):
+    """To the last bit, however rows, flushes and buckets are dealt."""
+    docs = spark.createDataFrame(rows_of(odd_documents), "doc_id long, text string")
+    runs = [(1, 10**6, 10**6, 1), (4, 100, 900, 2), (2, 33, 10**5, 3)]
+    got = [sorted((repr(r.doc_id), r.n_words, r.log_score) for r in B.backoff_scores(docs.repartition(p), flush_words=f, bucket_bytes=b, passes=n).collect()) for p, f, b, n in runs]
+    assert got[0] == got[1] == got[2]
 
 
-@pytest.mark.parametrize(("hot", "table", "bucket"), [(1 / 1000, B.TABLE_SHARE, 10**6), (1 / 20, 1 / 30, 300), (2.0, 2.0, 500)])
-def test_words_are_counted_exactly(spark, odd_documents, hot, table, bucket):
-    """Not with other words of a cell: some of these words share their hash modulo 2^20."""
-    hashes = WordHashes()
-    by_cell, clash = {}, []
-    for i in range(8000):
-        w = b"w%d" % i
-        clash += [(by_cell[hashes[w] % (1 << 20)], w)] if hashes[w] % (1 << 20) in by_cell else []
-        by_cell[hashes[w] % (1 << 20)] = w
-    assert len(clash) > 3
-    rows = [(r.doc_id, r.text) for r in odd_documents.collect()] + [(100 + i, f"the cat sat on {i % 3} the dog sat on a mat the cat") for i in range(20)]
-    rows += [(200 + i, " ".join(f"{a.decode()} {b.decode()} {a.decode()} {i} the" for a, b in clash[i % 2 :: 2])) for i in range(5)] + [(300 + i, b.decode()) for i, (_, b) in enumerate(clash)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = sorted((repr(r.doc_id), r.n_words, r.log_score) for r in B.backoff_scores(docs, hot_share=hot, bucket_words=bucket, table_share=table).collect())
-    want = reference(rows, B.ALPHA, 1 << 64)
-    assert [g[:2] for g in got] == [w[:2] for w in want]
-    assert all(abs(g[2] - w[2]) < 1e-5 * max(1, abs(w[2])) for g, w in zip(got, want, strict=True))
+def test_empty(spark, no_documents):
+    assert B.backoff_scores(no_documents).count() == 0

@@ -1,24 +1,25 @@
-"""Language-model scores by stupid backoff (Brants et al. 2007) over bigrams of the scored corpus itself, leaving one out.
-
-The score of a word after another is c(a b) / c(a) where the bigram occurs in another document, else ALPHA * c(b) / N; all
-counts are those of the other documents (the document's own are subtracted), so a text is not its own model. A document's score is
-the sum of the logarithms over its words; its first word counts as c(b) / N. Counts that are 0 without the document count as 1
-in c(a) and c(b), so logarithms exist.
-
-1. Words are counted exactly by their 64-bit hashes, in a partitioned table that grows with the vocabulary. Those with TABLE_SHARE
-   of all words each or more, at most 1 / TABLE_SHARE of them, are a table that every task holds; the others are the rare words.
-2. Bigrams of two words with HOT_SHARE of all words each or more may be a large part of the corpus. There are at most
-   (1 / HOT_SHARE)^2 of them; they are counted first and held as a table too, so they are never shuffled by key.
-3. All other bigrams of a document, each once with its count, are exploded and partitioned by their hash, in blocks of columns
-   (a block a bucket, so a row of the shuffle carries thousands of bigrams). Each bucket counts its bigrams and joins the counts
-   to their occurrences by a sort: the count table and its join in one exchange. No key has more than HOT_SHARE of the words,
-   and the number of buckets grows with the words, so buckets keep their size.
-4. Rare words of a document, each once with its count, go the same way in buckets of their own, and their counts come back to the
-   document, where those of its bigrams that hold a rare word and back off wait for them.
-5. Terms are summed per document.
-
-Words are lower-cased (A-Z) runs of anything but space and U+0009..U+000D. A null, empty or blank text has no words, the
-score 0 and no mean. Equal rows are scored each, as copies of each other. Extra columns are ignored; an empty table gives no rows.
+"""Language-model scores by stupid backoff (Brants et al. 2007) of order 3 over the scored corpus itself, leaving one out.
+
+The score of a word after two others is c(a b c) / c(a b) where another document has that trigram; else ALPHA times
+c(b c) / c(b) where another one has that bigram; else ALPHA^2 times c(c) / N. The first two words of a document have as much
+context as there is. All counts are those of the other documents (the document's own are subtracted), so a text is not its own
+model; a word that no other document has counts as 1. A document's score is the sum of the logarithms over its words.
+
+1. Documents are gathered into flushes of about FLUSH_WORDS words, which are written as numbers of words. Each distinct n-gram of a
+   flush, of any order, is exploded once, with its count there, and partitioned by its hash: the n-gram count tables, an exchange of
+   one key for each n-gram and flush. A frequent n-gram gives a flush one key, however many documents have it, so no key is hot. Keys
+   travel in blocks of columns, a block a bucket of hashes, sorted and as differences. This goes in PASSES rounds, each for its range
+   of hashes, so that disks hold the keys of one round at a time.
+2. Each bucket counts its n-grams over all flushes by a sort, joins the counts to the blocks, and sends them back to their flushes.
+   The number of buckets grows with the bytes of text, so a bucket keeps its size.
+3. Each flush joins the counts to the n-grams of its documents, takes off each document's own, and sums the terms by document, in the
+   order of the words: scores do not depend on how rows are dealt to tasks.
+4. N is the sum of the words of all documents, known once all are scored; it enters by the number of terms that hold it.
+
+Words are lower-cased (A-Z) runs of anything but space and U+0009..U+000D, told apart by 64-bit hashes, as n-grams are. A null,
+empty or blank text has no words, the score 0 and no mean. Equal rows are scored each, as copies of each other; ids play no part,
+so null and repeated ones are scored like others. Extra columns are ignored, also where their names are those of the result; an
+empty table gives no rows. A text of any length is scored whole: a task holds its words, at about 100 bytes each.
 """
 
 from __future__ import annotations
@@ -28,29 +29,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.llm.common import WordHashes, forget, mix64, small_batches, written
+from tidepool.llm.common import WordHashes, mix64, small_batches, written
 
-ALPHA = 0.4
-TABLE_SHARE = 1 / 2_000_000
-HOT_SHARE = 1 / 1000
-#: Words of the corpus for each bucket of bigrams: what one step of a task holds, at about 40 bytes each.
-BUCKET_WORDS = 1_000_000
-#: Buckets that a task joins one after the other; it sums a document's terms over all of them before it hands them on.
+ALPHA, ORDER = 0.4, 3
+#: Words that a task gathers as one flush.
+FLUSH_WORDS = 450_000
+#: Bytes of text for each bucket of n-grams: about a million keys, at 30 bytes each in the task that counts them.
+BUCKET_BYTES = 4_000_000
+#: Buckets that one task counts, one after the other.
 BUCKETS_A_TASK = 4
-#: Words that a task gathers before it counts them.
-GATHER = 1_000_000
-#: Bigrams that a task explodes before it hands them on.
-FLUSH = 400_000
+#: Rounds of exploding and counting, each for an equal range of hashes.
+PASSES = 2
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 class FewerHashes(WordHashes):
-    """Next to the tables there is less room."""
-
     LIMIT = 200_000
 
 
@@ -58,108 +55,16 @@ def word_hashes(text: bytes | None, words: WordHashes) -> np.ndarray:
     return np.frombuffer(array("Q", map(words.__getitem__, text.lower().split() if text else [])), np.uint64)
 
 
-def bigrams(w: np.ndarray) -> np.ndarray:
-    return mix64(w[:-1] * _STEP + w[1:])
-
-
-def word_keys(w: np.ndarray, cells: int | None) -> np.ndarray:
-    """What words are counted by: their hashes, or those modulo `cells`."""
-    return w % np.uint64(cells) if cells else w
-
-
-def among(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(places, found) of keys in a sorted table."""
-    if not len(sorted_keys):
-        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-    at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
-    return at, sorted_keys[at] == keys
-
-
-def _word_counts(cells: int | None):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, keys, counts = FewerHashes(), np.empty(0, np.uint64), np.empty(0, np.int64)
-        held, n = [], 0
-
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            new, times = np.unique(np.concatenate(held), return_counts=True)
-            both, inverse = np.unique(np.concatenate([keys, new]), return_inverse=True)
-            return both, np.bincount(inverse, weights=np.concatenate([counts, times])).astype(np.int64)
-
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                held.append(word_keys(word_hashes(t, words), cells))
-                n += len(held[-1])
-            if n >= GATHER:
-                keys, counts = merged()
-                held, n = [], 0
-        if held:
-            keys, counts = merged()
-        for i in range(0, len(keys), GATHER):
-            yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + GATHER].view(np.int64)), pa.array(counts[i : i + GATHER])], ["key", "n"])
-
-    return run
-
-
-def _hot_bigrams(cells: int | None, hot: np.ndarray):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, counts = FewerHashes(), {}
-        for b in batches:
-            keys = []
-            for t in b.column(0).to_pylist():
-                w = word_hashes(t, words)
-                h = among(hot, word_keys(w, cells))[1]
-                both = np.flatnonzero(h[:-1] & h[1:])
-                keys.append(mix64(w[both] * _STEP + w[both + 1]))
-            for key, n in zip(*(x.tolist() for x in np.unique(np.concatenate(keys), return_counts=True)), strict=True) if keys else []:
-                counts[key] = counts.get(key, 0) + n
-        yield pa.RecordBatch.from_arrays([pa.array(np.array(list(counts), np.uint64).view(np.int64)), pa.array(list(counts.values()), pa.int64())], ["key", "n"])
-
-    return run
-
-
-class Terms:
-    """A document's terms, as far as the tables at hand go; the rest needs the counts of the other bigrams and of the rare words."""
-
-    def __init__(self, words: np.ndarray, word_counts: np.ndarray, total: int, hot: np.ndarray, hot_keys: np.ndarray, hot_counts: np.ndarray, alpha: float, cells: int | None):
-        self.words, self.word_counts, self.total, self.hot_keys, self.hot_counts, self.alpha, self.cells = words, word_counts, total, hot_keys, hot_counts, alpha, cells
-        self.hot = among(hot, words)[1]
-
-    def __call__(self, w: np.ndarray) -> tuple[float, float, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(known part of the score, shift, keys, counts, products, firsts, seconds, rare words, own counts, times).
-
-        A bigram that another document has adds log c(a b), one that none has adds log(product) + shift, each `count` times. Rare
-        words count as 1 in `known` and in products: each adds `times` log c, and `count` log c for each bigram that backs off and
-        has its place among them in firsts or seconds (-1: not rare).
-        """
-        grams = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.float32), np.empty(0, np.int64), np.empty(0, np.int64)
-        if not len(w):
-            return 0.0, 0.0, *grams, np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
-        each, inverse, own = np.unique(word_keys(w, self.cells), return_inverse=True, return_counts=True)
-        at, held = among(self.words, each)
-        rare = np.flatnonzero(~held)
-        of_each = np.ones(len(each), np.int64)
-        of_each[held] = np.maximum(self.word_counts[at[held]] - own[held], 1)
-        c = of_each[inverse]
-        place = np.full(len(each), -1)
-        place[rare] = np.arange(len(rare))
-        times = -np.bincount(inverse[:-1], minlength=len(each))
-        times[inverse[0]] += 1
-        log_n = float(np.log(max(self.total - len(w), 1)))
-        shift = float(np.log(self.alpha)) - log_n
-        known = float(np.log(c[0])) - log_n
-        if len(w) > 1:
-            keys, first, counts = np.unique(bigrams(w), return_index=True, return_counts=True)
-            known -= float((np.log(c[first]) * counts).sum())  # as if no bigram backed off: log c(a b) - log c(a)
-            product = c[first].astype(np.float32) * c[first + 1].astype(np.float32)
-            hot = np.zeros(len(each), bool)
-            hot[held] = self.hot[at[held]]
-            near = hot[inverse[first]] & hot[inverse[first + 1]]
-            if near.any():
-                total = self.hot_counts[np.searchsorted(self.hot_keys, keys[near])] - counts[near]
-                known += float((np.where(total > 0, np.log(np.maximum(total, 1)), np.log(product[near].astype(np.float64)) + shift) * counts[near]).sum())
-            far = ~near
-            grams = keys[far], counts[far], product[far], place[inverse[first[far]]], place[inverse[first[far] + 1]]
-        return known, shift, *grams, each[rare], own[rare], times[rare]
+def grams(w: np.ndarray, lengths: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, ends) of all n-grams of documents of these lengths, laid end to end: by order, then place; ends are places of last words."""
+    place = np.arange(len(w)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    keys, ends, h = [mix64(w)], [np.arange(len(w))], w
+    for n in range(2, order + 1):
+        h = h[:-1] * _STEP + w[n - 1 :]  # of the n words that end at n - 1, n, ...
+        within = np.flatnonzero(place[n - 1 :] >= n - 1)
+        keys.append(mix64(h[within] + np.uint64(n)))
+        ends.append(within + n - 1)
+    return np.concatenate(keys), np.concatenate(ends)
 
 
 def planes(x: np.ndarray) -> bytes:
@@ -172,216 +77,160 @@ def unplanes(data: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
-_HEAD = [("ids", pa.list_(pa.int64())), *((c, pa.binary()) for c in ("words", "known", "shifts", "rare_at", "times", "firsts", "seconds", "gram_counts"))]
-_BLOCKS = pa.schema([("bucket", pa.int64()), ("flush", pa.int64()), ("at", pa.binary()), ("keys", pa.binary()), ("counts", pa.binary()), ("products", pa.binary()), ("rare", pa.binary()), *_HEAD])
-_SUMS = pa.schema([("flush", pa.int64()), ("bucket", pa.int64()), ("at", pa.binary()), ("sums", pa.binary()), ("backoffs", pa.binary()), ("n", pa.int64()), ("back", pa.binary()), *_HEAD])
+def packed(x: np.ndarray) -> bytes:
+    return pa.compress(planes(x), codec="zstd", asbytes=True)
+
 
+def unpacked(data: bytes, kind: str, n: int) -> np.ndarray:
+    return unplanes(pa.decompress(data, n * np.dtype(kind).itemsize, codec="zstd", asbytes=True), kind)
 
-def _columns(schema: pa.Schema) -> str:
-    names = {pa.int64(): "long", pa.binary(): "binary", pa.list_(pa.int64()): "array<long>"}
-    return ", ".join(f"{f.name} {names[f.type]}" for f in schema)
+
+_HEADS = pa.schema([("flush", pa.int64()), ("ids", pa.list_(pa.int64())), ("lengths", pa.binary()), ("words", pa.binary()), ("text", pa.binary())])
+_HEAD_COLUMNS = "flush long, ids array<long>, lengths binary, words binary, text binary"
+_BLOCKS = pa.schema([("flush", pa.int64()), ("bucket", pa.int64()), ("n", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
+_BLOCK_COLUMNS = "flush long, bucket long, n long, keys binary, counts binary"
 
 
 def _table(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(schema.types)], schema=schema)
 
 
-def _exploded(terms, buckets: int, word_buckets: int):
-    """Exploded bigrams and rare words as blocks of columns: a block a bucket of the keys' hash and flush of FLUSH bigrams, and one of
-    what stays with the documents.
-
-    A flush is named by a hash of its documents; `at` is a document's place in it. Buckets of words follow those of bigrams. What
-    stays: known parts, and in the order of the buckets each rare word (place of its document, times) and each bigram with a rare
-    word (1 + places of its words among the rare ones, 0: not rare; count).
-    """
-
-    def split(bucket: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
-        order = np.argsort(bucket, kind="stable")
-        edges = np.append(np.flatnonzero(np.diff(bucket[order], prepend=np.uint64(1 << 63))), len(bucket)).tolist()
-        return order, list(zip(edges[:-1], edges[1:], strict=True))
-
-    def flush(docs: list[tuple]) -> pa.RecordBatch:
-        name = xxhash.xxh64()
-        for ident, digest, _, _ in docs:
-            name.update(f"{ident}:{digest};".encode())
-        name = name.intdigest() - (1 << 63)
-        keys, counts, products, firsts, seconds, rare, own, times = (np.concatenate([d[3][k] for d in docs]) for k in range(2, 10))
-        place = np.arange(len(docs), dtype=np.uint32)
-        at, rare_at = (np.repeat(place, [len(d[3][k]) for d in docs]) for k in (2, 7))
-        bucket, word_bucket = (keys >> np.uint64(1)) % np.uint64(buckets), (mix64(rare) >> np.uint64(1)) % np.uint64(word_buckets)
-        order, parts = split(bucket)
-        word_order, word_parts = split(word_bucket)
-        rank = np.zeros(1 + len(rare), np.uint32)
-        rank[1 + word_order] = np.arange(1, 1 + len(rare), dtype=np.uint32)
-        start = np.cumsum([1] + [len(d[3][7]) for d in docs])[at]
-        firsts, seconds = (rank[np.where(x < 0, 0, start + x)] for x in (firsts, seconds))
-        wait = (firsts > 0) | (seconds > 0)
-        waiting = order[wait[order]]
-        numbers = lambda k: np.array([d[3][k] for d in docs]).tobytes()
-        none = [None] * len(_HEAD)
-        head = [[d[0] for d in docs], np.array([d[2] for d in docs], np.int64).tobytes(), numbers(0), numbers(1)]
-        head += [planes(rare_at[word_order]), planes(times[word_order].astype(np.int32)), planes(firsts[waiting]), planes(seconds[waiting]), planes(counts[waiting].astype(np.uint32))]
-        out = [(-1 - name % buckets, name, None, None, None, None, None, *head)]
-        for a, b in parts:
-            pick = order[a:b]
-            out.append((int(bucket[pick[0]]), name, planes(at[pick]), keys[pick].tobytes(), planes(counts[pick].astype(np.uint32)), planes(products[pick]), np.packbits(wait[pick]).tobytes(), *none))
-        for a, b in word_parts:
-            pick = word_order[a:b]
-            out.append((buckets + int(word_bucket[pick[0]]), name, None, rare[pick].tobytes(), planes(own[pick].astype(np.uint32)), None, None, *none))
-        return _table(out, _BLOCKS)
+def _flushes(flush_words: int):
+    """Heads: the ids and lengths of a flush's documents, its distinct words' hashes, most frequent first, and the texts as numbers of these."""
+
+    def flush(name: int, docs: list[tuple]) -> pa.RecordBatch:
+        lengths, w = np.array([len(d[1]) for d in docs], np.uint32), np.concatenate([d[1] for d in docs])
+        words, inverse, times = np.unique(w, return_inverse=True, return_counts=True)
+        by_times = np.argsort(-times, kind="stable")
+        number = np.empty(len(words), np.uint32)
+        number[by_times] = np.arange(len(words), dtype=np.uint32)
+        return _table([(name, [d[0] for d in docs], lengths.tobytes(), words[by_times].tobytes(), packed(number[inverse]))], _HEADS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, make = FewerHashes(), terms.value
-        docs, grams = [], 0
+        hashes, docs, held, made = FewerHashes(), [], 0, TaskContext.get().partitionId() << 32
         for b in batches:
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                w = word_hashes(t, hashes)
-                docs.append((i, xxhash.xxh64_intdigest(t or b""), len(w), make(w)))
-                grams += len(docs[-1][3][2])
-                if grams >= FLUSH or len(docs) >= FLUSH // 10:
-                    yield flush(docs)
-                    docs, grams = [], 0
+                docs.append((i, word_hashes(t, hashes)))
+                held += len(docs[-1][1])
+                if held >= flush_words or len(docs) >= flush_words // 4:
+                    yield flush(made, docs)
+                    docs, held, made = [], 0, made + 1
         if docs:
-            yield flush(docs)
+            yield flush(made, docs)
 
     return run
 
 
-def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks sorted by bucket: count each bucket's bigrams or rare words, join the counts to their occurrences, sum by document."""
-    none = (None,) * len(_HEAD)
+def _texts(head: dict) -> tuple[np.ndarray, np.ndarray]:
+    """(word hashes, lengths) of a flush's documents."""
+    lengths = np.frombuffer(head["lengths"], np.uint32).astype(np.int64)
+    return np.frombuffer(head["words"], np.uint64)[unpacked(head["text"], "u4", int(lengths.sum()))], lengths
 
 
-    def bucket_sums(blocks: list[dict]) -> list[tuple]:
-        """(flush, at, sum, backoffs) of the documents of each flush; `back` takes what else goes back to it: (flush, bucket, n, ...)
-        of counts of rare words, or of bits that tell which bigrams with a rare word back off."""
-        keys = np.concatenate([np.frombuffer(b["keys"], np.uint64) for b in blocks])
-        counts = np.concatenate([unplanes(b["counts"], "u4") for b in blocks]).astype(np.int64)
-        order = np.argsort(keys)
-        edge = np.flatnonzero(np.diff(keys[order], prepend=~keys[order[0]]))
-        elsewhere = np.empty(len(keys), np.int64)
-        elsewhere[order] = np.repeat(np.add.reduceat(counts[order], edge), np.diff(np.append(edge, len(keys))))
-        elsewhere -= counts
-        del keys, order, edge
-        out, start = [], 0
-        for b in blocks:
-            size = len(b["keys"]) // 8
-            n, other = counts[start : start + size], elsewhere[start : start + size]
-            start += size
-            if b["at"] is None:
-                back.append((b["flush"], b["bucket"], None, None, None, size, planes(other.astype(np.uint32)), *none))
-                continue
-            at, product = unplanes(b["at"], "u4"), unplanes(b["products"], "f4").astype(np.float64)
-            waits = other[np.unpackbits(np.frombuffer(b["rare"], np.uint8), count=size).astype(bool)] <= 0
-            if len(waits):
-                back.append((b["flush"], b["bucket"], None, None, None, len(waits), np.packbits(waits).tobytes(), *none))
-            docs, local = np.unique(at, return_inverse=True)
-            term = np.where(other > 0, np.log(np.maximum(other, 1)), np.log(product)) * n
-            out.append((b["flush"], docs, np.bincount(local, weights=term), np.bincount(local, weights=n * (other <= 0))))
-        return out
-
-    def summed(parts: list[tuple]) -> pa.RecordBatch:
-        by_flush: dict[int, list[tuple]] = {}
-        for p in parts:
-            by_flush.setdefault(p[0], []).append(p)
-        rows = []
-        for name, own in by_flush.items():
-            at, local = np.unique(np.concatenate([p[1] for p in own]), return_inverse=True)
-            sums, backoffs = (np.bincount(local, weights=np.concatenate([p[k] for p in own])) for k in (2, 3))
-            rows.append((name, None, planes(at.astype(np.uint32)), sums.astype(np.float32).tobytes(), planes(backoffs.astype(np.uint32)), None, None, *none))
-        return _table(rows + back, _SUMS)
-
-    bucket, blocks, parts, back, held = None, [], [], [], 0
+def _exploded(order: int, buckets: int, first: int, stop: int):
+    """Blocks (flush, bucket, n, keys, counts) of the distinct n-grams of each flush, for buckets first to stop - 1: equal ranges of hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begins = np.array([(i << 64) // buckets for i in range(first, min(stop + 1, buckets))], np.uint64)
+        for b in batches:
+            for head in b.to_pylist():
+                keys = grams(*_texts(head), order)[0]
+                keys = keys[keys >= begins[0]] if stop == buckets else keys[(keys >= begins[0]) & (keys < begins[-1])]
+                keys, counts = np.unique(keys, return_counts=True)
+                edges = np.append(np.searchsorted(keys, begins[: stop - first]), len(keys)).tolist()
+                out = []
+                for bucket, (x, y) in enumerate(zip(edges, edges[1:], strict=False), first):
+                    if x < y:
+                        out.append((head["flush"], bucket, y - x, packed(np.diff(keys[x:y], prepend=np.uint64(0))), packed(counts[x:y].astype(np.uint32))))
+                yield _table(out, _BLOCKS)
+
+    return run
+
+
+def _runs(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[list[dict]]:
+    """Runs of rows that have the same value in a column."""
+    rows: list[dict] = []
     for b in batches:
         for r in b.to_pylist():
-            if r["ids"] is not None:
-                yield _table([(r["flush"], None, None, None, None, None, None, *(r[c] for c, _ in _HEAD))], _SUMS)
-                continue
-            if r["bucket"] != bucket and blocks:
-                parts += bucket_sums(blocks)
-                held += sum(len(b["keys"]) for b in blocks) // 8
-                blocks = []
-                if held > 10 * FLUSH:
-                    yield summed(parts)
-                    parts, back, held = [], [], 0
-            bucket = r["bucket"]
-            blocks.append(r)
-    if blocks:
-        parts += bucket_sums(blocks)
-    if parts or back:
-        yield summed(parts)
-
-
-_SCORES = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("log_score", pa.float64())])
-
-
-def _scores(buckets: int):
-    """Sums sorted by flush: the documents of each flush with their scores. Buckets of words follow `buckets` ones of bigrams."""
+            if rows and rows[-1][column] != r[column]:
+                yield rows
+                rows = []
+            rows.append(r)
+    if rows:
+        yield rows
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks sorted by bucket: each with how often its n-grams occur in other flushes, instead of the keys."""
+    for rows in _runs(batches, "bucket"):
+        keys = np.concatenate([np.cumsum(unpacked(r["keys"], "u8", r["n"]), dtype=np.uint64) for r in rows])
+        counts = np.concatenate([unpacked(r["counts"], "u4", r["n"]) for r in rows]).astype(np.int64)
+        order = np.argsort(keys)
+        edge = np.flatnonzero(np.diff(keys[order], prepend=~keys[order[0]]))
+        others = np.empty(len(keys), np.int64)
+        others[order] = np.repeat(np.add.reduceat(counts[order], edge), np.diff(np.append(edge, len(keys))))
+        others -= counts
+        stops = np.cumsum([r["n"] for r in rows]).tolist()
+        yield _table([(r["flush"], r["bucket"], r["n"], None, packed(others[a:b].astype(np.uint32))) for r, a, b in zip(rows, [0, *stops], stops, strict=False)], _BLOCKS)
+
+
+_SCORES = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("known", pa.float64()), ("singles", pa.int64())])
+
+
+def _scored(order: int, alpha: float):
+    """Rows sorted by flush, then bucket, its head first: the documents' sums, and how many of their terms are divided by N."""
 
     def scores(rows: list[dict]) -> pa.RecordBatch:
-        heads = [r for r in rows if r["ids"] is not None]  # more than one where the very same documents came again
-        head = heads[0]
-        shifts = np.frombuffer(head["shifts"])
-        score = np.zeros(len(shifts))
-        for r in rows:
-            if r["at"] is not None:
-                at = unplanes(r["at"], "u4")
-                score[at] += np.frombuffer(r["sums"], np.float32) + unplanes(r["backoffs"], "u4") * shifts[at]
-        score = score / len(heads) + np.frombuffer(head["known"])
-        rare_at = unplanes(head["rare_at"], "u4")
-        if len(rare_at):
-            last = {r["bucket"]: r for r in rows if r["back"] is not None}  # one a bucket; those of the same documents are the same
-            logs, bits = [np.zeros(1)], [np.empty(0, bool)]
-            for _, r in sorted(last.items()):
-                if r["bucket"] >= buckets:
-                    logs.append(np.log(np.maximum(unplanes(r["back"], "u4"), 1)))
-                else:
-                    bits.append(np.unpackbits(np.frombuffer(r["back"], np.uint8), count=r["n"]).astype(bool))
-            logs, bits = np.concatenate(logs), np.concatenate(bits)
-            score += np.bincount(rare_at, weights=unplanes(head["times"], "i4") * logs[1:], minlength=len(score))
-            firsts, seconds, n = (unplanes(head[c], "u4")[bits] for c in ("firsts", "seconds", "gram_counts"))
-            score += np.bincount(rare_at[np.where(firsts, firsts, seconds).astype(np.int64) - 1], weights=n * (logs[firsts] + logs[seconds]), minlength=len(score))
-        words = np.frombuffer(head["words"], np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(head["ids"] * len(heads), pa.int64()), pa.array(np.tile(words, len(heads))), pa.array(np.tile(score, len(heads)))], schema=_SCORES)
+        head = rows[0]
+        w, lengths = _texts(head)
+        keys, ends = grams(w, lengths, order)
+        doc = np.repeat(np.arange(len(lengths)), lengths)
+        by_key = np.argsort(keys, kind="stable")  # within a key, by place, hence by document
+        gram = np.append(0, np.cumsum(np.diff(keys[by_key]) != 0)) if len(keys) else np.empty(0, np.int64)
+        run = np.append(0, np.cumsum((np.diff(gram) != 0) | (np.diff(doc[ends[by_key]]) != 0))) if len(keys) else gram
+        others = np.concatenate([np.empty(0, np.int64), *(unpacked(r["counts"], "u4", r["n"]).astype(np.int64) for r in rows[1:])])
+        elsewhere = np.empty(len(keys), np.int64)
+        elsewhere[by_key] = (others + np.bincount(gram, minlength=len(others)))[gram] - np.bincount(run)[run] if len(keys) else 0
+        c = np.zeros((order + 1, len(w)), np.int64)  # of the n-gram that ends at each place; none where a document has no n words yet
+        sizes = np.concatenate([np.full(len(w), 1), *(np.full(int(np.maximum(lengths - n + 1, 0).sum()), n) for n in range(2, order + 1))])
+        c[sizes, ends] = elsewhere
+        place = np.arange(len(w)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        term, level = np.log(np.maximum(c[1], 1)), np.ones(len(w), np.int64)
+        for n in range(2, order + 1):
+            at = np.flatnonzero(c[n] > 0)
+            term[at] = np.log(c[n, at]) - np.log(c[n - 1, at - 1])
+            level[at] = n
+        term += np.log(alpha) * (np.minimum(place + 1, order) - level)
+        known = np.bincount(doc, weights=term, minlength=len(lengths))
+        singles = np.bincount(doc[level == 1], minlength=len(lengths))
+        return pa.RecordBatch.from_arrays([pa.array(head["ids"], pa.int64()), pa.array(lengths), pa.array(known), pa.array(singles.astype(np.int64))], schema=_SCORES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flush, rows = None, []
-        for b in batches:
-            for r in b.to_pylist():
-                if r["flush"] != flush and rows:
-                    yield scores(rows)
-                    rows = []
-                flush = r["flush"]
-                rows.append(r)
-        if rows:
+        for rows in _runs(batches, "flush"):
             yield scores(rows)
 
     return run
 
 
-def backoff_scores(docs: DataFrame, alpha: float = ALPHA, cells: int | None = None, hot_share: float = HOT_SHARE, bucket_words: int = BUCKET_WORDS, id_col: str = "doc_id", text_col: str = "text", table_share: float = TABLE_SHARE) -> DataFrame:
-    """(doc_id, n_words, log_score, mean_log_score) of every document. With `cells`, words whose hashes are equal modulo it count as one."""
+def backoff_scores(docs: DataFrame, alpha: float = ALPHA, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text", flush_words: int = FLUSH_WORDS, bucket_bytes: int = BUCKET_BYTES, passes: int = PASSES) -> DataFrame:
+    """(doc_id, n_words, log_score, mean_log_score) of every document."""
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    counted = written(docs.select("text").mapInArrow(_word_counts(cells), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "words")
-    total = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    keys, counts = _sorted(counted.filter(F.col("n") >= max(2, total * min(table_share, hot_share))))  # at most 1 / table_share rows
-    forget(counted)
-    hot = keys[counts >= max(2, int(total * hot_share))]
-    hot_bigrams = _sorted(docs.select("text").mapInArrow(_hot_bigrams(cells, hot), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")))  # at most 1 / hot_share^2 rows
-    terms = spark.sparkContext.broadcast(Terms(keys, counts, total, hot, *hot_bigrams, alpha, cells))
-    buckets, word_buckets = 1 + total // bucket_words, 1 + (total - int(counts.sum())) // bucket_words
-    tasks = 1 + (buckets + word_buckets) // BUCKETS_A_TASK
-    blocks = docs.mapInArrow(_exploded(terms, buckets, word_buckets), _columns(_BLOCKS))
-    sums = blocks.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_joined, _columns(_SUMS))
-    out = sums.repartition(tasks, "flush").sortWithinPartitions("flush").mapInArrow(_scores(buckets), "doc_id long, n_words long, log_score double")
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    heads = written(docs.mapInArrow(_flushes(flush_words), _HEAD_COLUMNS), "flushes")
+    buckets = passes * (1 + size // bucket_bytes // passes)
+    each = buckets // passes
+    tasks = 1 + each // BUCKETS_A_TASK
+    both = heads
+    for p in range(passes):
+        blocks = heads.mapInArrow(_exploded(order, buckets, p * each, (p + 1) * each), _BLOCK_COLUMNS)
+        # Buckets go round the tasks, so that each has as many.
+        counted = blocks.repartitionById(tasks, F.pmod("bucket", F.lit(tasks)).cast("int")).sortWithinPartitions("bucket").mapInArrow(_counted, _BLOCK_COLUMNS)
+        both = both.unionByName(written(counted.drop("keys"), "counted"), allowMissingColumns=True)
+    sums = both.repartition(1 + size // (8 * flush_words), "flush").sortWithinPartitions("flush", "bucket").mapInArrow(_scored(order, alpha), "doc_id long, n_words long, known double, singles long")
+    sums = written(sums, "sums")
+    total = sums.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
+    score = F.col("known") - F.col("singles") * F.log(F.greatest(F.lit(total) - F.col("n_words"), F.lit(1)).cast("double"))
+    out = sums.select("doc_id", "n_words", F.when(F.col("n_words") > 0, score).otherwise(F.lit(0.0)).alias("log_score"))
     return out.withColumn("mean_log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")))
-
-
-def _sorted(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, counts) of a table (key, n), by key."""
-    rows = table.toArrow()
-    keys, n = rows.column("key").to_numpy().view(np.uint64), rows.column("n").to_numpy()
-    order = np.argsort(keys)
-    return keys[order], n[order]

@@ -80,7 +80,7 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op7_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's bigram stupid-backoff score under the other documents."""
+    """Every document's stupid-backoff score, of order 3, under the other documents."""
     return backoff.backoff_scores(_table(spark, sf_dir, "documents"))
 
 
