@@ -58,3 +58,39 @@ def test_a_null_id_keeps_its_family(spark):
     rows = [(None, "Released under the MIT License"), (None, "Released under the MIT License"), (None, f"a\n{WRAPPED['bsd']}")]
     got = sorted((r.doc_id, r.line_no, r.family) for r in L.scanned(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == [(None, 0, "mit"), (None, 0, "mit"), (None, 1, "bsd")]
+
+
+def test_whole_notices_prose_and_other_licences(spark):
+    """Notices as files have them: each gives its family and no other; other licences are unknown at most; prose is left alone."""
+    import notices as T
+
+    rows, want = [], {}
+    for family, texts in T.FAMILIES.items():
+        for t in texts:
+            want[len(rows)] = family
+            rows.append((len(rows), f"Stone walls stand.\n\n{t}\n\nOld trees grow."))
+    for t in T.FOREIGN:
+        want[len(rows)] = "unknown"
+        rows.append((len(rows), t))
+    for t in T.PROSE:
+        rows.append((len(rows), t))
+    got = {}
+    for r in L.scanned(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got.setdefault(r.doc_id, set()).add(r.family)
+    named = {d: got.get(d, set()) - {"unknown"} for d, f in want.items() if f != "unknown"}
+    assert all(g <= {want[d]} for d, g in named.items())  # no other family
+    assert [rows[d][1] for d, g in named.items() if not g] == ["Stone walls stand.\n\nLicense: MIT License\n\nOld trees grow."]  # too short for a template: unknown
+    assert all(got.get(d, set()) <= {"unknown"} for d, f in want.items() if f == "unknown")
+    assert sum(d in got for d, f in want.items() if f == "unknown") >= len(T.FOREIGN) - 1
+    assert not set(got) - set(want)
+
+
+def test_each_paragraph_of_a_notice_is_found(spark):
+    import notices as T
+
+    rows = [(0, T.MIT), (1, T.BSD), (2, T.gnu("General Public License", "program")), (3, T.APACHE)]
+    got = {}
+    for r in L.scanned(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        if r.family != "unknown":
+            got.setdefault(r.doc_id, set()).add(r.template)
+    assert [len(got[d]) >= n for d, n in ((0, 3), (1, 4), (2, 3), (3, 3))] == [True] * 4, got

@@ -36,17 +36,24 @@ TEMPLATES = {
         "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
         "SPDX-License-Identifier: Apache-2.0",
         "Apache License Version 2.0, January 2004",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied",
+        "See the License for the specific language governing permissions and limitations under the License",
     ],
     "mit": [
         "Released under the MIT License",
         "This project is licensed under the terms of the MIT license",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
+        "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software",
         "SPDX-License-Identifier: MIT",
         "The MIT License (MIT)",
     ],
     "bsd": [
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
         "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
         "Licensed under the BSD 3-Clause License",
         "Released under the BSD 2-Clause License",
         "SPDX-License-Identifier: BSD-3-Clause",
@@ -55,26 +62,31 @@ TEMPLATES = {
         "This work is licensed under the GNU General Public License, version 3",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
         "You should have received a copy of the GNU General Public License along with this program",
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details",
         "SPDX-License-Identifier: GPL-3.0-or-later",
         "Released under the GPL version 2 or later",
     ],
     "lgpl": [
         "This library is licensed under the GNU Lesser General Public License, version 2.1",
         "modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+        "You should have received a copy of the GNU Lesser General Public License along with this library",
         "SPDX-License-Identifier: LGPL-2.1-only",
     ],
     "agpl": [
         "This work is licensed under the GNU Affero General Public License, version 3",
         "modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
+        "You should have received a copy of the GNU Affero General Public License along with this program",
         "SPDX-License-Identifier: AGPL-3.0-only",
     ],
     "mpl": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
+        "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0",
         "Licensed under the Mozilla Public License Version 2.0",
         "SPDX-License-Identifier: MPL-2.0",
     ],
     "isc": [
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+        "provided that the above copyright notice and this permission notice appear in all copies",
         "Released under the ISC License",
         "SPDX-License-Identifier: ISC",
     ],
@@ -101,6 +113,7 @@ TEMPLATES = {
     "unlicense": [
         "This is free and unencumbered software released into the public domain",
         "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software",
+        "In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain",
         "SPDX-License-Identifier: Unlicense",
     ],
 }
@@ -113,6 +126,24 @@ UNKNOWN_EXAMPLES = [
     "See the license for the specific language governing permissions",
     "The software is provided as is, without warranty of any kind",
     "Distributed under the license of its owner",
+    "Released under the zlib license",
+    "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software",
+    "Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software",
+    "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
+    "Licensed under the EUPL, Version 1.2 or as soon they will be approved by the European Commission",
+    "You may not use this work except in compliance with the Licence",
+    "Distributed under the Boost Software License, Version 1.0",
+    "Licensed under the Artistic License 2.0",
+    "Licensed under the Python Software Foundation License Version 2",
+    "This software is subject to the terms of the Common Development and Distribution License",
+    "Licensed under the Business Source License 1.1",
+    "The Software shall be used for Good, not Evil",
+    "The licensee may not sublicense, rent, lease or lend the software to any third party",
+    "Licensed under the SIL Open Font License, Version 1.1",
+    "Licensed under the Open Data Commons Open Database License",
+    "You may install and use any number of copies of the software on your devices under this end user license",
+    "SPDX-License-Identifier: Zlib",
+    "SPDX-License-Identifier: EPL-2.0",
 ]
 NONE_EXAMPLES = [
     "The committee will publish its report for the general public in the spring",
@@ -131,6 +162,18 @@ NONE_EXAMPLES = [
     "A source of light and a binary star are in the field",
     "Creative people like the commons and the park",
     "The students of MIT and the team of Mozilla met in Berkeley",
+    "The warranty of the car covers parts and labour for three years",
+    "All conditions of the experiment are listed in the documentation of the work",
+    "The copyright office moved to a new building and the notice on the door was removed",
+    "Persons under eighteen are not permitted to purchase a ticket without a person of age",
+    "The publisher will merge the two editions and sell copies of the second one at the fair",
+    "A version of the software was installed on every machine of the library",
+    "The distribution of income between persons and the rights of workers were subject to debate",
+    "Materials provided with the course may be used for any purpose in the classroom",
+    "Products derived from milk must be kept cold and the name of the holder written on them",
+    "The terms of the agreement between the two states were made public in writing",
+    "The European Commission will approve the plan as soon as the members are ready",
+    "Use the source file to compile the program and copy the binary form to the disk",
 ]
 FUNCTION_WORDS = set("a an and any are as at be by can for from has have he her his i if in into is it its may not of on or our she that the their they this to under was we were which will with without you your".split())
 CONFIRM, LEAST_PROBABILITY = 0.6, 0.5
