@@ -91,6 +91,7 @@ arising from the use of this software.""",
     "Licensed under the Artistic License 1.0",
     "Copyright 2019 Stone Works. All rights reserved. No part may be reproduced without permission.",
     "Licensed under the Open Software License version 3.0",
+    "All rights reserved.",
 ]
 
 PROSE = [

@@ -9,15 +9,18 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Only where the session names no folder, as in tests on one machine.
+#: Only where the session names no folder and all runs on one machine, as in tests.
 FALLBACK_DIR = "/tmp/checkpoints/tidepool"
 #: Arrow batches of this many rows keep a batch of long texts within a worker's memory.
 BATCH_ROWS = 500
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a default where it is unset."""
-    return (spark.sparkContext.getConf().get("spark.checkpoint.dir") or FALLBACK_DIR).rstrip("/")
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset: a default if all runs on one machine, else an error."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return (folder or FALLBACK_DIR).rstrip("/")
 
 
 def small_batches(spark: SparkSession) -> None:

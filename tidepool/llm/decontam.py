@@ -6,7 +6,8 @@ Myers' bit-parallel algorithm finds the least edit distance of the item to any p
 
 Texts are compared in lower case, with each run of white space as one space. An item is reported once a document: its least
 distance, the leftmost end among those. Items and texts that are null, empty or blank match nothing. Rows with equal ids are
-reported row by row; equal items each by their id. Columns other than ids and texts are ignored.
+reported row by row; equal items each by their id. Columns other than ids and texts are ignored, whatever their names. An empty
+table of documents, or of items, gives no rows. Texts of any length are searched whole, one at a time.
 
 The items are a test set, so they are small beside the corpus, but nothing relies on it: they are taken in blocks of at most
 BLOCK_CHARS characters (a longer item is a block), and each block is one pass over all texts. Nothing is shuffled but items.

@@ -16,7 +16,9 @@ class "none" (its bias is the largest by construction, see fitted()), so most li
 else is joins with tables of weights and templates, whose sizes depend on the templates alone (a few thousand rows: a bounded
 broadcast). Only DataFrame functions touch the documents; training takes a moment on the driver.
 
-Null and empty texts have no paragraphs. Repeated rows are reported each. Extra columns are ignored; an empty table gives no rows.
+Null and empty texts have no paragraphs. Repeated rows are reported each, rows without an id too. Extra columns are ignored, whatever
+their names; an empty table gives no rows. Lines of any length are judged whole. Of classes of equal scores the first counts, of
+templates of equal overlap the last by name.
 """
 
 from __future__ import annotations
@@ -126,6 +128,8 @@ UNKNOWN_EXAMPLES = [
     "See the license for the specific language governing permissions",
     "The software is provided as is, without warranty of any kind",
     "Distributed under the license of its owner",
+    "All rights reserved",
+    "All rights reserved by the authors",
     "Released under the zlib license",
     "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software",
     "Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software",

@@ -6,7 +6,8 @@ packet can be read without parsing again.
 
 A null file has no packets, tracks or cues. A broken or truncated file gives what precedes the fault, and the fault in the
 column `error` of media_summary(). Columns other than the id and the file are ignored; equal files give equal rows; an empty
-table gives empty tables.
+table gives empty tables. Null and repeated ids are carried along. A text of any length that a binary value holds (2 GB) becomes one
+file; a task holds one file and its packet table, and hands files on every OUT_BYTES.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ CUE_POINT, CUE_TIME, CUE_TRACK_POSITIONS, CUE_TRACK, CUE_CLUSTER_POSITION, CUE_R
 TOP_LEVEL = {INFO, TRACKS, CLUSTER, CUES, SEEK_HEAD, TAGS, CHAPTERS, ATTACHMENTS}
 LACINGS = ("none", "xiph", "fixed", "ebml")
 
+#: Bytes of files that a task hands on together.
+OUT_BYTES = 32 << 20
 RATE, FRAME, FRAMES_PER_BLOCK, BLOCKS_PER_CLUSTER = 8000, 512, 8, 16
 UNIT = 64
 
@@ -346,8 +349,15 @@ def stored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(1).to_pylist()
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(t or b"") for t in texts], pa.int64()), pa.array([mux(padded(t)) for t in texts], pa.binary())], [id_col, "n_bytes", "media"])
+            sizes, files, begin, held = [], [], 0, 0
+            for i, text in enumerate(b.column(1)):
+                t = text.as_py() or b""
+                sizes.append(len(t))
+                files.append(mux(padded(t)))
+                held += len(files[-1])
+                if held > OUT_BYTES or i == len(b) - 1:
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(begin, len(files)), pa.array(sizes, pa.int64()), pa.array(files, pa.binary())], [id_col, "n_bytes", "media"])
+                    sizes, files, begin, held = [], [], i + 1, 0
 
     small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]

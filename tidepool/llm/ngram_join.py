@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tidepool.llm.common import WordHashes, components, mix64, small_batches, written
+from tidepool.llm.common import WordHashes, components, forget, mix64, small_batches, written
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _LEVEL = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -520,6 +520,7 @@ def _solved(docs: DataFrame, k: int, num: int, den: int, unit_shingles: int, chu
     blocks = written(components(block_edges(sets, prefixes, chunk), "node", "first").join(left, "node"), "blocks")
     links = links_of(sets.drop("chunk"), blocks.select("node", "root", "n_shingles"), num, den, unit_shingles)
     classes = written(components(links, "a", "b").join(left, "node"), "classes")
+    forget(left, sets, blocks)
     least = classes.groupBy("root").agg(F.min(F.when(F.col("first_id").isNotNull(), F.struct("first_id", "node"))).alias("least"))
     linked = classes.join(least, "root").select("node", F.col("least.first_id").alias("linked_id"), F.col("least.node").alias("least"))
     names = nodes.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"))
