@@ -67,9 +67,9 @@ def test_lists(spark):
     assert rows(FL.silver_faults(silver.limit(1), ["x", "z"])) == [("fewer than two rows", 1)]
     d = spark.createDataFrame([("f", "u1", 0), ("f", "u2", 1)], "file string, url string, ord int")
     assert rows(K.last_by_name(d).select("file", "url")) == [("f", "u2")]
-    keys = FL.title_keys(F.col("t"), F.lit("law"), ["预告"], ["防卫"], ["law"], ["吗"], ["老师"])
-    t = spark.createDataFrame([("防卫吗",), ("防卫预告",), ("这样合理吗？老师",), ("无问",)], "t string")
-    assert [r[0] for r in t.select(keys).collect()] == [["防卫"], [], ["这样合理"], []]
+    keys = FL.title_keys(F.col("t"), F.lit("law"), ["预告"], ["绿茶"], ["law"], ["吗"], ["老师"])
+    t = spark.createDataFrame([("绿茶吗",), ("绿茶预告",), ("这样好喝吗？老师",), ("无问",)], "t string")
+    assert [r[0] for r in t.select(keys).collect()] == [["绿茶"], [], ["这样好喝"], []]
 
 
 def test_reach_goes_over_a_whole_table(spark):

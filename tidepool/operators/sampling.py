@@ -73,7 +73,7 @@ def draws(units: DataFrame, unit: str, n_draws: int, n_units: int) -> DataFrame:
     multiplicities are the same wherever they are computed. Size: n_draws * n_units rows before counting.
     """
     spark = units.sparkSession
-    picks = spark.range(n_draws).select(F.col("id").alias("draw"), F.explode(F.sequence(F.lit(0), F.lit(n_units - 1))).alias("k"))
+    picks = spark.range(n_draws * n_units).select(F.expr(f"id div {max(n_units, 1)}").alias("draw"), (F.col("id") % max(n_units, 1)).alias("k"))
     place = T.stable_hash(F.concat_ws(":", F.col("draw").cast("string"), F.col("k").cast("string"))) % n_units
     times = picks.select("draw", place.alias("place")).groupBy("draw", "place").agg(F.count("*").alias("times"))
     return times.join(units.select(unit, "place"), "place").select("draw", unit, "times")

@@ -670,19 +670,16 @@ def counts_less(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.counts_less(n(o), n(o.filter("o_orderstatus = 'F'")), "k")
 
 
+#: Draws of the operator.
+DRAWS = 1000
 _DRAWS = f"""WITH {_EVENTS}, un AS (SELECT video, row_number() OVER (ORDER BY video) - 1 AS place, count(*) OVER () AS m FROM (SELECT DISTINCT video FROM ev)),
-    picks AS (SELECT d.range AS draw, {_FNV.format(x="d.range::VARCHAR || ':' || k.range::VARCHAR")} % (SELECT max(m) FROM un) AS place FROM range(40) d, range((SELECT max(m) FROM un)) k),
+    picks AS (SELECT d.range AS draw, {_FNV.format(x="d.range::VARCHAR || ':' || k.range::VARCHAR")} % (SELECT max(m) FROM un) AS place FROM range({DRAWS}) d, range((SELECT max(m) FROM un)) k),
     w AS (SELECT draw, video, count(*) AS times FROM picks JOIN un USING (place) GROUP BY ALL), c AS (SELECT video, grp, code, count(*) AS hits FROM ev GROUP BY ALL), z AS (SELECT DISTINCT video, grp, size FROM ev JOIN len USING (video)),
     gs AS (SELECT draw, grp, code, sum(hits * times) AS hits FROM c JOIN w USING (video) GROUP BY ALL), gn AS (SELECT draw, grp, sum(size * times) AS n FROM z JOIN w USING (video) GROUP BY ALL),
     lifts AS (SELECT draw, grp, code, (hits / n) / (sum(hits) OVER (PARTITION BY draw, code) / (SELECT sum(n) FROM gn x WHERE x.draw = gs.draw)) AS lift FROM gs JOIN gn USING (draw, grp))"""
 
 
-#: Draws of the operator; the queries of forty draws hold it against SQL in less time.
-DRAWS = 1000
-_ALL_DRAWS = _DRAWS.replace("range(40)", f"range({DRAWS})")
-
-
-def _draws(spark: SparkSession, sf_dir: str, n: int = 40) -> DataFrame:
+def _draws(spark: SparkSession, sf_dir: str, n: int = DRAWS) -> DataFrame:
     e = events(spark, sf_dir)
     counts = e.groupBy("video", "grp", "code").agg(F.count("*").alias("hits")).join(e.groupBy("video").agg(F.count("*").alias("n")), "video")
     units = J.numbered(e.select("video").distinct(), "video").withColumnRenamed("ord", "place")
@@ -692,7 +689,7 @@ def _draws(spark: SparkSession, sf_dir: str, n: int = 40) -> DataFrame:
 
 @query("bootstrap_lifts", f"{_DRAWS} SELECT draw, grp, code, round(lift, 6) AS lift FROM lifts")
 def bootstrap_lifts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Forty draws of users."""
+    """As many draws of users as the operator has."""
     return rounded(_draws(spark, sf_dir), "lift")
 
 
@@ -701,17 +698,6 @@ def bootstrap_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(S.intervals(_draws(spark, sf_dir), ["grp", "code"]), "low", "high", "above_one")
 
 
-@query("bootstrap_lifts_full", f"{_ALL_DRAWS} SELECT draw, grp, code, round(lift, 6) AS lift FROM lifts")
-def bootstrap_lifts_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As many draws of users as the operator has."""
-    return rounded(_draws(spark, sf_dir, DRAWS), "lift")
-
-
-@query("bootstrap_intervals_full", f"{_ALL_DRAWS} SELECT grp, code, round(quantile_cont(lift, 0.025), 6) AS low, round(quantile_cont(lift, 0.975), 6) AS high, round(avg(CAST(lift > 1 AS DOUBLE)), 6) AS above_one FROM lifts GROUP BY grp, code")
-def bootstrap_intervals_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(S.intervals(_draws(spark, sf_dir, DRAWS), ["grp", "code"]), "low", "high", "above_one")
-
-
 @query(
     "threshold_grid",
     """WITH s AS (SELECT event_type AS code, CAST((event_id * 7919) % 1000 AS INTEGER) / 1000.0 AS p, CAST((event_id * 7919) % 1000 + (event_id * 31) % 400 > 900 AS INTEGER) AS y FROM events),
@@ -912,13 +898,6 @@ def page_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return titled_pages(spark, sf_dir).groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
 
 
-@query("link_reach", "WITH RECURSIVE l AS (SELECT p_partkey AS s, (p_partkey * 7 + 3) % 500 AS t FROM part WHERE p_partkey < 500), r(url, depth) AS (SELECT CAST(1 AS BIGINT), 0 UNION SELECT l.t, depth + 1 FROM r JOIN l ON l.s = r.url WHERE depth < 4) SELECT url, min(depth) AS depth FROM r GROUP BY url")
-def link_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A frontier over made links of parts."""
-    links = table(spark, sf_dir, "part").filter("p_partkey < 500").select(F.col("p_partkey").alias("source"), ((F.col("p_partkey") * 7 + 3) % 500).alias("target"))
-    return P.reach(spark.createDataFrame([(1,)], "url long"), links, 4)
-
-
 @query(
     "order_reach",
     """WITH RECURSIVE l AS (SELECT DISTINCT 'part/' || l_partkey AS s, 'order/' || l_orderkey AS t FROM lineitem UNION SELECT DISTINCT 'order/' || l_orderkey, 'part/' || l_partkey FROM lineitem),
