@@ -163,3 +163,19 @@ def test_char_model_trains_as_the_operator(spark):
     train = S.merged_labels(c).withColumn("part", S.hash_split(F.col("text"))).filter("part = 'train'")
     want = M.scores(c, M.fit(train, ["user", "assistant", "system"], epochs=10)).select(F.md5("text").alias("text_md5"), "code", F.round("p", 6).alias("p"))
     assert sorted(map(tuple, catalogue.char_model(spark, d).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_dense_windows_take_stars_and_windows_are_joined(spark):
+    """A chain in a dense window splits into stars, in a sparse one it is one cluster; an edge between windows joins."""
+    phrases = spark.createDataFrame([(f"d{i}", "p", 0) for i in range(5)] + [(f"s{i}", "p", 1) for i in range(5)] + [("x", "p", 2)], "key string, pool string, window int")
+    chain = [(f"{w}{i}", f"{w}{i + 1}") for w in "ds" for i in range(4)]
+    dense = spark.createDataFrame([("p", 0, 9)], "pool string, bin int, n long")
+
+    def clusters(edges):
+        out = {}
+        for r in C.windowed(phrases, spark.createDataFrame(edges, "a string, b string"), dense).collect():
+            out.setdefault(r.cluster, set()).add(r.key)
+        return sorted(map(sorted, out.values()))
+
+    assert clusters(chain) == [["d0", "d1", "d2"], ["d3", "d4"], ["s0", "s1", "s2", "s3", "s4"], ["x"]]
+    assert clusters([*chain, ("d4", "s0"), ("s4", "x")]) == [["d0", "d1", "d2"], ["d3", "d4", "s0", "s1", "s2", "s3", "s4", "x"]]

@@ -253,6 +253,28 @@ def merged_quality(pools: DataFrame) -> DataFrame:
     return out.withColumn("usable_share", F.when(F.col("rows") > 0, F.col("usable") / F.col("rows")))
 
 
+def pool_modes(rows: DataFrame) -> DataFrame:
+    """(mode, n) over all pools; "none" where there is no mode."""
+    return rows.groupBy(F.coalesce(F.col("mode").cast("string"), F.lit("none")).alias("mode")).agg(F.count("*").alias("n"))
+
+
+def merged_ranks(values: DataFrame, value: str, percents: tuple[int, ...]) -> DataFrame:
+    """One row (p50, ...) of nearest ranks over the values of all pools, which are counted, not gathered; null of none."""
+    out = None
+    for p in percents:
+        one = nearest_ranks(values, [], value, p).agg(F.first("value").alias(f"p{p}"))
+        out = one if out is None else out.crossJoin(one)  # one row each
+    return out
+
+
+def merged_times(stats: DataFrame, bins: DataFrame) -> DataFrame:
+    """Pools' time statistics as one row: rates over sums, null without a denominator. stats, bins: of premiere_stats(), minute_bins()."""
+    rate = lambda a, b: F.when(F.sum(b) > 0, F.sum(a) / F.sum(b))
+    a = stats.agg(F.count("*").alias("pools"), F.sum("usable").alias("usable"), rate("premiere_n", "usable").alias("premiere_share"), rate("inv_all", "adj_all").alias("inv_all"), rate("inv_pre", "adj_pre").alias("inv_premiere"), rate("gap7", "adj_all").alias("gap7"), F.avg((F.col("week_offset_days") < 14).cast("double")).alias("offset_lt_14"))
+    b = bins.agg(F.count("*").alias("bins"), F.avg((F.col("span_days") > 7).cast("double")).alias("bin_span_gt7"), F.avg((F.abs(F.col("week_share") - F.col("premiere_share")) < 1e-9).cast("double")).alias("bin_majority_is_premiere"))
+    return a.crossJoin(b)  # one row each
+
+
 def ranges(values: DataFrame, keys: list[str], value: str) -> DataFrame:
     """(keys, least, middle, greatest)."""
     return values.groupBy(*keys).agg(F.min(value).alias("least"), F.median(value).alias("middle"), F.max(value).alias("greatest"))

@@ -71,6 +71,23 @@ def findings(lifts: DataFrame, arcs: DataFrame, stays: DataFrame, concentrated:
     return out.unionByName(pick(keep, "stay", F.col("a"), F.col("stay"), k)).unionByName(pick(thin, "concentration", F.col("code"), F.col("top_share"), t))
 
 
+def headlines(totals: DataFrame, dims: DataFrame, codes: DataFrame, numbers: dict[str, DataFrame]) -> DataFrame:
+    """(kind, subject, value): the sentences of a report that name one number: coded share, share of several codes, laughter among the
+    uncoded, the most frequent dimension and code (first by name on ties), and single numbers that are above 0. totals: of totals();
+    dims, codes: name, n; numbers: one row `n` each."""
+    pick = lambda df, kind, subject, value: df.select(F.lit(kind).alias("kind"), subject.alias("subject"), value.cast("double").alias("value"))
+    none = F.lit("")
+    some = totals.filter("comments > 0")
+    out = pick(some, "coded", none, F.col("coded") / F.col("comments"))
+    out = out.unionByName(pick(some.filter("coded > 0"), "several codes", none, F.col("multi") / F.col("coded")))
+    out = out.unionByName(pick(some.filter("unlabeled > 0"), "laughter", none, F.col("laugh") / F.col("unlabeled")))
+    for kind, counts in (("top dimension", dims), ("top code", codes)):
+        out = out.unionByName(pick(counts.filter("n > 0").orderBy(F.desc("n"), "name").limit(1), kind, F.col("name"), F.col("n")))
+    for kind, df in numbers.items():
+        out = out.unionByName(pick(df.filter("n > 0"), kind, none, F.col("n")))
+    return out
+
+
 def html_report(path: str, title: str, tables: dict[str, DataFrame], most: int = 200) -> None:
     """A page of small aggregate tables; all cells are escaped. Refuses columns of raw text. Written by the driver."""
     parts = [f"<!doctype html><meta charset=utf-8><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1>"]

@@ -19,8 +19,8 @@ from tidepool.operators import timeline as W
 from tidepool.operators import views as V
 from tidepool.operators import voice as VO
 from tidepool.operators.shared import new_path
-from tidepool.plans.catalogue import _TURNS, coded_turns, dims_table, rounded
-from tidepool.plans.registry import query, table
+from tidepool.plans.catalogue import _TURNS, LAUGH, coded_turns, dims_table, rounded
+from tidepool.plans.registry import ORACLES, QUERIES, query, table
 from tidepool.sources import comments as K
 from tidepool.sources import pages as P
 
@@ -432,6 +432,64 @@ def page_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("page_id", F.md5(page).alias("md5"))
 
 
+@query("pool_modes", "SELECT coalesce(CAST(CASE WHEN event_type <> 'error' THEN user_id % 4 END AS VARCHAR), 'none') AS mode, count(*) AS n FROM events GROUP BY ALL")
+def pool_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users' remainders as modes; errors have none."""
+    return A.pool_modes(table(spark, sf_dir, "events").select(F.when(F.col("event_type") != "error", F.col("user_id") % 4).alias("mode")))
+
+
+_RANK = "(SELECT list_sort(list(length(text)))[1 + CAST(round_even({p} / 100.0 * (count(*) - 1), 0) AS BIGINT)] FROM documents WHERE text <> '') AS p{p}"
+
+
+@query("pool_lengths", "SELECT " + ", ".join(_RANK.format(p=p) for p in (50, 90, 99)))
+def pool_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest ranks of the lengths of all documents."""
+    return A.merged_ranks(table(spark, sf_dir, "documents").filter("text <> ''").select(F.length("text").cast("long").alias("n")), "n", (50, 90, 99))
+
+
+@query("time_merge", f"""WITH p AS ({ORACLES['premiere_stats']}), b AS ({ORACLES['minute_bins']})
+    SELECT * FROM (SELECT count(*) AS pools, CAST(sum(usable) AS BIGINT) AS usable, round(sum(premiere_n) / sum(usable), 6) AS premiere_share, round(sum(inv_all) / sum(adj_all), 6) AS inv_all, round(sum(inv_pre) / sum(adj_pre), 6) AS inv_premiere, round(sum(gap7) / sum(adj_all), 6) AS gap7, round(avg(CAST(week_offset_days < 14 AS DOUBLE)), 6) AS offset_lt_14 FROM p),
+    (SELECT count(*) AS bins, round(avg(CAST(span_days > 7 AS DOUBLE)), 6) AS bin_span_gt7, round(avg(CAST(abs(week_share - premiere_share) < 1e-9 AS DOUBLE)), 6) AS bin_majority_is_premiere FROM b)""")
+def time_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    merged = A.merged_times(QUERIES["premiere_stats"](spark, sf_dir), QUERIES["minute_bins"](spark, sf_dir))
+    return rounded(merged, "premiere_share", "inv_all", "inv_premiere", "gap7", "offset_lt_14", "bin_span_gt7", "bin_majority_is_premiere")
+
+
+_THINGS = "t AS (SELECT p_brand AS text, count(DISTINCT CASE WHEN l_quantity = 50 THEN l_suppkey END) AS n_videos, count(*) AS n_rows FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY p_brand)"
+
+
+def _brands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Brands as things: suppliers of full lots as their videos, lines as their rows."""
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    return lines.groupBy(F.col("p_brand").alias("text")).agg((F.count_distinct(F.when(F.col("l_quantity") == 50, F.col("l_suppkey"))) % 3).alias("n_videos"), F.count("*").alias("n_rows"))
+
+
+@query("shared_things", f"WITH {_THINGS} SELECT text, n_videos % 3 AS n_videos, n_rows FROM t WHERE n_videos % 3 >= 2")
+def shared_things(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.shared_and_solo(_brands(spark, sf_dir))[0]
+
+
+@query("solo_things", f"WITH {_THINGS} SELECT text, n_videos % 3 AS n_videos, n_rows FROM t WHERE n_videos % 3 < 2 ORDER BY n_rows DESC, text LIMIT 8")
+def solo_things(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The eight most frequent things of one video, as reports list them."""
+    return C.shared_and_solo(_brands(spark, sf_dir))[1]
+
+
+@query(
+    "headline_findings",
+    f"""WITH {_TURNS}, t AS (SELECT count(*) AS comments, count(*) FILTER (n > 0) AS coded, count(*) FILTER (n > 1) AS multi, count(*) FILTER (n = 0) AS unlabeled, count(*) FILTER (regexp_matches(regexp_replace(text, '\\s', '', 'g'), '^[ha!]{{2,}}$')) AS laugh FROM n_codes),
+        f AS (SELECT 'coded' AS kind, '' AS subject, coded / comments AS value FROM t UNION ALL SELECT 'several codes', '', multi / coded FROM t WHERE coded > 0 UNION ALL SELECT 'laughter', '', laugh / unlabeled FROM t WHERE unlabeled > 0
+        UNION ALL (SELECT 'top dimension', dim, count(*) FROM dims GROUP BY dim ORDER BY count(*) DESC, dim LIMIT 1) UNION ALL (SELECT 'top code', code, count(*) FROM codes GROUP BY code ORDER BY count(*) DESC, code LIMIT 1)
+        UNION ALL SELECT 'empty pools', '', n FROM (SELECT count(*) AS n FROM customer WHERE c_custkey NOT IN (SELECT conv_id FROM turns)) WHERE n > 0) SELECT kind, subject, round(value, 6) AS value FROM f""",
+)
+def headline_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a report says first; customers stand for listed pools."""
+    turns = coded_turns(spark, sf_dir)
+    dims, codes = (A.counts_by(turns, c, "name") for c in ("dims", "codes"))
+    empty = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("video")).join(turns.select("video").distinct(), "video", "left_anti").agg(F.count("*").alias("n"))
+    return rounded(V.headlines(A.totals(turns, T.is_laugh(F.col("content"), LAUGH)), dims, codes, {"empty pools": empty}), "value")
+
+
 # --- models' passes and clusters' evidence ---
 
 _CODES, _AT = ["dear", "early"], [0.5, 0.3]

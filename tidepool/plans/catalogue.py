@@ -765,8 +765,9 @@ def _things(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = C.neighbours(C.cosine_pairs(C.gram_vectors(repeated, "key", "norm"), "key"))
     near = edges.join(repeated.select(F.col("key").alias("a"), F.col("pool").alias("pa"), F.col("median").alias("ma")), "a").join(repeated.select(F.col("key").alias("b"), F.col("pool").alias("pb"), F.col("median").alias("mb")), "b")
     kept = near.filter("pa = pb and abs(ma - mb) <= 0.10").select("a", "b")
-    members = C.components(repeated.select("key"), kept, "key").join(repeated, "key").select("pool", "norm", F.col("root").alias("cluster"))
-    return C.marked_mode(C.things(rows, C.written(members), ["pool"]), W.crowded_spans(rows, ["pool"]), ["pool"])
+    members = C.windowed(repeated, kept, W.dense_windows(rows, ["pool"])).join(repeated, "key").select("pool", "norm", "cluster")
+    shared, _ = C.shared_and_solo(C.things(rows, C.written(members), ["pool"]))
+    return C.marked_mode(shared, W.crowded_spans(rows, ["pool"]), ["pool"])
 
 
 @query("phrase_things")
