@@ -1,4 +1,11 @@
-"""A corpus pipeline: quality, near duplicates, benchmark leaks, packing. Each stage is written and reread as the next one's input."""
+"""A corpus pipeline: quality, near duplicates, benchmark leaks, packing. Each stage is written and reread as the next one's input.
+
+Null, empty and blank texts: the first stage scores them by its bias alone; near duplicates keeps all of them, as they link with nothing;
+they hold no test item; they are packed as their end token. Rows without an id pass all stages like others, but are never dropped
+as near copies. Rows that repeat an id are told apart by their texts; of equal ones one stays. Of a group the smallest id stays, so ties
+need no rule. Texts of any length are treated whole, one at a time in a task. Extra columns are carried along by all stages but the
+last, whatever their names. An empty table gives no rows; without labels every score is 0.5 and all documents stay.
+"""
 
 from __future__ import annotations
 
