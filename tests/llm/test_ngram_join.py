@@ -90,6 +90,17 @@ def test_components_salt_hubs(spark):
         assert sorted(map(tuple, N.components(table, "a", "b", hub=hub).collect())) == want
 
 
+def test_copies_are_salted(spark):
+    """Rows of a node of many copies are joined in parts, with what a plain join gives; rows without a node stay."""
+    rows = [(i, 7 if i % 3 else i, i % 5) for i in range(200)] + [(None, 7, 1), (None, None, 0), (5, None, 0), (5, 7, 2), (5, 7, 2)]
+    table = spark.createDataFrame(rows, "doc_id long, node long, n_shingles long")
+    named = table.filter("node is not null").groupBy("node").agg(N.F.min("doc_id").alias("least"))
+    want = sorted(map(tuple, table.join(named, "node", "left").select(*table.columns, "least").collect()), key=repr)
+    for copies in (1, 10, None):
+        got = N._of_node(table, named, len(rows), copies)
+        assert sorted(map(tuple, got.select(*table.columns, "least").collect()), key=repr) == want
+
+
 def threshold_corpus(seed, num, den):
     """Documents of 150 to 2000 words, and copies with so many words changed at one end that they link just or just not."""
     rng, texts = random.Random(seed), []

@@ -528,6 +528,24 @@ def _solved(docs: DataFrame, k: int, num: int, den: int, unit_shingles: int, chu
     return nodes.select("doc_id", "n_shingles", "node"), named
 
 
+#: Rows of one node that one task may join, at least, and nodes of more than that, at most: the bound of a broadcast.
+COPIES, MOST_COPIED = 256, 1_000_000
+
+
+def _of_node(rows: DataFrame, named: DataFrame, count: int, copies: int | None = None) -> DataFrame:
+    """rows (doc_id, node, ...) with what named (a row a node) says of their node. At most `count` rows in all.
+
+    Copies of one text share a node: those of a node of more than `copies` rows are salted by their id over several tasks, and so
+    are rows without a node, which meet nothing.
+    """
+    copies = copies or max(COPIES, -(-count // MOST_COPIED))
+    many = F.broadcast(rows.filter("node is not null").groupBy("node").agg(F.ceil(F.count("*") / copies).cast("int").alias("_salts")).filter("_salts > 1"))  # fewer than count / copies rows
+    salts = F.when(F.col("node").isNull(), 1 << 16).otherwise(F.coalesce("_salts", F.lit(1)))
+    salted = rows.join(many, "node", "left").withColumn("_salt", F.pmod(F.xxhash64("doc_id"), salts).cast("int")).drop("_salts")
+    dealt = named.join(many, "node", "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
+    return salted.join(dealt, ["node", "_salt"], "left").drop("_salt")
+
+
 def _plain(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
@@ -536,7 +554,7 @@ def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, u
     """(doc_id, n_shingles, component_id): documents that links of similarity num/den or more connect."""
     small_batches(docs.sparkSession)
     nodes, named = _solved(_plain(docs, id_col, text_col), k, num, den, unit_shingles, chunk)
-    return nodes.join(named, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return _of_node(nodes, named, nodes.count()).select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -547,7 +565,8 @@ def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> D
     """
     small_batches(docs.sparkSession)
     nodes, named = _solved(_plain(docs), k, num, den, UNIT_SHINGLES, CHUNK)
-    rows = nodes.filter("doc_id is not null and node is not null").groupBy("doc_id", "node").agg(F.count("*").alias("n")).join(named, "node")
+    rows = nodes.filter("doc_id is not null and node is not null").groupBy("doc_id", "node").agg(F.count("*").alias("n"))
+    rows = _of_node(rows, named, nodes.count())
     rows = written(rows.select("doc_id", "node", ((F.col("doc_id") == F.col("component_id")) & (F.col("node") == F.col("least"))).alias("stays"), (F.col("n") > 1).alias("again")), "rows")
     # Most texts stay. A filter over the ids that go, of a fixed size, tells those that surely stay; only the others are shuffled.
     gone = _bits(rows.filter("again or not stays").select("doc_id")).select(F.col("word").alias("_word"), F.col("bits").alias("_bits"))
