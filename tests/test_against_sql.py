@@ -29,3 +29,8 @@ ORDERS += [{"o_orderkey": 12388, "o_custkey": 641, "o_orderstatus": "P", "o_tota
 def test_nearest_by_code_rounds_as_its_sql(spark, tmp_path):
     got, want = both(spark, tmp_path, "nearest_by_code", "orders", ORDERS)
     assert got == want and len(got) == 100
+
+
+def test_corpus_margin_rounds_as_its_sql(spark, tmp_path):
+    got, want = both(spark, tmp_path, "corpus_margin", "orders", ORDERS)
+    assert got == want and len(got) == 61
