@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.llm.common import small_batches
+from tidepool.llm.common import lean, small_batches
 
 RATE = 0.06
 BLOCK_CHARS = 1_000_000
@@ -127,6 +127,7 @@ def leaks(docs: DataFrame, items: DataFrame, rate: float = RATE, block_chars: in
     docs = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
     items = items.select(F.col(item_col).cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
     def over(block: list[tuple[int, str]]) -> DataFrame:
+        @lean
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(block, rate)
             for b in batches:
@@ -155,6 +156,7 @@ def without_leaks(docs: DataFrame, items: DataFrame, rate: float = RATE, block_c
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
 
     def clean(block: list[tuple[int, str]]):
+        @lean
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(block, rate)
             for b in batches:

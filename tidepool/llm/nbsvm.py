@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepool.llm.common import WordHashes, mix64, small_batches, written
+from tidepool.llm.common import WordHashes, lean, mix64, small_batches, written
 
 BUCKETS = 1 << 20
 SAMPLE_ROWS, SAMPLE_FEATURES = 6000, 40_000_000
@@ -167,6 +167,7 @@ def learned(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_r
     chosen = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).dropna()
     chosen = chosen.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0).orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample_rows)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
         for b in batches:
@@ -189,6 +190,7 @@ def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataF
     """(doc_id, held_out, score, predicted) of every document."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features, m = Features(), shared.value
         for b in batches:
@@ -208,6 +210,7 @@ def good_only(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
     shared = docs.sparkSession.sparkContext.broadcast(learned(docs, labels))
     at = docs.columns.index("text")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features, m = Features(), shared.value
         for b in batches:

@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tidepool.llm.common import WordHashes, components, forget, mix64, small_batches, written
+from tidepool.llm.common import WordHashes, components, forget, lean, mix64, small_batches, written
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _LEVEL = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -140,6 +140,7 @@ def _nodes(k: int, prefixes: Prefixes, chunk: int):
         columns = [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), pa.array(known, mask=~first), _lists(marked, row[stays], len(rows))]
         return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "node", "known", "elements"])
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, seen, rows, held = WordHashes(), set(), [], 0
         for b in batches:
@@ -166,6 +167,7 @@ def _nodes(k: int, prefixes: Prefixes, chunk: int):
 def _sets(k: int, bits: bytes):
     """The sets of the texts whose id the filter lets through, each once a task."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, seen, wanted = WordHashes(), set(), np.frombuffer(bits, np.uint64)
         size = len(wanted) * 64
@@ -222,6 +224,7 @@ def may_link(nodes: DataFrame, prefixes: Prefixes) -> DataFrame:
 def _chunked(chunk: int):
     """Rows (chunk, node, elements): as many sets in a row as hold `chunk` elements, named by the first of them."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, held = None, 0
         for b in batches:
@@ -248,6 +251,7 @@ def _dealt(buckets: int):
         columns = [pa.array([bucket[p[0]] for p in parts], pa.int64()), pa.array([chunk] * len(parts), pa.int64())]
         return pa.RecordBatch.from_arrays([*columns, pa.array([each[p].tobytes() for p in parts], pa.binary()), pa.array([counts[p].astype(np.uint32).tobytes() for p in parts], pa.binary())], ["bucket", "chunk", "keys", "counts"])
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, sets = None, []
         for b in batches:
@@ -319,6 +323,7 @@ def _block_keys(prefixes: Prefixes):
         first = pa.array(np.concatenate([np.zeros(len(names), np.int64), pairs[:, 1]]), mask=np.arange(len(names) + len(pairs)) < len(names))
         return pa.RecordBatch.from_arrays([key, pa.array(np.concatenate([owner[at], pairs[:, 0]])), first], ["key", "node", "first"])
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _runs(batches):
             yield keyed(rows)
@@ -331,7 +336,7 @@ def block_edges(sets: DataFrame, prefixes: Prefixes, chunk: int) -> DataFrame:
     total = sets.agg(F.coalesce(F.sum(F.octet_length("elements")), F.lit(0))).first()[0] // 8
     buckets = 1 + total // chunk
     dealt = sets.select("chunk", "elements").mapInArrow(_dealt(buckets), "bucket long, chunk long, keys binary, counts binary")
-    counted = dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_counted, "chunk long, keys binary, counts binary")
+    counted = dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(_counted), "chunk long, keys binary, counts binary")
     both = sets.unionByName(counted, allowMissingColumns=True).repartition(buckets, "chunk").sortWithinPartitions("chunk")
     keyed = written(both.mapInArrow(_block_keys(prefixes), "key long, node long, first long"), "keys")
     stars = keyed.filter("key is not null").withColumn("first", F.min("node").over(Window.partitionBy("key"))).filter("node <> first")
@@ -454,6 +459,7 @@ def _units(num: int, den: int):
         found = block_links([np.frombuffer(r[1], np.uint64) for r in rows], num, den, None if len(asked) == len(rows) else asked, pivot)
         return [(names[a], names[b]) for a, b in found]
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unit, rows = None, []
         for b in batches:

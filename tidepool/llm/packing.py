@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepool.llm.common import small_batches, written
+from tidepool.llm.common import lean, small_batches, written
 
 CAPACITY, END_TOKEN, GROUPS, SMALL = 1024, 2, 96, 200
 #: Pieces of one length that one task ranks.
@@ -83,6 +83,7 @@ def tokenized(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = E
     """(doc_id, piece, start, length, ids_crc32): the pieces of each document."""
     names, types = ["doc_id", "piece", "start", "length", "ids_crc32"], [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
