@@ -60,9 +60,9 @@ def decided(predictions: DataFrame, codes: list[str], thresholds: list[float]) -
     return predictions.withColumns({"predicted": F.filter(named, lambda c: c.isNotNull()), "distance": nearest(F.col("probabilities"), t)})
 
 
-def folded(predictions: DataFrame, n: int = 200) -> tuple[DataFrame, DataFrame]:
-    """(disagreement by code, the n texts nearest a threshold). predictions: text, truth, predicted, distance."""
-    return disagreement(predictions), margin_book(predictions.filter(F.size("truth") == 0), [], n)
+def folded(predictions: DataFrame, n: int = 200, merged: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(disagreement by code, the n texts nearest a threshold; unless merged, n rows). predictions: text, truth, predicted, distance."""
+    return disagreement(predictions), margin_book(predictions.filter(F.size("truth") == 0), [], n, merged=merged)
 
 
 def by_code(predictions: DataFrame, codes: list[str], thresholds: list[float], n: int = 50) -> DataFrame:

@@ -30,12 +30,13 @@ def reservoir(df: DataFrame, text: str, keys: list[str], order: list[str], cap:
     return seen.withColumn("slot", at).filter("slot is not null").groupBy(*keys, "slot").agg(F.max_by(text, "seen").alias(text))
 
 
-def margin_book(scores: DataFrame, keys: list[str], n: int, text: str = "text", distance: str = "distance") -> DataFrame:
-    """The n texts nearest to a threshold, each with its least distance; ties by text."""
-    least = scores.groupBy(*keys, text).agg(F.min(distance).alias(distance))
+def margin_book(scores: DataFrame, keys: list[str], n: int, text: str = "text", distance: str = "distance", merged: bool = True) -> DataFrame:
+    """The n texts nearest to a threshold, each with its least distance; ties by text, nulls last. Unless merged, equal texts stay rows of their own."""
+    least = scores.groupBy(*keys, text).agg(F.min(distance).alias(distance)) if merged else scores.select(*keys, text, distance)
+    order = [F.col(distance).asc_nulls_last(), F.col(text).asc_nulls_last()]
     if not keys:
-        least = least.orderBy(distance, text).limit(n)  # n rows are numbered in one task, not all
-    w = Window.partitionBy(*keys).orderBy(distance, text) if keys else Window.orderBy(distance, text)
+        least = least.orderBy(*order).limit(n)  # n rows are numbered in one task, not all
+    w = Window.partitionBy(*keys).orderBy(*order) if keys else Window.orderBy(*order)
     return least.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= n)
 
 
